@@ -46,14 +46,14 @@ def _params(fit: DataFrame) -> list:
 
 def apply_standard_scale(df: DataFrame, fit: DataFrame) -> DataFrame:
     """(x - mean) / std; a zero std leaves the centred value unscaled (-> 0 for constants)."""
-    out = df
+    exprs = {}
     for r in _params(fit):
         c, mean, std = r["column"], r["mean"], r["std"]
         if mean is None:
             continue
         denom = std if std not in (None, 0.0) else 1.0
-        out = out.withColumn(c, (F.col(c).cast("double") - F.lit(mean)) / F.lit(denom))
-    return out
+        exprs[c] = ((F.col(c).cast("double") - F.lit(mean)) / F.lit(denom)).alias(c)
+    return df.select(*[exprs.get(c, F.col(c)) for c in df.columns])
 
 
 apply_zscore_sample = apply_standard_scale
@@ -61,14 +61,14 @@ apply_zscore_sample = apply_standard_scale
 
 def apply_minmax_scale(df: DataFrame, fit: DataFrame) -> DataFrame:
     """(x - min) / (max - min) with the train range; constant column -> 0; no clipping."""
-    out = df
+    exprs = {}
     for r in _params(fit):
         c, lo, hi = r["column"], r["min"], r["max"]
         if lo is None:
             continue
         rng = (hi - lo) if hi != lo else 1.0
-        out = out.withColumn(c, (F.col(c).cast("double") - F.lit(lo)) / F.lit(rng))
-    return out
+        exprs[c] = ((F.col(c).cast("double") - F.lit(lo)) / F.lit(rng)).alias(c)
+    return df.select(*[exprs.get(c, F.col(c)) for c in df.columns])
 
 
 def score_minmax(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
