@@ -67,3 +67,213 @@ select row_id, label, cls as pred from (select *, row_number() over (partition b
 def q_bernoulli_nb(spark, sf):
     sp = split_flows(spark, sf)
     return bernoulli_nb(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), BNB_FEATS)
+
+
+# ---------------------------------------------------------------- metric operators on fixed predictions
+
+from flowlens.operators import classifiers as CL  # noqa: E402
+from flowlens.operators import metrics as M  # noqa: E402
+from flowlens.operators.knn import knn_classify, knn_top_k  # noqa: E402
+from flowlens.operators.naive_bayes import gaussian_nb_logits  # noqa: E402
+from flowlens.plans import sqlgen as sg  # noqa: E402
+from flowlens.functions.exprs import rnd  # noqa: E402
+from flowlens.plans.common import materialize  # noqa: E402
+
+
+@query("confusion_matrix", sql=GNB_PRED_SQL + "\n" + confusion_sql("nb"))
+def q_confusion_matrix(spark, sf):
+    return M.confusion_matrix(_gnb_pred(spark, sf))
+
+
+@query("binary_metrics", sql=GNB_PRED_SQL + f",\nconf as ({confusion_sql('nb')})\n" + metrics_select("conf"))
+def q_binary_metrics(spark, sf):
+    return M.binary_metrics(M.confusion_matrix(_gnb_pred(spark, sf)))
+
+
+def _rates_sql():
+    def r(a, b):
+        return sg.r(sg.sdiv(a, b, "null"))
+    return (GNB_PRED_SQL + f",\nconf as ({confusion_sql('nb')})\n"
+            + f"""select tn, fp, fn, tp, {r('tp', 'tp + fn')} as tpr, {r('tn', 'tn + fp')} as tnr,
+  {r('tp', 'tp + fp')} as ppv, {r('tn', 'tn + fn')} as npv, {r('fp', 'fp + tn')} as fpr,
+  {r('fn', 'tp + fn')} as fnr, {r('fp', 'tp + fp')} as fdr from conf""")
+
+
+@query("derived_rates", sql=_rates_sql())
+def q_derived_rates(spark, sf):
+    return M.derived_rates(M.confusion_matrix(_gnb_pred(spark, sf)))
+
+
+@query("micro_f1", sql=GNB_PRED_SQL + f",\nconf as ({confusion_sql('nb')})\nselect {sg.r(sg.sdiv('tp + tn', 'tn + fp + fn + tp'))} as micro_f1 from conf")
+def q_micro_f1(spark, sf):
+    return M.micro_f1(M.confusion_matrix(_gnb_pred(spark, sf)))
+
+
+@query("r2_of_labels", sql=GNB_PRED_SQL + f",\nconf as ({confusion_sql('nb')})\nselect r2 from ({metrics_select('conf')}) m")
+def q_r2_of_labels(spark, sf):
+    return M.r2_of_labels(M.confusion_matrix(_gnb_pred(spark, sf)))
+
+
+# ---------------------------------------------------------------- probabilities from logits
+
+def softmax_p1(l0, l1):
+    """P(class 1) from two logits, max-subtracted; argmax with the first index winning ties."""
+    m = F.greatest(l0, l1)
+    e0, e1 = F.exp(l0 - m), F.exp(l1 - m)
+    return e1 / (e0 + e1), F.when(l1 > l0, 1).otherwise(0)
+
+
+@query("predict_proba", sql=GNB_PRED_SQL.rsplit(",\nnb as", 1)[0] + f""",
+lg as (select row_id, label, max(case when cls = 0 then ll end) as l0, max(case when cls = 1 then ll end) as l1
+  from nb_ll group by row_id, label)
+select row_id, label, {sg.r('exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1)))')} as p1,
+  case when l1 > l0 then 1 else 0 end as pred from lg""")
+def q_predict_proba(spark, sf):
+    train, test = _scaled_parts(spark, sf)
+    lg = gaussian_nb_logits(train, test, FEATS)
+    p1, pred = softmax_p1(F.col("logit_0"), F.col("logit_1"))
+    return lg.select("row_id", "label", rnd(p1).alias("p1"), pred.alias("pred"))
+
+
+# ---------------------------------------------------------------- kNN on the 64-d vectors
+
+VEC_SPLIT_SQL = f"with vx as ({fx.VECTORS_SQL})," + sg.split_ctes("vx", "label", "0.2", 42)
+KNN_SQL = VEC_SPLIT_SQL + """,
+tr as (select * from sp where split = 'train'), te as (select * from sp where split = 'test'),
+pairs as (select te.row_id as test_id, tr.row_id as train_id, list_distance(te.vec, tr.vec) as d, tr.label as train_label
+  from te cross join tr),
+rk as (select *, row_number() over (partition by test_id order by d, train_id) as rank from pairs)"""
+
+
+def _vec_split(spark, sf):
+    from flowlens.operators.split import stratified_split
+    sp = materialize(stratified_split(fx.vectors(spark, sf), "row_id", "label", "0.2", 42))
+    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+
+
+@query("knn_top_k", sql=KNN_SQL + f"\nselect test_id, train_id, {sg.r('d')} as distance, rank, train_label from rk where rank <= 5")
+def q_knn_top_k(spark, sf):
+    tr, te = _vec_split(spark, sf)
+    return knn_top_k(tr, te, "vec", "row_id", "label", 5)
+
+
+@query("knn", sql=KNN_SQL + """,
+v as (select test_id, train_label, count(*) as votes from rk where rank <= 5 group by all),
+b as (select test_id, train_label, row_number() over (partition by test_id order by votes desc, train_label asc) as r from v)
+select te.row_id, te.label, b.train_label as pred from te join b on b.test_id = te.row_id and b.r = 1""")
+def q_knn(spark, sf):
+    tr, te = _vec_split(spark, sf)
+    return knn_classify(tr, te, "vec", "row_id", "label", 5)
+
+
+# ---------------------------------------------------------------- MLlib models (rows-only checks)
+
+@query("decision_tree")
+def q_decision_tree(spark, sf):
+    train, test = _scaled_parts(spark, sf)
+    return CL.decision_tree(train, test, FEATS)
+
+
+@query("random_forest")
+def q_random_forest(spark, sf):
+    train, test = _scaled_parts(spark, sf)
+    return CL.random_forest(train, test, FEATS)
+
+
+@query("logistic_regression")
+def q_logistic_regression(spark, sf):
+    train, test = _scaled_parts(spark, sf)
+    return CL.logistic_regression(train, test, FEATS)
+
+
+# ---------------------------------------------------------------- cross-validation
+
+def _folded_train(spark, sf):
+    """Train part of the exact split with 5 unshuffled stratified folds."""
+    from flowlens.operators.split import stratified_folds
+    sp = split_flows(spark, sf).where(F.col("split") == "train")
+    return materialize(stratified_folds(sp, "row_id", "label", 5))
+
+
+def _folds_cte(src="tr0", label="label", k=5):
+    def upto(m, i):
+        return f"(({m}) - {i} + {k - 1}) // {k}"
+    bounds, acc = [], []
+    for i in range(k - 1):
+        acc.append(f"({upto('s + c', i)} - {upto('s', i)})")
+        bounds.append(f"{' + '.join(acc)} as b{i}")
+    fold = " + ".join(f"case when r > b{i} then 1 else 0 end" for i in range(k - 1))
+    return f"""cs as (select {label} as cls, count(*) as c, min(row_id) as fk from {src} group by {label}),
+cs2 as (select cls, c, coalesce(sum(c) over (order by fk rows between unbounded preceding and 1 preceding), 0) as s from cs),
+bd as (select cls, {', '.join(bounds)} from cs2),
+rk0 as (select *, row_number() over (partition by {label} order by row_id) as r from {src}),
+fx as (select rk0.* exclude (r), cast({fold} as int) as fold from rk0 join bd on bd.cls = rk0.{label})"""
+
+
+def _cv_gnb_sql():
+    cols = NUM_CV
+    stats = ", ".join(f"avg(cast(x.{c} as double)) as m{i}, var_pop(cast(x.{c} as double)) as v{i}" for i, c in enumerate(cols))
+    eps = "1e-9 * greatest(" + ", ".join(f"var_pop(cast(x.{c} as double))" for c in cols) + ")"
+    terms = " + ".join(f"(-0.5 * ln(2 * pi() * (s.v{i} + e.eps)) - 0.5 * (cast(x.{c} as double) - s.m{i}) ^ 2 / (s.v{i} + e.eps))"
+                       for i, c in enumerate(cols))
+    return split_flows_sql() + ",\ntr0 as (select * from sp where split = 'train'),\n" + _folds_cte() + f""",
+fl as (select unnest(range(0, 5)) as f),
+st as (select fl.f, x.label as cls, count(*) as n, {stats} from fl join fx x on x.fold <> fl.f group by fl.f, x.label),
+ep as (select fl.f, {eps} as eps, count(*) as tot from fl join fx x on x.fold <> fl.f group by fl.f),
+ll as (select x.row_id, x.fold, x.label, s.cls, ln(s.n / e.tot) + {terms} as ll
+  from fx x join st s on s.f = x.fold join ep e on e.f = x.fold),
+pr as (select * from (select *, row_number() over (partition by row_id order by ll desc, cls asc) as rn from ll) y where rn = 1)
+select fold, count(*) as n, cast(sum(case when label = cls then 1 else 0 end) as bigint) as n_right,
+  {sg.r(sg.sdiv('sum(case when label = cls then 1 else 0 end)', 'count(*)'))} as accuracy from pr group by fold"""
+
+
+NUM_CV = FEATS
+
+
+@query("cv_accuracy", sql=_cv_gnb_sql())
+def q_cv_accuracy(spark, sf):
+    """5-fold (unshuffled, stratified) CV accuracy of Gaussian NB on the train part."""
+    return CL.cv_accuracy(CL.cv_predict_nb(_folded_train(spark, sf), NUM_CV, "label", "fold", "gaussian"))
+
+
+# ---------------------------------------------------------------- scoreboards
+
+def _mean_accuracy(cv):
+    """Mean fold accuracy: k numbers, read on the driver and attached as a literal."""
+    return rnd(F.lit(cv.agg(F.avg("accuracy")).first()[0]).cast("double"))
+
+
+def _nb_scoreboard(spark, sf):
+    folded = _folded_train(spark, sf)
+    sp = split_flows(spark, sf)
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    rows = []
+    for name, kind, cols in (("gaussian_nb", "gaussian", FEATS), ("bernoulli_nb", "bernoulli", BNB_FEATS)):
+        cv = CL.cv_accuracy(CL.cv_predict_nb(folded, cols, "label", "fold", kind))
+        pred = (gaussian_nb if kind == "gaussian" else bernoulli_nb)(train, test, cols)
+        m = M.binary_metrics(M.confusion_matrix(pred), keep=(F.lit(name).alias("model"),))
+        rows.append(M.scoreboard_columns(m.withColumn("train_accuracy", _mean_accuracy(cv))))
+    return rows[0].unionByName(rows[1])
+
+
+@query("scoreboard_columns")
+def q_scoreboard_columns(spark, sf):
+    """Scoreboard layout (headers over their own values) for the two naive Bayes models."""
+    return _nb_scoreboard(spark, sf)
+
+
+@query("model_scoreboard")
+def q_model_scoreboard(spark, sf):
+    """All six classical models: cv accuracy on the train part, test metrics on the 20 % part."""
+    from flowlens.operators.scale import apply_standard_scale, fit_standard_scale
+    folded = _folded_train(spark, sf)
+    train, test = _scaled_parts(spark, sf)
+    out = _nb_scoreboard(spark, sf)
+    fit = fit_standard_scale(split_flows(spark, sf).where(F.col("split") == "train"), FEATS)
+    scaled_folded = apply_standard_scale(folded, fit)
+    for name, fn in (("decision_tree", CL.decision_tree), ("random_forest", CL.random_forest),
+                     ("logistic_regression", CL.logistic_regression)):
+        cvp = CL.cv_predict_mllib(fn, scaled_folded, FEATS, "label", "fold", "row_id", 5)
+        m = M.binary_metrics(M.confusion_matrix(fn(train, test, FEATS)), keep=(F.lit(name).alias("model"),))
+        out = out.unionByName(M.scoreboard_columns(m.withColumn("train_accuracy", _mean_accuracy(CL.cv_accuracy(cvp)))))
+    return out
