@@ -1,3 +1,85 @@
-"""Queries: q_scorers."""
+"""Queries: one-class scorers, blend, blend accuracy on the vectors."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import metrics as M
+from flowlens.operators import scorers as SC
+from flowlens.plans import fixtures as fx
+from flowlens.plans import sqlgen as sg
+from flowlens.plans.catalog import query
+from flowlens.plans.q_encode import DIM, _vector_parts
+
+COLS = [f"x{i}" for i in range(DIM)]
+
+
+def _scaled_vectors_sql() -> str:
+    """CTEs: vx (columns x0..), sp (split), mm (train min/max), sv (scaled, with split)."""
+    cols = ", ".join(f"vec[{i + 1}] as x{i}" for i in range(DIM))
+    mm = ", ".join(f"min(x{i}) as lo{i}, max(x{i}) as hi{i}" for i in range(DIM))
+    sc = ", ".join(f"(x{i} - lo{i}) / (case when hi{i} = lo{i} then 1e0 else hi{i} - lo{i} end) as x{i}" for i in range(DIM))
+    return (f"with v0 as ({fx.VECTORS_SQL}),\nvx as (select row_id, label, {cols} from v0),"
+            + sg.split_ctes("vx", "label", "0.2", 42)
+            + f",\nmm as (select {mm} from sp where split = 'train'),\nsv as (select row_id, label, split, {sc} from sp cross join mm)")
+
+
+def _fit_sql(name: str, cls: int) -> str:
+    stats = ", ".join(f"avg(x{i}) as m{i}, var_pop(x{i}) as v{i}" for i in range(DIM))
+    floor = "greatest(" + ", ".join(f"var_pop(x{i})" for i in range(DIM)) + ")"
+    return f"{name} as (select {stats}, case when {floor} > 0 then 1e-9 * {floor} else 1e-9 end as eps from sv where split = 'train' and label = {cls})"
+
+
+def _dist_sql(fit: str, sign: str) -> str:
+    const = " + ".join(f"0.5 * ln(2 * pi() * ({fit}.v{i} + {fit}.eps))" for i in range(DIM))
+    quad = " + ".join(f"(t.x{i} - {fit}.m{i}) * (t.x{i} - {fit}.m{i}) / ({fit}.v{i} + {fit}.eps)" for i in range(DIM))
+    return f"{sign} * (({const}) + 0.5 * ({quad}))"
+
+
+def _blend_sql() -> str:
+    return _scaled_vectors_sql() + ",\n" + _fit_sql("fb", 0) + ",\n" + _fit_sql("fa", 1) + f""",
+raw as (select t.row_id, t.label, {_dist_sql('fb', '1e0')} as sb, {_dist_sql('fa', '-1e0')} as sa
+  from (select * from sv where split = 'test') t cross join fb cross join fa),
+rg as (select min(sb) as lb, max(sb) as hb, min(sa) as la, max(sa) as ha from raw),
+nrm as (select row_id, label, (sb - lb) / (case when hb = lb then 1e0 else hb - lb end) as sb,
+  (sa - la) / (case when ha = la then 1e0 else ha - la end) as sa from raw cross join rg),
+bl as (select *, (1.5 * sb + 0.5 * sa) / 2e0 as blend from nrm),
+pr as (select row_id, label, {sg.r('sb')} as score_benign, {sg.r('sa')} as score_anomaly, {sg.r('blend')} as blend,
+  case when blend > 0.5 then 1 else 0 end as pred from bl)"""
+
+
+@query("one_class_scorer", sql=_scaled_vectors_sql() + ",\n" + _fit_sql("fb", 0) + f"""
+select t.row_id, t.label, {sg.r(_dist_sql('fb', '1e0'))} as score from (select * from sv where split = 'test') t cross join fb""")
+def one_class_scorer(spark, sf):
+    """Benign-class scorer (fitted on label 0 train rows) applied to every test row."""
+    from flowlens.functions.exprs import rnd
+    train, test, cols = _vector_parts(spark, sf)
+    s = SC.one_class_scorer(train.where(F.col("label") == 0), test, cols, 1.0)
+    return s.select("row_id", "label", rnd("score").alias("score"))
+
+
+def _blend(spark, sf):
+    train, test, cols = _vector_parts(spark, sf)
+    return SC.two_scorer_blend(train, test, cols)
+
+
+@query("blend_scores", sql=_blend_sql() + "\nselect * from pr")
+def blend_scores(spark, sf):
+    return _blend(spark, sf)
+
+
+@query("accuracy_of_blend", sql=_blend_sql() + f"""
+select count(*) as n, {sg.r(sg.sdiv('sum(case when pred = label then 1 else 0 end)', 'count(*)'))} as accuracy from pr""")
+def accuracy_of_blend(spark, sf):
+    from flowlens.functions.exprs import rnd, safe_div
+    b = _blend(spark, sf)
+    right = F.sum(F.when(F.col("pred") == F.col("label"), 1).otherwise(0))
+    return b.agg(F.count(F.lit(1)).alias("n"), rnd(safe_div(right, F.count(F.lit(1)))).alias("accuracy"))
+
+
+@query("match_counts", sql=_blend_sql() + f"""
+select cast(sum(case when pred = label then 1 else 0 end) as bigint) as n_right,
+  cast(sum(case when pred = label then 0 else 1 end) as bigint) as n_wrong,
+  {sg.r(sg.sdiv('sum(case when pred = label then 1 else 0 end)', 'count(*)'))} as accuracy from pr""")
+def match_counts(spark, sf):
+    return M.match_counts(_blend(spark, sf))
