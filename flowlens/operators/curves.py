@@ -75,20 +75,37 @@ def pr_points(df: DataFrame, score: str = "score", label: str = "label", digits:
     return pts.unionByName(end)
 
 
+def _ranked_sums(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Distinct scores with descending running counts (no class totals needed)."""
+    st = score_table(df, score, label)
+    cum = running_sum(st, "score", ["pos", "neg"], descending=True)
+    return cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+
+
+def _auc_ap_exprs(digits: int):
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
+    p, n = F.sum(pos), F.sum(neg)
+    # sum over scores of pos * (negatives below + neg / 2) = N P - sum(pos fp) + sum(pos neg) / 2
+    auc = F.when((p > 0) & (n > 0), (n * p - F.sum(pos * fp) + F.sum(pos * neg) / 2.0) / (p * n))
+    ap = F.when(p > 0, F.sum(pos * (tp / (tp + fp))) / p)
+    return rnd(auc, digits), rnd(ap, digits), p.cast("bigint"), n.cast("bigint")
+
+
 def auroc(df: DataFrame, score: str = "score", label: str = "label", digits: int = 6) -> DataFrame:
-    """Exact area under the ROC curve (ties count one half): sum over distinct scores of
-    pos * (negatives strictly below + neg / 2), over P * N. Null with one class."""
-    cum, p, n = cumulative_counts(df, score, label)
-    contrib = F.col("pos").cast("double") * ((F.lit(n) - F.col("fp")).cast("double") + F.col("neg").cast("double") / 2.0)
-    val = F.sum(contrib) / F.lit(float(p) * float(n)) if p and n else F.lit(None).cast("double")
-    return cum.agg(rnd(val, digits).alias("auroc"), F.lit(p).cast("bigint").alias("n_pos"),
-                   F.lit(n).cast("bigint").alias("n_neg"))
+    """Exact area under the ROC curve (ties count one half); null with one class.
+    One aggregation over the running counts: the class totals are its own sums."""
+    auc, _, p, n = _auc_ap_exprs(digits)
+    return _ranked_sums(df, score, label).agg(auc.alias("auroc"), p.alias("n_pos"), n.alias("n_neg"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", digits: int = 6) -> DataFrame:
     """Step-wise AP: sum over distinct scores (descending) of (pos / P) * precision there."""
-    cum, p, _ = cumulative_counts(df, score, label)
-    contrib = F.col("pos").cast("double") / F.lit(float(p or 1)) * (
-        F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double"))
-    val = F.sum(contrib) if p else F.lit(None).cast("double")
-    return cum.agg(rnd(val, digits).alias("average_precision"))
+    _, ap, _, _ = _auc_ap_exprs(digits)
+    return _ranked_sums(df, score, label).agg(ap.alias("average_precision"))
+
+
+def auroc_and_ap(df: DataFrame, score: str = "score", label: str = "label", digits: int = 6) -> DataFrame:
+    """Both areas from one pass over the running counts."""
+    auc, ap, _, _ = _auc_ap_exprs(digits)
+    return _ranked_sums(df, score, label).agg(auc.alias("auroc"), ap.alias("average_precision"))

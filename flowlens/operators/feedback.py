@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.exprs import rnd
-from flowlens.operators.curves import auroc, average_precision
+from flowlens.operators.curves import auroc_and_ap
 from flowlens.operators.metrics import binary_metrics, confusion_matrix
 from flowlens.operators.split import stratified_split, random_split
 
@@ -58,10 +57,9 @@ def evaluate(pred: DataFrame, stage: str | None = None, score: str = "log_odds",
     """binary metrics + AUROC + average precision as one row (tagged with ``stage``)."""
     keep = (F.lit(stage).alias("stage"),) if stage else ()
     m = binary_metrics(confusion_matrix(pred, label, pred_col), keep=keep)
-    a = auroc(pred, score, label).first()["auroc"]
-    ap = average_precision(pred, score, label).first()["average_precision"]
-    return m.withColumn("auroc", rnd(F.lit(a).cast("double"))).withColumn("average_precision",
-                                                                          rnd(F.lit(ap).cast("double")))
+    areas = auroc_and_ap(pred, score, label).first()      # two numbers
+    return (m.withColumn("auroc", F.lit(areas["auroc"]).cast("double"))
+            .withColumn("average_precision", F.lit(areas["average_precision"]).cast("double")))
 
 
 def before_after_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.text import TOKEN_PATTERN, tokens
+from flowlens.session import materialize
 
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -50,26 +51,28 @@ def fit_text_nb(counts: DataFrame, labels: DataFrame, key: str = "row_id", label
                 weight: str | None = None, alpha: float = 1.0):
     """Multinomial NB. Returns (model: (token, class, logp), priors: {class: log prior}).
 
-    ``labels`` has (key, label[, weight]); ``counts`` has (key, token, tf).
+    ``labels`` has (key, label[, weight]); ``counts`` has (key, token, tf). The
+    (class, token) count table is materialised once; vocabulary size and class
+    totals are read from it (one row per class), the model table is materialised
+    for the size check and the lookup.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     lab = labels.select(key, F.col(label).alias("__cls"), w.alias("__w"))
     docs = lab.groupBy("__cls").agg(F.sum("__w").alias("__n")).collect()      # one row per class
     total = sum(r["__n"] for r in docs)
     priors = {r["__cls"]: math.log(r["__n"] / total) for r in docs}
-    j = counts.join(lab, key, "inner")
-    ct = j.groupBy("__cls", "token").agg(F.sum(F.col("tf") * F.col("__w")).alias("__c"))
-    vocab = counts.join(lab.select(key), key, "left_semi").select("token").distinct()
-    v = vocab.count()
-    class_tot = ct.groupBy("__cls").agg(F.sum("__c").alias("__ctot")).collect()
-    tot = {r["__cls"]: r["__ctot"] for r in class_tot}
-    # every (class, vocabulary token) pair gets a probability, seen in that class or not
     classes = sorted(priors)
-    grid = vocab.withColumn("__cls", F.explode(F.array(*[F.lit(c) for c in classes])))
-    full = grid.join(ct, ["__cls", "token"], "left")
-    denom = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(float(tot.get(c, 0.0)) + alpha * v))])
-    logp = F.log((F.coalesce(F.col("__c"), F.lit(0.0)) + F.lit(alpha)) / F.element_at(denom, F.col("__cls")))
-    return full.select("token", F.col("__cls").alias("class"), logp.alias("logp")), priors
+    ct = materialize(counts.join(lab, key, "inner").groupBy("token").pivot("__cls", classes)
+                     .agg(F.sum(F.col("tf") * F.col("__w"))))
+    tot_row = ct.agg(F.count(F.lit(1)).alias("__v"),
+                     *[F.sum(F.col(f"`{c}`")).alias(f"__t{i}") for i, c in enumerate(classes)]).first()
+    v = tot_row["__v"]
+    logps = [F.struct(F.lit(c).alias("class"),
+                      F.log((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) + F.lit(alpha))
+                            / F.lit(float(tot_row[f"__t{i}"] or 0.0) + alpha * v)).alias("logp"))
+             for i, c in enumerate(classes)]
+    model = ct.select("token", F.explode(F.array(*logps)).alias("m")).select("token", "m.class", "m.logp")
+    return materialize(model), priors
 
 
 def predict_text_nb(counts: DataFrame, rows: DataFrame, model: DataFrame, priors: dict, key: str = "row_id",
@@ -99,7 +102,7 @@ def text_classifier(train: DataFrame, test: DataFrame, col: str = "text", label:
                     keep: tuple = ()) -> DataFrame:
     """Fit on ``train`` text, score ``test``: (key, label, keep..., pred, log_odds, p1)."""
     if method == "nb":
-        tr_counts = token_counts(train, col, key)
+        tr_counts = materialize(token_counts(train, col, key))
         model, priors = fit_text_nb(tr_counts, train, key, label, weight)
         return predict_text_nb(token_counts(test, col, key), test, model, priors, key, label, keep)
     from pyspark.ml import Pipeline

@@ -8,19 +8,12 @@ from pyspark.sql import functions as F
 from flowlens.operators.split import stratified_split
 from flowlens.plans import fixtures as fx
 from flowlens.plans import sqlgen as sg
-from flowlens.session import checkpoint_root
+from flowlens.session import materialize  # noqa: F401  (re-exported)
 
 SEED = 42
 TEST_FRACTION = "0.2"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (cuts lineage, survives
-    executor loss); used where one frame feeds several jobs."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def split_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labelled flows + exact stratified 80/20 split, materialised once."""
     df = fx.labelled_flows(spark, sf_dir)

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.exprs import rnd
 from flowlens.sources.tables import read_table
 
 # Feature roles of the flows fixture (fixed values)
@@ -32,17 +31,22 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+    # Money is summed exactly as integer cents (bigint): the same value a decimal(18,2) sum
+    # gives, without the slow wide-decimal aggregation buffer.
+    def cents(c):
+        return F.floor(F.col(c) * F.lit(100.0) + F.lit(0.5))
+
     lines = li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines_"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty_"),
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount_"),
+        F.sum(cents("l_quantity")).alias("qty_c"),
+        F.sum(cents("l_extendedprice")).alias("amount_c"),
         F.max("l_discount").alias("max_discount_"))
     cn = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left")
     j = (o.join(cn, o.o_custkey == cn.c_custkey, "inner")
          .join(lines, o.o_orderkey == lines.l_orderkey, "left"))
-    amount_dec = F.coalesce(F.col("amount_"), F.lit(0).cast("decimal(28,2)"))
+    amount_c = F.coalesce(F.col("amount_c"), F.lit(0).cast("bigint"))
     label = (F.when(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 1) == "0", "spoof")
-             .when(amount_dec >= 260000, "flood")
+             .when(amount_c >= 26000000, "flood")
              .when(F.col("c_acctbal") < 0, "probe")
              .otherwise("normal"))
     return j.select(
@@ -53,8 +57,8 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_acctbal") < 0, 1).otherwise(0).cast("int").alias("overdrawn"),
         F.lit(0).cast("bigint").alias("always_zero"),
         F.coalesce(F.col("n_lines_"), F.lit(0).cast("bigint")).alias("n_lines"),
-        rnd(F.coalesce(F.col("qty_"), F.lit(0)).cast("double"), 2).alias("qty"),
-        rnd(amount_dec.cast("double"), 2).alias("amount"),
+        (F.coalesce(F.col("qty_c"), F.lit(0).cast("bigint")) / F.lit(100.0)).alias("qty"),
+        (amount_c / F.lit(100.0)).alias("amount"),
         F.coalesce(F.col("max_discount_"), F.lit(0.0)).alias("max_discount"),
         F.col("o_totalprice").alias("total"),
         F.col("c_acctbal").alias("balance"),

@@ -41,7 +41,7 @@ def _refit(spark, sf):
     corr = FB.collect_corrections(pred.where(F.col("part") == "feedback"))
     refit_train = FB.refit_frame(train, corr, ["row_id", "text", "label"], CORRECTION_WEIGHT, "union")
     evalp = pred.where(F.col("part") == "eval")
-    after = text_classifier(refit_train, evalp, weight="weight")
+    after = materialize(text_classifier(refit_train, evalp, weight="weight"))
     return train, pred, refit_train, after
 
 

@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for one written table."""
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/flowlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: cuts lineage and survives
+    executor loss. Used where one frame feeds several jobs."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
