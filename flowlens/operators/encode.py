@@ -44,48 +44,47 @@ def _dict_size(fit: DataFrame) -> int:
     return fit.limit(MAP_LIMIT + 1).count()
 
 
+def _unseen_guard(value, code, col: str):
+    """The code, or a task failure naming the column when a non-null value has no code.
+    Checked lazily inside the same projection (no extra pass over the data)."""
+    return F.when(value.isNotNull() & code.isNull(),
+                  F.raise_error(F.concat(F.lit(f"unseen category in column {col!r}: "), value.cast("string")))
+                  ).otherwise(code)
+
+
 def apply_label_encode(df: DataFrame, fit: DataFrame, unseen: str = "error", suffix: str = "") -> DataFrame:
     """Replace each fitted column by its code (or add ``col + suffix``).
 
-    ``unseen='error'`` raises when a non-null value has no code; ``'null'`` keeps null.
+    ``unseen='error'`` fails the job on a non-null value without a code (raised where
+    the row is encoded); ``'null'`` keeps null. A dictionary under ``MAP_LIMIT``
+    entries is inlined as a literal map (projection only); a larger one is joined.
     """
-    cols = [r[0] for r in fit.select("column").distinct().collect()]   # schema-bounded
-    cols = [c for c in df.columns if c in cols]
-    if unseen == "error":
+    entries = fit.limit(MAP_LIMIT + 1).collect()
+    cols = [c for c in df.columns if c in {r["column"] for r in entries}]
+    if len(entries) <= MAP_LIMIT:
+        exprs = {}
         for c in cols:
-            d = fit.where(F.col("column") == c).select(F.col("value").alias(c))
-            bad = df.select(F.col(c).cast("string").alias(c)).where(F.col(c).isNotNull()).join(d, c, "left_anti")
-            sample = bad.limit(3).collect()
-            if sample:
-                raise UnseenCategoryError(f"column {c!r} has values unseen at fit time, e.g. {[r[0] for r in sample]}")
+            kv = [x for r in entries if r["column"] == c for x in (F.lit(r["value"]), F.lit(r["code"]))]
+            code = F.element_at(F.create_map(*kv), F.col(c).cast("string"))
+            exprs[c + suffix] = (_unseen_guard(F.col(c), code, c) if unseen == "error" else code).alias(c + suffix)
+        return df.select(*[exprs.pop(c, F.col(c)) for c in df.columns], *exprs.values())
     out = df
-    if _dict_size(fit) <= MAP_LIMIT:
-        entries = fit.collect()
-        for c in cols:
-            kv = []
-            for r in entries:
-                if r["column"] == c:
-                    kv += [F.lit(r["value"]), F.lit(r["code"])]
-            m = F.create_map(*kv) if kv else F.create_map().cast("map<string,int>")
-            out = out.withColumn(c + suffix, F.element_at(m, F.col(c).cast("string")) if kv else F.lit(None).cast("int"))
-        return out
     for c in cols:
         d = fit.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
         out = out.join(d, out[c].cast("string") == d["__v"], "left").drop("__v")
-        out = out.withColumn(c + suffix, F.col("__code")).drop("__code")
+        code = _unseen_guard(F.col(c), F.col("__code"), c) if unseen == "error" else F.col("__code")
+        out = out.withColumn(c + suffix, code).drop("__code")
     return out
 
 
 def encode_lookup(df: DataFrame, col: str, fit: DataFrame, out: str | None = None) -> DataFrame:
-    """Dictionary join: category -> code (join form; broadcast when the dictionary is small)."""
-    d = fit.where(F.col("column") == col).select(F.col("value").alias("__v"), F.col("code").alias(out or f"{col}_code"))
-    small = _dict_size(fit) <= MAP_LIMIT
-    d = F.broadcast(d) if small else d
+    """Dictionary join: category -> code (broadcast when the dictionary is under MAP_LIMIT
+    entries, else a shuffle join); an unseen value fails the job."""
+    name = out or f"{col}_code"
+    d = fit.where(F.col("column") == col).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
+    d = F.broadcast(d) if _dict_size(fit) <= MAP_LIMIT else d
     res = df.join(d, df[col].cast("string") == d["__v"], "left").drop("__v")
-    missing = res.where(F.col(col).isNotNull() & F.col(out or f"{col}_code").isNull()).limit(1).count()
-    if missing:
-        raise UnseenCategoryError(f"column {col!r} has values unseen at fit time")
-    return res
+    return res.withColumn(name, _unseen_guard(F.col(col), F.col("__code"), col)).drop("__code")
 
 
 def fit_one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -218,6 +217,33 @@ def apply_pca(df: DataFrame, fit: dict, k: int | None = None, keep: tuple = (),
     return staged.select(*keep, F.array(*projs).alias(out))
 
 
+def fit_pca_vec(df: DataFrame, vec: str = "vec") -> dict:
+    """``fit_pca`` over an array<double> column; keeps the MLlib model for a BLAS transform."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    feats = df.select(array_to_vector(vec).alias("__features"))
+    first = feats.first()
+    d = len(first["__features"]) if first else 0
+    model = PCA(k=d, inputCol="__features", outputCol="__pcs").fit(feats)
+    pc = np.array(model.pc.toArray().T, copy=True)          # k x d, rows = components
+    mean = feats.select(Summarizer.mean(F.col("__features")).alias("m")).first()["m"].toArray()
+    signs = [(-1.0 if pc[k][np.argmax(np.abs(pc[k]))] < 0 else 1.0) for k in range(pc.shape[0])]
+    return {"model": model, "mean": mean.tolist(), "mean_proj": (pc @ mean).tolist(), "signs": signs,
+            "components": (pc * np.array(signs)[:, None]).tolist(),
+            "ratio": model.explainedVariance.toArray().tolist()}
+
+
+def apply_pca_vec(df: DataFrame, fit: dict, vec: str = "vec", keep: tuple = (), out: str = "pcs") -> DataFrame:
+    """Centred, sign-fixed projections: MLlib's BLAS transform, then (p - mean . v) * sign."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    staged = df.select(*keep, array_to_vector(vec).alias("__features"))
+    proj = fit["model"].transform(staged).select(*keep, vector_to_array("__pcs").alias("__p"))
+    z = F.arrays_zip(F.col("__p").alias("p"), F.array(*[F.lit(float(x)) for x in fit["mean_proj"]]).alias("m"),
+                     F.array(*[F.lit(float(x)) for x in fit["signs"]]).alias("s"))
+    return proj.select(*keep, F.transform(z, lambda e: (e["p"] - e["m"]) * e["s"]).alias(out))
+
+
 def pca_variance_frame(spark, fit: dict) -> DataFrame:
     """(component, ratio) of a PCA fit (d rows)."""
     rows = [(i, float(r)) for i, r in enumerate(fit["ratio"])]

@@ -76,3 +76,27 @@ def two_scorer_blend(train: DataFrame, test: DataFrame, cols: list[str], label:
     out = blend_scores(scored)
     return out.select(key, label, rnd("score_benign", digits).alias("score_benign"),
                       rnd("score_anomaly", digits).alias("score_anomaly"), rnd("blend", digits).alias("blend"), "pred")
+
+
+# ---------------------------------------------------------------- array<double> features
+
+def one_class_scorer_vec(train_subset: DataFrame, test: DataFrame, vec: str = "vec", sign: float = 1.0,
+                         key: str = "row_id", keep: tuple = ("label",), out: str = "score") -> DataFrame:
+    """``one_class_scorer`` over an array column: one Summarizer fit, one aggregate() per row."""
+    from flowlens.operators.vectors import fit_gaussian_vec, gaussian_distance_vec
+    fit = fit_gaussian_vec(train_subset, vec)[None]
+    return test.select(key, *keep, gaussian_distance_vec(fit, vec, sign).alias(out))
+
+
+def two_scorer_blend_vec(train: DataFrame, test: DataFrame, vec: str = "vec", label: str = "label",
+                         key: str = "row_id", digits: int = 6) -> DataFrame:
+    """``two_scorer_blend`` over an array column; both class fits come from one aggregation."""
+    from flowlens.operators.scale import apply_minmax_scale, fit_minmax_scale
+    from flowlens.operators.vectors import fit_gaussian_vec, gaussian_distance_vec
+    fits = fit_gaussian_vec(train, vec, label)
+    raw = test.select(key, label, gaussian_distance_vec(fits[0], vec, 1.0).alias("score_benign"),
+                      gaussian_distance_vec(fits[1], vec, -1.0).alias("score_anomaly"))
+    scored = apply_minmax_scale(raw, fit_minmax_scale(raw, ["score_benign", "score_anomaly"]))
+    out = blend_scores(scored)
+    return out.select(key, label, rnd("score_benign", digits).alias("score_benign"),
+                      rnd("score_anomaly", digits).alias("score_anomaly"), rnd("blend", digits).alias("blend"), "pred")

@@ -25,16 +25,14 @@ def _frac(f) -> Fraction:
     return Fraction(str(f)) if not isinstance(f, Fraction) else f
 
 
-def class_quotas(df: DataFrame, label: str | None, test_fraction, first: str = "train") -> DataFrame:
-    """Per-class (n, n_train, n_test) with n_test = ceil(f * N) overall and the
-    ``first`` part's class counts by largest remainder (ties: smaller label first).
+def quotas_from_counts(counts: DataFrame, test_fraction, first: str = "train") -> DataFrame:
+    """Per-class (__class, n, n_train, n_test) from a (__class, n) table.
 
-    Small output: one row per class. The window below has no partition but runs
+    n_test = ceil(f * N) overall; the ``first`` part's class counts follow the largest
+    remainder (ties: smaller label first). One row per class: the windows here run
     over the class table only.
     """
     f = _frac(test_fraction)
-    lab = F.col(label) if label else F.lit("all")
-    counts = df.groupBy(lab.alias("__class")).agg(F.count(F.lit(1)).alias("n"))
     wall = Window.partitionBy()
     total = F.sum("n").over(wall)
     # n_test = ceil(N * num / den) in integer arithmetic
@@ -54,22 +52,32 @@ def class_quotas(df: DataFrame, label: str | None, test_fraction, first: str = "
     first_n = (F.col("base") + F.when(F.col("__pos") <= F.col("__deficit"), 1).otherwise(0)).cast("bigint")
     out = staged.select(F.col("__class"), F.col("n"), first_n.alias("__first"))
     if first == "test":
-        out = out.select("__class", "n", (F.col("n") - F.col("__first")).alias("n_train"),
-                         F.col("__first").alias("n_test"))
-    else:
-        out = out.select("__class", "n", F.col("__first").alias("n_train"),
-                         (F.col("n") - F.col("__first")).alias("n_test"))
-    return out
+        return out.select("__class", "n", (F.col("n") - F.col("__first")).alias("n_train"),
+                          F.col("__first").alias("n_test"))
+    return out.select("__class", "n", F.col("__first").alias("n_train"),
+                      (F.col("n") - F.col("__first")).alias("n_test"))
+
+
+def class_quotas(df: DataFrame, label: str | None, test_fraction, first: str = "train") -> DataFrame:
+    """Per-class (__class, n, n_train, n_test) of ``df`` (see ``quotas_from_counts``)."""
+    lab = F.col(label) if label else F.lit("all")
+    counts = df.groupBy(lab.alias("__class")).agg(F.count(F.lit(1)).alias("n"))
+    return quotas_from_counts(counts, test_fraction, first)
 
 
-def _cut_assign(df: DataFrame, key: str, label: str | None, quota: DataFrame, seed: int,
+def _cut_assign(df: DataFrame, key: str, label: str | None, quota, seed: int,
                 hex_digits: int, inside: str, outside: str, out: str) -> DataFrame:
-    """Rows whose class rank by (md5(seed#key), key) is <= quota get ``inside``."""
+    """Rows whose class rank by (md5(seed#key), key) is <= quota get ``inside``.
+
+    ``quota`` is a (__class, __quota) DataFrame or a function of the per-class
+    counts table (__class, n), so the input is counted only once."""
     lab = F.col(label) if label else F.lit("all")
     h, b = "__h", "__hb"
     staged = df.withColumn("__class", lab).withColumn(h, stable_hash(seed, key)) \
         .withColumn(b, F.substring(h, 1, hex_digits))
     counts = staged.groupBy("__class", b).agg(F.count(F.lit(1)).alias("__c"))
+    if callable(quota):
+        quota = quota(counts.groupBy("__class").agg(F.sum("__c").alias("n")))
     w = Window.partitionBy("__class").orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = counts.withColumn("__cum", F.sum("__c").over(w))
     cum = join_small(cum, quota.select("__class", F.col("__quota")), ["__class"])
@@ -93,7 +101,8 @@ def _cut_assign(df: DataFrame, key: str, label: str | None, quota: DataFrame, se
 def stratified_split(df: DataFrame, key: str, label: str | None, test_fraction=0.2, seed: int = 42,
                      out: str = "split", hex_digits: int = 4) -> DataFrame:
     """Exact stratified train/test split: adds ``out`` in {'train', 'test'}."""
-    q = class_quotas(df, label, test_fraction).select("__class", F.col("n_train").alias("__quota"))
+    def q(class_counts):
+        return quotas_from_counts(class_counts, test_fraction).select("__class", F.col("n_train").alias("__quota"))
     return _cut_assign(df, key, label, q, seed, hex_digits, "train", "test", out)
 
 
@@ -106,12 +115,13 @@ def random_split(df: DataFrame, key: str, test_fraction=0.2, seed: int = 42, out
 def sample_fraction(df: DataFrame, key: str, fraction=0.035, seed: int = 42, hex_digits: int = 4) -> DataFrame:
     """Exactly round-half-even(fraction * N) rows without replacement."""
     f = _frac(fraction)
-    n = df.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    prod = F.col("n") * f.numerator
-    q = F.floor(prod / F.lit(f.denominator)).cast("bigint")
-    r = prod - q * f.denominator
-    keep = q + F.when((2 * r > f.denominator) | ((2 * r == f.denominator) & (q % 2 == 1)), 1).otherwise(0)
-    quota = n.select(F.lit("all").alias("__class"), keep.cast("bigint").alias("__quota"))
+
+    def quota(class_counts):
+        prod = F.col("n") * f.numerator
+        q = F.floor(prod / F.lit(f.denominator)).cast("bigint")
+        r = prod - q * f.denominator
+        keep = q + F.when((2 * r > f.denominator) | ((2 * r == f.denominator) & (q % 2 == 1)), 1).otherwise(0)
+        return class_counts.select("__class", keep.cast("bigint").alias("__quota"))
     tagged = _cut_assign(df, key, None, quota, seed, hex_digits, "in", "out", "__pick")
     return tagged.where(F.col("__pick") == "in").drop("__pick")
 

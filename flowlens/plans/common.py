@@ -16,8 +16,8 @@ TEST_FRACTION = "0.2"
 
 def split_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labelled flows + exact stratified 80/20 split, materialised once."""
-    df = fx.labelled_flows(spark, sf_dir)
-    return materialize(stratified_split(df, "row_id", "label", TEST_FRACTION, SEED))
+    df = materialize(fx.labelled_flows(spark, sf_dir), "flows")
+    return materialize(stratified_split(df, "row_id", "label", TEST_FRACTION, SEED), "flows-split")
 
 
 def split_flows_sql() -> str:

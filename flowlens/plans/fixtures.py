@@ -86,6 +86,13 @@ left join (select l_orderkey, count(*) as n_lines, sum(cast(l_quantity as decima
 """
 
 
+def flows_table(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame:
+    """flows written once to the shared checkpoint folder, for queries that pass over it
+    several times (a quantile probe, counts, then the rows)."""
+    from flowlens.session import materialize
+    return materialize(labelled_flows(spark, sf_dir) if labelled else flows(spark, sf_dir), "flows")
+
+
 def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flows + label = 0 for the benign class, else 1."""
     from flowlens.functions.labels import binarize_equals

@@ -144,19 +144,19 @@ def _spearman_sql():
 
 @query("spearman_matrix", sql=_spearman_sql())
 def spearman_matrix(spark, sf):
-    return E.spearman_matrix(fx.flows(spark, sf), SPEARMAN_COLS, "row_id")
+    return E.spearman_matrix(fx.flows_table(spark, sf), SPEARMAN_COLS, "row_id")
 
 
 @query("sorted_correlations", sql="select * from (" + _spearman_sql() + ") m where a < b order by rho desc nulls last, a, b")
 def sorted_correlations(spark, sf):
-    return E.sorted_correlations(E.spearman_matrix(fx.flows(spark, sf), SPEARMAN_COLS, "row_id"))
+    return E.sorted_correlations(E.spearman_matrix(fx.flows_table(spark, sf), SPEARMAN_COLS, "row_id"))
 
 
 @query("average_rank", sql=FL + "\n" + "\nunion all\n".join(
     f"select row_id, '{c}' as \"column\", cast({c} as double) as value, "
     f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2e0 as rank from flows" for c in NUM))
 def average_rank(spark, sf):
-    return E.average_rank(fx.flows(spark, sf), NUM, "row_id")
+    return E.average_rank(fx.flows_table(spark, sf), NUM, "row_id")
 
 
 # ---------------------------------------------------------------- PCA on the 64-d vectors
@@ -165,32 +165,32 @@ DIM = 64
 
 
 def _vector_parts(spark, sf):
+    """Vectors split 80/20 (exact, stratified by the binary label), min-max scaled per
+    dimension with the train ranges: (train, test) with ``vec`` array<double>."""
+    from flowlens.operators import vectors as V
     from flowlens.operators.split import stratified_split
     from flowlens.plans.common import materialize
-    v = fx.vectors(spark, sf)
-    v = v.select("row_id", "label", *[F.col("vec")[i].alias(f"x{i}") for i in range(DIM)])
-    sp = materialize(stratified_split(v, "row_id", "label", "0.2", 42))
-    cols = [f"x{i}" for i in range(DIM)]
+    sp = materialize(stratified_split(fx.vectors(spark, sf), "row_id", "label", "0.2", 42), "vectors-split")
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    mm = S.fit_minmax_scale(train, cols)
-    return S.apply_minmax_scale(train, mm), S.apply_minmax_scale(test, mm), cols
+    mm = V.fit_minmax_vec(train)
+    return V.apply_minmax_vec(train, mm), V.apply_minmax_vec(test, mm)
 
 
 @query("pca_fit_apply")
 def pca_fit_apply(spark, sf):
     """Full PCA on the min-max scaled train vectors, centred projections of the test vectors."""
-    train, test, cols = _vector_parts(spark, sf)
-    fit = E.fit_pca(train, cols)
-    return E.apply_pca(test, fit, keep=("row_id", "label"))
+    train, test = _vector_parts(spark, sf)
+    fit = E.fit_pca_vec(train, "vec")
+    return E.apply_pca_vec(test, fit, "vec", keep=("row_id", "label"))
 
 
 @query("cumulative_variance")
 def cumulative_variance(spark, sf):
-    train, _, cols = _vector_parts(spark, sf)
-    return E.cumulative_variance(E.pca_variance_frame(spark, E.fit_pca(train, cols)))
+    train, _ = _vector_parts(spark, sf)
+    return E.cumulative_variance(E.pca_variance_frame(spark, E.fit_pca_vec(train, "vec")))
 
 
 @query("latent_dim")
 def latent_dim(spark, sf):
-    train, _, cols = _vector_parts(spark, sf)
-    return E.latent_dim(E.cumulative_variance(E.pca_variance_frame(spark, E.fit_pca(train, cols))), 0.90)
+    train, _ = _vector_parts(spark, sf)
+    return E.latent_dim(E.cumulative_variance(E.pca_variance_frame(spark, E.fit_pca_vec(train, "vec"))), 0.90)

@@ -198,10 +198,10 @@ def q_batch_scoring(spark, sf):
 
     import numpy as np
 
-    from flowlens.operators.scorers import fit_one_class
+    from flowlens.operators.vectors import fit_gaussian_vec
     from flowlens.plans.q_encode import _vector_parts
-    train, test, cols = _vector_parts(spark, sf)
-    fit = fit_one_class(train.where(F.col("label") == 0), cols)
+    train, test = _vector_parts(spark, sf)
+    fit = fit_gaussian_vec(train.where(F.col("label") == 0), "vec")[None]
     mean, var = np.array(fit["mean"]), np.array(fit["var"])
     const = float(sum(0.5 * math.log(2 * math.pi * v) for v in var))
 
@@ -209,8 +209,8 @@ def q_batch_scoring(spark, sf):
         import pandas as pd
 
         def fn(pdf):
-            x = pdf[cols].to_numpy(dtype=np.float64)
+            x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             score = const + 0.5 * (((x - mean) ** 2) / var).sum(axis=1)
             return pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "score": np.round(score, 6)})
         return fn
-    return batch_scoring(test, make_fn, ["row_id"] + cols, 8, "row_id long, score double")
+    return batch_scoring(test, make_fn, ["row_id", "vec"], 8, "row_id long, score double")

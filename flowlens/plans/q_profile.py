@@ -49,7 +49,7 @@ def top_categories(spark, sf):
   {sg.r(f'quantile_cont({c}, 0.25)')} as q25, {sg.r(f'quantile_cont({c}, 0.5)')} as q50,
   {sg.r(f'quantile_cont({c}, 0.75)')} as q75, {sg.r(f'max({c})')} as max from flows"""))
 def describe(spark, sf):
-    return P.describe(fx.flows(spark, sf), NUM)
+    return P.describe(fx.flows_table(spark, sf), NUM)
 
 
 @query("distinct_values", sql=FL + "\nselect distinct protocol from flows")

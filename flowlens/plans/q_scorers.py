@@ -11,7 +11,6 @@ from flowlens.plans import sqlgen as sg
 from flowlens.plans.catalog import query
 from flowlens.plans.q_encode import DIM, _vector_parts
 
-COLS = [f"x{i}" for i in range(DIM)]
 
 
 def _scaled_vectors_sql() -> str:
@@ -53,14 +52,14 @@ select t.row_id, t.label, {sg.r(_dist_sql('fb', '1e0'))} as score from (select *
 def one_class_scorer(spark, sf):
     """Benign-class scorer (fitted on label 0 train rows) applied to every test row."""
     from flowlens.functions.exprs import rnd
-    train, test, cols = _vector_parts(spark, sf)
-    s = SC.one_class_scorer(train.where(F.col("label") == 0), test, cols, 1.0)
+    train, test = _vector_parts(spark, sf)
+    s = SC.one_class_scorer_vec(train.where(F.col("label") == 0), test, "vec", 1.0)
     return s.select("row_id", "label", rnd("score").alias("score"))
 
 
 def _blend(spark, sf):
-    train, test, cols = _vector_parts(spark, sf)
-    return SC.two_scorer_blend(train, test, cols)
+    train, test = _vector_parts(spark, sf)
+    return SC.two_scorer_blend_vec(train, test, "vec")
 
 
 @query("blend_scores", sql=_blend_sql() + "\nselect * from pr")

@@ -13,13 +13,13 @@ SEED = 42
 
 @query("stratified_split", sql=LF + "," + sg.split_ctes("lf", "label", "0.2", SEED) + "\nselect row_id, label, split from sp")
 def stratified_split(spark, sf):
-    df = fx.labelled_flows(spark, sf).select("row_id", "label")
+    df = fx.flows_table(spark, sf, labelled=True).select("row_id", "label")
     return S.stratified_split(df, "row_id", "label", "0.2", SEED)
 
 
 @query("random_split", sql=LF + "," + sg.split_ctes("lf", None, "0.2", SEED) + "\nselect row_id, split from sp")
 def random_split(spark, sf):
-    return S.random_split(fx.labelled_flows(spark, sf).select("row_id"), "row_id", "0.2", SEED)
+    return S.random_split(fx.flows_table(spark, sf, labelled=True).select("row_id"), "row_id", "0.2", SEED)
 
 
 def _sample_sql(frac="0.035"):
@@ -34,7 +34,7 @@ select row_id, attack_type from rk cross join kk where rn <= keep"""
 
 @query("sample_fraction", sql=_sample_sql())
 def sample_fraction(spark, sf):
-    df = fx.labelled_flows(spark, sf).select("row_id", "attack_type")
+    df = fx.flows_table(spark, sf, labelled=True).select("row_id", "attack_type")
     return S.sample_fraction(df, "row_id", "0.035", SEED)
 
 
@@ -42,7 +42,7 @@ def sample_fraction(spark, sf):
 select row_id, label, row_number() over (partition by label order by {sg.h(SEED)}, row_id) as rank,
   count(*) over (partition by label) as class_n from lf""")
 def exact_quota_rank(spark, sf):
-    return S.exact_quota_rank(fx.labelled_flows(spark, sf).select("row_id", "label"), "row_id", "label", SEED)
+    return S.exact_quota_rank(fx.flows_table(spark, sf, labelled=True).select("row_id", "label"), "row_id", "label", SEED)
 
 
 def _folds_sql(k=5, label="attack_type"):
@@ -64,11 +64,11 @@ select rk.row_id, rk.{label}, cast({fold} as int) as fold from rk join bd on bd.
 
 @query("stratified_folds", sql=_folds_sql())
 def stratified_folds(spark, sf):
-    df = fx.flows(spark, sf).select("row_id", "attack_type")
+    df = fx.flows_table(spark, sf).select("row_id", "attack_type")
     return S.stratified_folds(df, "row_id", "attack_type", 5)
 
 
 @query("shuffle_batches", sql=LF + f"""
 select row_id, cast((row_number() over (order by {sg.h(SEED * 1000003)}, row_id) - 1) // 32 as bigint) as batch from lf""")
 def shuffle_batches(spark, sf):
-    return S.shuffle_batches(fx.labelled_flows(spark, sf).select("row_id"), "row_id", 32, SEED, 0)
+    return S.shuffle_batches(fx.flows_table(spark, sf, labelled=True).select("row_id"), "row_id", 32, SEED, 0)
