@@ -16,18 +16,48 @@ TOKEN_PATTERN = r"\w+|[^\w\s]"
 NULL_TEXT = "nan"
 
 
+def _strip_zeros(digits: Column) -> Column:
+    d = F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", "")
+    return F.when(d == "", F.lit("0")).otherwise(d)
+
+
+def _java_digits_exp(s: Column):
+    """(significant digits, decimal exponent) of Java's unsigned Double.toString text."""
+    e_form = F.contains(s, F.lit("E"))
+    mant = F.when(e_form, F.regexp_extract(s, r"^([0-9.]+)E", 1)).otherwise(s)
+    exp_e = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
+    ip = F.regexp_extract(mant, r"^([0-9]+)", 1)
+    fp = F.regexp_extract(mant, r"\.([0-9]*)$", 1)
+    lead0 = F.length(fp) - F.length(F.regexp_replace(fp, "^0+", ""))
+    exp_p = F.when(ip != "0", F.length(ip) - 1).otherwise(-(lead0 + 1))
+    digits = _strip_zeros(F.regexp_replace(mant, r"\.", ""))
+    return digits, F.when(e_form, exp_e).otherwise(exp_p)
+
+
+def _sci_digits_exp(t: Column):
+    """(significant digits, exponent) of Java's %.Ne text, unsigned."""
+    return (_strip_zeros(F.regexp_replace(F.regexp_extract(t, r"^([0-9.]+)e", 1), r"\.", "")),
+            F.regexp_extract(t, r"e([-+][0-9]+)$", 1).cast("int"))
+
+
 def _double_py_str(c: Column) -> Column:
-    s = c.cast("string")
-    # Java form: [-]d.dddE[-]x  ->  sign, digits without the point, exponent
-    neg = F.startswith(s, F.lit("-"))
-    body = F.regexp_replace(s, "^-", "")
-    mant = F.regexp_extract(body, r"^([0-9.]+)E", 1)
-    exp = F.regexp_extract(body, r"E(-?[0-9]+)$", 1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    s = F.regexp_replace(c.cast("string"), "^-", "")
+    neg = F.startswith(c.cast("string"), F.lit("-"))
+    digits, exp = _java_digits_exp(s)
+    # Java's Double.toString is not always the shortest text (it can print 17-18
+    # digits); then take the shortest correctly rounded 15/16/17-digit form that
+    # parses back to the same double, which is what Python prints.
+    a = F.abs(c)
+    cands = [(p, F.format_string(f"%.{p - 1}e", a)) for p in (15, 16, 17)]
+    pick = F.when(cands[0][1].cast("double") == a, cands[0][1]) \
+        .when(cands[1][1].cast("double") == a, cands[1][1]).otherwise(cands[2][1])
+    d2, e2 = _sci_digits_exp(pick)
+    long_java = F.length(digits) >= 17
+    digits = F.when(long_java, d2).otherwise(digits)
+    exp = F.when(long_java, e2).otherwise(exp)
     nd = F.length(digits)
-    # positional form for -4 <= exp <= 15
     big = F.lit(1 << 20)
+    # positional form for -4 <= exp <= 15
     int_part = F.when(nd <= exp + 1, F.concat(digits, F.repeat(F.lit("0"), exp + 1 - nd))) \
         .otherwise(digits.substr(F.lit(1), exp + 1))
     frac_part = F.when(nd <= exp + 1, F.lit("0")).otherwise(digits.substr(exp + 2, big))
@@ -40,14 +70,12 @@ def _double_py_str(c: Column) -> Column:
     e_txt = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
     expo = F.concat(m, F.lit("e"), e_txt)
     conv = F.when((exp >= -4) & (exp <= 15), positional).otherwise(expo)
+    conv = F.when(c == 0, F.lit("0.0")).otherwise(conv)
     conv = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), conv)
-    java_exp = F.contains(s, F.lit("E"))
     special = (F.when(F.isnan(c), F.lit("nan"))
                .when(c == float("inf"), F.lit("inf"))
                .when(c == float("-inf"), F.lit("-inf")))
-    out = F.when(c.isNull(), F.lit(NULL_TEXT)).otherwise(
-        F.coalesce(special, F.when(java_exp, conv).otherwise(s)))
-    return out
+    return F.when(c.isNull(), F.lit(NULL_TEXT)).otherwise(F.coalesce(special, conv))
 
 
 def py_str(df: DataFrame, col: str) -> Column:

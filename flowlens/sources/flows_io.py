@@ -63,8 +63,11 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _read_class_folder(spark: SparkSession, folder: str, label: str, drop: tuple) -> tuple[DataFrame, DataFrame]:
-    inferred = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", 0.1).csv(folder)
+def _read_class_folder(spark: SparkSession, folder: str, label: str, drop: tuple,
+                       infer_sample: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    # Inference is a pass over the folder; at scale pass a sample ratio (or a known schema).
+    inferred = (spark.read.option("header", True).option("inferSchema", True)
+                .option("samplingRatio", infer_sample).csv(folder))
     fields = [f for f in inferred.schema.fields]
     schema = T.StructType(fields + [T.StructField(EXTRA_COL, T.StringType()),
                                     T.StructField(CORRUPT_COL, T.StringType())])
@@ -80,12 +83,12 @@ def _read_class_folder(spark: SparkSession, folder: str, label: str, drop: tuple
 
 
 def ingest_labelled_folders(spark: SparkSession, root: str, classes: list[str],
-                            drop: tuple = ("Label",)) -> tuple[DataFrame, DataFrame]:
+                            drop: tuple = ("Label",), infer_sample: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Rows of every readable CSV under root/<class>/ with label = class, and the bad files."""
     rows, bads = [], []
     for cls in classes:
         folder = f"{root.rstrip('/')}/{cls}"
-        r, b = _read_class_folder(spark, folder, cls, drop)
+        r, b = _read_class_folder(spark, folder, cls, drop, infer_sample)
         rows.append(r)
         bads.append(b)
     return union_by_name(*rows), union_by_name(*bads)
