@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.profile import unpivot
-from flowlens.operators.ranks import running_sum
+from flowlens.operators.ranks import running_sum, string_rank
 
 MAP_LIMIT = 50_000       # dictionary entries inlined as a literal map
 ONE_HOT_LIMIT = 2_000    # output columns one-hot may create
@@ -30,9 +30,10 @@ def fit_label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, code): sorted distinct non-null values per column, code 0..k-1."""
     long = unpivot(df, cols, cast="string").where(F.col("value").isNotNull())
     dv = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("__n"))
-    # a window over the distinct values of one column (not over rows)
-    w = Window.partitionBy("column").orderBy("value")
-    return dv.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    # rank of each distinct value in byte order, bucketed so that a high-cardinality
+    # column is not ranked inside one task
+    ranked = string_rank(dv, "value", ("column",), "__r")
+    return ranked.select("column", "value", (F.col("__r") - 1).cast("int").alias("code"))
 
 
 def sorted_categories(df: DataFrame, col: str) -> DataFrame:

@@ -128,3 +128,20 @@ def hash_rank(df: DataFrame, key: str, seed: int, partition_cols: tuple = (), ou
     w = Window.partitionBy(*part, b).orderBy(h, key)
     return (joined.withColumn(out, (F.col("__o") + F.row_number().over(w)).cast("bigint"))
             .drop(h, b, "__o"))
+
+
+def string_order_key(col) -> "F.Column":
+    """A bigint that never decreases as the string grows in byte order: the first 7
+    UTF-8 bytes read as a big-endian number (shorter strings padded with zero bytes).
+    Strings sharing those bytes tie; callers break ties on the string itself."""
+    c = F.col(col) if isinstance(col, str) else col
+    hexed = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0")
+    return F.conv(hexed, 16, 10).cast("bigint")
+
+
+def string_rank(df: DataFrame, col: str, partition_cols: tuple = (), out: str = "rank",
+                n_buckets: int = DEFAULT_BUCKETS, small_partitions: bool = True) -> DataFrame:
+    """Exact 1-based rank of a unique (within partition) string column in byte order,
+    without a single-task window: value-range buckets of ``string_order_key``."""
+    keyed = df.withColumn("__sk", string_order_key(col))
+    return ordered_rank(keyed, "__sk", col, partition_cols, out, n_buckets, small_partitions).drop("__sk")

@@ -13,10 +13,11 @@ spread over that many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.text import tokens
+from flowlens.operators.ranks import string_rank
 
 PAD_ID = 0
 UNK_ID = 1
@@ -26,9 +27,9 @@ BROADCAST_LIMIT = 200_000
 def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
     """(token, id): distinct tokens in byte order, ids from 2 (0 = pad, 1 = unknown)."""
     toks = df.select(F.explode(tokens(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("__n"))
-    # window over distinct tokens only; at very large vocabularies use ranks.hash_rank instead
-    w = Window.orderBy("token")
-    return toks.select("token", (F.row_number().over(w) + 1).cast("int").alias("id"))
+    # exact byte-order rank of the distinct tokens, bucketed (no single-task window)
+    ranked = string_rank(toks, "token", (), "__r")
+    return ranked.select("token", (F.col("__r") + 1).cast("int").alias("id"))
 
 
 def _lookup(exploded: DataFrame, vocab: DataFrame, salts: int) -> DataFrame:
