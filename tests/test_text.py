@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from flowlens.functions.text import nested_row_to_text, py_str, row_to_text, values_to_text
+from flowlens.functions.text import nested_row_to_text, py_str_frame, row_to_text, values_to_text
 from flowlens.operators.tokens import build_vocab, token_budget, token_window
 
 
@@ -13,7 +13,7 @@ def test_py_str_matches_python_repr(spark):
     vals = [0.1, 5.0, 1e7, 1e-5, 1.5e16, -0.0005, 123456789.5, 1e22, 2.5e-7, 0.0]
     vals += [rnd.uniform(-1e9, 1e9) for _ in range(50)] + [10 ** rnd.uniform(-8, 18) for _ in range(50)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = [r[0] for r in df.select(py_str(df, "x")).collect()]
+    got = [r[0] for r in py_str_frame(df, ["x"], "t_").select("t_x").collect()]
     assert got == [repr(v) for v in vals]
 
 
