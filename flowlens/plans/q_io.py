@@ -146,7 +146,12 @@ def load_fit(spark, sf):
     return unpivot(scaled, NUM, ids=["row_id"]).select("row_id", "column", rnd("value").alias("value"))
 
 
-@query("write_scoreboard")
+def _scoreboard_sql():
+    from flowlens.plans.q_models import _nb_scoreboard_sql
+    return _nb_scoreboard_sql()
+
+
+@query("write_scoreboard", sql=_scoreboard_sql())
 def write_scoreboard(spark, sf):
     """Scoreboard of the naive Bayes models written as CSV and read back."""
     from flowlens.plans.q_models import _nb_scoreboard

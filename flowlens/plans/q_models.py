@@ -210,21 +210,59 @@ rk0 as (select *, row_number() over (partition by {label} order by row_id) as r
 fx as (select rk0.* exclude (r), cast({fold} as int) as fold from rk0 join bd on bd.cls = rk0.{label})"""
 
 
+def _cv_ctes(kind: str, cols: list[str], p: str) -> str:
+    """CTEs ending in ``{p}_acc`` (fold, n, n_right, accuracy): k-fold CV of a naive Bayes
+    model over ``fx`` (rows with their fold); each fold's model sees the other folds."""
+    if kind == "gaussian":
+        stats = ", ".join(f"avg(cast(x.{c} as double)) as m{i}, var_pop(cast(x.{c} as double)) as v{i}"
+                          for i, c in enumerate(cols))
+        eps = "1e-9 * greatest(" + ", ".join(f"var_pop(cast(x.{c} as double))" for c in cols) + ")"
+        terms = " + ".join(f"(-0.5 * ln(2 * pi() * (s.v{i} + e.eps)) - 0.5 * (cast(x.{c} as double) - s.m{i}) ^ 2 / (s.v{i} + e.eps))"
+                           for i, c in enumerate(cols))
+    else:
+        stats = ", ".join(f"sum(case when x.{c} > 0 then 1 else 0 end) as o{i}" for i, c in enumerate(cols))
+        eps = "0e0"
+        terms = " + ".join(f"(case when x.{c} > 0 then ln((s.o{i} + 1e0) / (s.n + 2e0)) else ln(1e0 - (s.o{i} + 1e0) / (s.n + 2e0)) end)"
+                           for i, c in enumerate(cols))
+    return f"""{p}_fl as (select unnest(range(0, 5)) as f),
+{p}_st as (select fl.f, x.label as cls, count(*) as n, {stats} from {p}_fl fl join fx x on x.fold <> fl.f group by fl.f, x.label),
+{p}_ep as (select fl.f, {eps} as eps, count(*) as tot from {p}_fl fl join fx x on x.fold <> fl.f group by fl.f),
+{p}_ll as (select x.row_id, x.fold, x.label, s.cls, ln(s.n / e.tot) + {terms} as ll
+  from fx x join {p}_st s on s.f = x.fold join {p}_ep e on e.f = x.fold),
+{p}_pr as (select * from (select *, row_number() over (partition by row_id order by ll desc, cls asc) as rn from {p}_ll) y where rn = 1),
+{p}_acc as (select fold, count(*) as n, cast(sum(case when label = cls then 1 else 0 end) as bigint) as n_right,
+  {sg.r(sg.sdiv('sum(case when label = cls then 1 else 0 end)', 'count(*)'))} as accuracy from {p}_pr group by fold)"""
+
+
 def _cv_gnb_sql():
-    cols = NUM_CV
-    stats = ", ".join(f"avg(cast(x.{c} as double)) as m{i}, var_pop(cast(x.{c} as double)) as v{i}" for i, c in enumerate(cols))
-    eps = "1e-9 * greatest(" + ", ".join(f"var_pop(cast(x.{c} as double))" for c in cols) + ")"
-    terms = " + ".join(f"(-0.5 * ln(2 * pi() * (s.v{i} + e.eps)) - 0.5 * (cast(x.{c} as double) - s.m{i}) ^ 2 / (s.v{i} + e.eps))"
-                       for i, c in enumerate(cols))
-    return split_flows_sql() + ",\ntr0 as (select * from sp where split = 'train'),\n" + _folds_cte() + f""",
-fl as (select unnest(range(0, 5)) as f),
-st as (select fl.f, x.label as cls, count(*) as n, {stats} from fl join fx x on x.fold <> fl.f group by fl.f, x.label),
-ep as (select fl.f, {eps} as eps, count(*) as tot from fl join fx x on x.fold <> fl.f group by fl.f),
-ll as (select x.row_id, x.fold, x.label, s.cls, ln(s.n / e.tot) + {terms} as ll
-  from fx x join st s on s.f = x.fold join ep e on e.f = x.fold),
-pr as (select * from (select *, row_number() over (partition by row_id order by ll desc, cls asc) as rn from ll) y where rn = 1)
-select fold, count(*) as n, cast(sum(case when label = cls then 1 else 0 end) as bigint) as n_right,
-  {sg.r(sg.sdiv('sum(case when label = cls then 1 else 0 end)', 'count(*)'))} as accuracy from pr group by fold"""
+    return (split_flows_sql() + ",\ntr0 as (select * from sp where split = 'train'),\n" + _folds_cte() + ",\n"
+            + _cv_ctes("gaussian", NUM_CV, "g") + "\nselect * from g_acc")
+
+
+def _nb_scoreboard_sql():
+    bterms = " + ".join(
+        f"(case when t.{c} > 0 then ln((c.o{i} + 1e0) / (c.n + 2e0)) else ln(1e0 - (c.o{i} + 1e0) / (c.n + 2e0)) end)"
+        for i, c in enumerate(BNB_FEATS))
+    ones = ", ".join(f"sum(case when {c} > 0 then 1 else 0 end) as o{i}" for i, c in enumerate(BNB_FEATS))
+
+    def board(name, conf, acc):
+        return (f"select '{name}' as model, (select {sg.r('avg(accuracy)')} from {acc}) as train_accuracy, "
+                f"r2 as test_r2_score, accuracy, precision_benign as benign_precision, "
+                f"precision_anomaly as anomaly_precision, recall, f1 as f1_score, fpr as \"FPR\" "
+                f"from ({metrics_select(conf)}) m")
+    return (split_flows_sql() + ",\ntr0 as (select * from sp where split = 'train'),\n" + _folds_cte() + ",\n"
+            + _cv_ctes("gaussian", FEATS, "g") + ",\n" + _cv_ctes("bernoulli", BNB_FEATS, "b") + """,
+tr as (select * from sp where split = 'train'), te as (select * from sp where split = 'test'),
+""" + gnb_sql("tr", "te", FEATS) + f""",
+bc as (select label as cls, count(*) as n, {ones} from tr group by label),
+bt as (select count(*) as tot from tr),
+bl as (select t.row_id, t.label, c.cls, ln(c.n / bt.tot) + {bterms} as ll from te t cross join bc c cross join bt),
+bp as (select row_id, label, cls as pred from (select *, row_number() over (partition by row_id order by ll desc, cls asc) rn
+  from bl) x where rn = 1),
+gconf as ({confusion_sql('nb')}), bconf as ({confusion_sql('bp')})
+{board('gaussian_nb', 'gconf', 'g_acc')}
+union all
+{board('bernoulli_nb', 'bconf', 'b_acc')}""")
 
 
 NUM_CV = FEATS
@@ -256,7 +294,7 @@ def _nb_scoreboard(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
-@query("scoreboard_columns")
+@query("scoreboard_columns", sql=_nb_scoreboard_sql())
 def q_scoreboard_columns(spark, sf):
     """Scoreboard layout (headers over their own values) for the two naive Bayes models."""
     return _nb_scoreboard(spark, sf)
