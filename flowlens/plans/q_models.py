@@ -309,9 +309,15 @@ def q_model_scoreboard(spark, sf):
     out = _nb_scoreboard(spark, sf)
     fit = fit_standard_scale(split_flows(spark, sf).where(F.col("split") == "train"), FEATS)
     scaled_folded = apply_standard_scale(folded, fit)
-    for name, fn in (("decision_tree", CL.decision_tree), ("random_forest", CL.random_forest),
-                     ("logistic_regression", CL.logistic_regression)):
+    def knn_fit_predict(tr, te, cols, label, key):
+        def with_vec(df):
+            return df.select(key, label, F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"))
+        return knn_classify(with_vec(tr), with_vec(te), "vec", key, label, 5)
+
+    for name, fn in (("decision_tree", CL.decision_tree), ("knn", knn_fit_predict),
+                     ("random_forest", CL.random_forest), ("logistic_regression", CL.logistic_regression)):
         cvp = CL.cv_predict_mllib(fn, scaled_folded, FEATS, "label", "fold", "row_id", 5)
-        m = M.binary_metrics(M.confusion_matrix(fn(train, test, FEATS)), keep=(F.lit(name).alias("model"),))
+        m = M.binary_metrics(M.confusion_matrix(fn(train, test, FEATS, "label", "row_id")),
+                             keep=(F.lit(name).alias("model"),))
         out = out.unionByName(M.scoreboard_columns(m.withColumn("train_accuracy", _mean_accuracy(CL.cv_accuracy(cvp)))))
     return out
