@@ -87,8 +87,14 @@ def _cut_assign(df: DataFrame, key: str, label: str | None, quota, seed: int,
                                                    F.col("__quota"))).alias("s"))
             .select("__class", F.col(f"s.{b}").alias("__cut"),
                     (F.col("s.__quota") - F.col("s.before")).alias("__need")))
-    # cuts has one row per class: broadcast is bounded by the number of classes
-    tagged = join_small(staged, cuts, ["__class"])
+    if label is None:
+        # a single class: the cut is two numbers, attached as literals (no join at all)
+        row = cuts.first()
+        tagged = staged.withColumn("__cut", F.lit(row["__cut"] if row else "")) \
+            .withColumn("__need", F.lit(row["__need"] if row else 0).cast("bigint"))
+    else:
+        # cuts has one row per class: broadcast is bounded by the number of classes
+        tagged = join_small(staged, cuts, ["__class"])
     decided = tagged.where(F.col(b) != F.col("__cut")).withColumn(
         out, F.when(F.col(b) < F.col("__cut"), F.lit(inside)).otherwise(F.lit(outside)))
     wr = Window.partitionBy("__class").orderBy(h, key)
