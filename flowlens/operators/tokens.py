@@ -24,9 +24,19 @@ UNK_ID = 1
 BROADCAST_LIMIT = 200_000
 
 
-def build_vocab(df: DataFrame, col: str = "text") -> DataFrame:
+def _toks(col: str, tokens_col: str | None):
+    return F.col(tokens_col) if tokens_col else tokens(col)
+
+
+def tokenize(df: DataFrame, col: str = "text", out: str = "tokens") -> DataFrame:
+    """Adds ``out`` = the regex tokens of the whole text (materialise it when several
+    passes follow, so the regex runs once per document)."""
+    return df.withColumn(out, tokens(col))
+
+
+def build_vocab(df: DataFrame, col: str = "text", tokens_col: str | None = None) -> DataFrame:
     """(token, id): distinct tokens in byte order, ids from 2 (0 = pad, 1 = unknown)."""
-    toks = df.select(F.explode(tokens(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("__n"))
+    toks = df.select(F.explode(_toks(col, tokens_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("__n"))
     # exact byte-order rank of the distinct tokens, bucketed (no single-task window)
     ranked = string_rank(toks, "token", (), "__r")
     return ranked.select("token", (F.col("__r") + 1).cast("int").alias("id"))
@@ -42,9 +52,9 @@ def _lookup(exploded: DataFrame, vocab: DataFrame, salts: int) -> DataFrame:
 
 
 def token_window(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", max_length: int = 512,
-                 salts: int = 32) -> DataFrame:
+                 salts: int = 32, tokens_col: str | None = None) -> DataFrame:
     """(key, n_tokens, input_ids array<int>[max_length], attention_mask array<int>[max_length])."""
-    tok = df.select(F.col(key).alias("__key"), tokens(col).alias("__t"))
+    tok = df.select(F.col(key).alias("__key"), _toks(col, tokens_col).alias("__t"))
     counts = tok.select("__key", F.size("__t").cast("int").alias("n_tokens"))
     exploded = tok.select("__key", F.posexplode(F.slice("__t", 1, max_length)).alias("pos", "token"))
     ided = _lookup(exploded, vocab, salts).select("__key", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))

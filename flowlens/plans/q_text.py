@@ -65,8 +65,10 @@ select tk.row_id, cast(len(tk.toks) as int) as n_tokens,
   list_concat(list_transform(coalesce(ids.ids, []::int[]), lambda x: 1), list_transform(range(0, 512 - len(coalesce(ids.ids, []::int[]))), lambda x: 0)) as attention_mask
 from tk left join ids on ids.row_id = tk.row_id""")
 def token_window(spark, sf):
-    d = fx.labelled_docs(spark, sf)
-    return K.token_window(d, "text", K.build_vocab(d, "text"), "row_id", 512)
+    from flowlens.session import materialize
+    d = materialize(K.tokenize(fx.labelled_docs(spark, sf).select("row_id", "text"), "text", "tokens"), "doc-tokens")
+    vocab = materialize(K.build_vocab(d, tokens_col="tokens"), "vocab")
+    return K.token_window(d, "text", vocab, "row_id", 512, tokens_col="tokens")
 
 
 @query("token_budget", sql=DOCS + f""",
