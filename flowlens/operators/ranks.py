@@ -13,6 +13,14 @@ Per bucket totals form a small table (``partitions x buckets`` rows); a
 window over that small table gives each bucket's offset, and a window
 partitioned by (partition, bucket) finishes the rank inside the bucket.
 The answer does not depend on where the bucket boundaries fall.
+
+The bucket count grows with the data: value ranges and hash prefixes are
+sized from the row count so that one window task sorts about
+``ROWS_PER_BUCKET`` rows at most (64 ranges / 4,096 prefixes is only the
+floor). Every ranked column is unique inside its partition (distinct
+values, distinct scores, row keys, hashes), so no single value can fill a
+bucket. Past ``BROADCAST_BUCKETS`` the offsets table is joined by shuffle
+instead of broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +34,23 @@ from pyspark.sql import functions as F
 from flowlens.functions.exprs import stable_hash
 
 DEFAULT_BUCKETS = 64
+# Scale knobs (fixed values): rows one window task sorts at most, about; bucket
+# count up to which the offsets table (partitions x buckets rows) is broadcast.
+ROWS_PER_BUCKET = 2_000_000
+BROADCAST_BUCKETS = 4096
+
+
+def buckets_for(n_rows: int, minimum: int = DEFAULT_BUCKETS) -> int:
+    """Bucket count that keeps a bucket near ``ROWS_PER_BUCKET`` rows or fewer."""
+    return max(minimum, -(-int(n_rows) // ROWS_PER_BUCKET))
+
+
+def hex_digits_for(n_rows: int, minimum: int) -> int:
+    """Hash-prefix length that keeps a prefix bucket near ``ROWS_PER_BUCKET`` rows or fewer."""
+    d = minimum
+    while 16 ** d * ROWS_PER_BUCKET < n_rows:
+        d += 1
+    return d
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], broadcast: bool = True) -> DataFrame:
@@ -44,29 +69,47 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], broadcast: bool
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = DEFAULT_BUCKETS,
-                    rel_err: float = 1e-3) -> DataFrame:
-    """Add ``out`` = index of the value range holding ``col`` (monotone in ``col``).
+def _value_splits(probe: DataFrame, col: str, n_buckets: int) -> tuple[int, list[float]]:
+    """(buckets, inner split points) for the non-null values of ``probe[col]``.
+
+    One aggregation returns the row count and the quantiles; a second, finer pass
+    runs only when the count asks for more than ``n_buckets`` buckets. The relative
+    error shrinks with the bucket count so buckets stay near their target size."""
+    def quantiles(nb: int):
+        probs = [i / nb for i in range(1, nb)]
+        acc = max(1000, 4 * nb)
+        row = probe.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(col, probs, acc).alias("q")).first()
+        return int(row["n"]), list(row["q"] or [])
+    n, qs = quantiles(n_buckets)
+    need = buckets_for(n, n_buckets)
+    if need > n_buckets:
+        n_buckets = need
+        _, qs = quantiles(n_buckets)
+    splits = sorted({q for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
+    return n_buckets, splits
+
+
+def quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = DEFAULT_BUCKETS) -> tuple[DataFrame, int]:
+    """Add ``out`` = index of the value range holding ``col`` (monotone in ``col``); also
+    returns the bucket count used (at least ``n_buckets``, more for large inputs).
 
     Nulls go to bucket -1 (they sort first in ascending order).
     """
     if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0)), 1
     tmp = f"__qb_{out}"
     probe = df.select(F.col(col).cast("double").alias(tmp)).where(F.col(tmp).isNotNull()
                                                                   & ~F.isnan(F.col(tmp)))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = probe.approxQuantile(tmp, probs, rel_err)
-    splits = sorted({q for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
+    n_buckets, splits = _value_splits(probe, tmp, n_buckets)
     if not splits:
-        return df.withColumn(out, F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+        return df.withColumn(out, F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.lit(0))), n_buckets
     splits = [-math.inf] + splits + [math.inf]
     staged = df.withColumn(tmp, F.coalesce(F.col(col).cast("double"), F.lit(-math.inf)))
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "__d", handleInvalid="keep")
     res = bz.transform(staged)
     return (res.withColumn(out, F.when(F.col(col).isNull(), F.lit(-1))
                            .otherwise(F.col(out + "__d").cast("int")))
-            .drop(tmp, out + "__d"))
+            .drop(tmp, out + "__d")), n_buckets
 
 
 def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_cols: tuple = (),
@@ -79,7 +122,7 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_
     """
     part = list(partition_cols)
     b = "__bucket"
-    staged = quantile_bucket(df, order_col, b, n_buckets)
+    staged, n_buckets = quantile_bucket(df, order_col, b, n_buckets)
     if descending:
         staged = staged.withColumn(b, -F.col(b))
     tot = staged.groupBy(*part, b).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
@@ -89,7 +132,7 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_
     # columns are schema-like (columns, classes); otherwise let AQE pick the join.
     off = tot.select(*part, b, *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}")
                                  for v in value_cols])
-    joined = join_small(staged, off, part + [b], broadcast=small_partitions)
+    joined = join_small(staged, off, part + [b], broadcast=small_partitions and n_buckets <= BROADCAST_BUCKETS)
     order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
     w = Window.partitionBy(*part, b).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined
@@ -103,12 +146,12 @@ def ordered_rank(df: DataFrame, order_col: str, tie_col: str, partition_cols: tu
     """1-based ``row_number`` over (``order_col``, ``tie_col``) within ``partition_cols``, exact."""
     part = list(partition_cols)
     b = "__bucket"
-    staged = quantile_bucket(df, order_col, b, n_buckets)
+    staged, n_buckets = quantile_bucket(df, order_col, b, n_buckets)
     tot = staged.groupBy(*part, b).agg(F.count(F.lit(1)).alias("__t"))
     w_small = (Window.partitionBy(*part).orderBy(b) if part else Window.orderBy(b)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, b, F.coalesce(F.sum("__t").over(w_small), F.lit(0)).alias("__o"))
-    joined = join_small(staged, off, part + [b], broadcast=small_partitions)
+    joined = join_small(staged, off, part + [b], broadcast=small_partitions and n_buckets <= BROADCAST_BUCKETS)
     w = Window.partitionBy(*part, b).orderBy(F.col(order_col).asc_nulls_first(), F.col(tie_col))
     return (joined.withColumn(out, (F.col("__o") + F.row_number().over(w)).cast("bigint"))
             .drop(b, "__o"))
@@ -116,15 +159,19 @@ def ordered_rank(df: DataFrame, order_col: str, tie_col: str, partition_cols: tu
 
 def hash_rank(df: DataFrame, key: str, seed: int, partition_cols: tuple = (), out: str = "rank",
               hex_digits: int = 3, small_partitions: bool = True) -> DataFrame:
-    """1-based rank by (md5(seed#key), key) within ``partition_cols``, exact and balanced."""
+    """1-based rank by (md5(seed#key), key) within ``partition_cols``, exact and balanced.
+
+    ``hex_digits`` is the shortest prefix used; longer prefixes are taken when the
+    row count needs them (one count, which a Parquet-backed frame answers from footers)."""
     part = list(partition_cols)
     h, b = "__h", "__hb"
+    hex_digits = hex_digits_for(df.count(), hex_digits)
     staged = df.withColumn(h, stable_hash(seed, key)).withColumn(b, F.substring(h, 1, hex_digits))
     tot = staged.groupBy(*part, b).agg(F.count(F.lit(1)).alias("__t"))
     w_small = (Window.partitionBy(*part).orderBy(b) if part else Window.orderBy(b)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, b, F.coalesce(F.sum("__t").over(w_small), F.lit(0)).alias("__o"))
-    joined = join_small(staged, off, part + [b], broadcast=small_partitions)
+    joined = join_small(staged, off, part + [b], broadcast=small_partitions and 16 ** hex_digits <= BROADCAST_BUCKETS)
     w = Window.partitionBy(*part, b).orderBy(h, key)
     return (joined.withColumn(out, (F.col("__o") + F.row_number().over(w)).cast("bigint"))
             .drop(h, b, "__o"))

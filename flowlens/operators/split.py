@@ -5,9 +5,10 @@ is a pure function of (seed, row key), so Spark and SQL pick the same rows.
 ``randomSplit`` / ``sampleBy`` are Bernoulli and cannot give exact sizes.
 
 Scale: ranking by md5 inside a two-valued label would make two giant window
-tasks. ``assign_split`` counts rows per (class, hash prefix), finds the prefix
+tasks. ``_cut_assign`` counts rows per (class, hash prefix), finds the prefix
 bucket where each class quota is crossed, and ranks only the rows of that one
-bucket; every other row is decided by comparing its prefix with the cut.
+bucket; every other row is decided by comparing its prefix with the cut. The
+prefix grows with the row count (4 hex digits up to ~10^11 rows, then 5, ...).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import stable_hash
-from flowlens.operators.ranks import hash_rank, join_small, ordered_rank
+from flowlens.operators.ranks import hash_rank, hex_digits_for, join_small, ordered_rank
 
 
 def _frac(f) -> Fraction:
@@ -70,8 +71,11 @@ def _cut_assign(df: DataFrame, key: str, label: str | None, quota, seed: int,
     """Rows whose class rank by (md5(seed#key), key) is <= quota get ``inside``.
 
     ``quota`` is a (__class, __quota) DataFrame or a function of the per-class
-    counts table (__class, n), so the input is counted only once."""
+    counts table (__class, n), so the input is counted only once. ``hex_digits`` is
+    the shortest prefix; larger inputs get longer ones, so the one ranked cut bucket
+    per class stays near ``ROWS_PER_BUCKET`` rows."""
     lab = F.col(label) if label else F.lit("all")
+    hex_digits = hex_digits_for(df.count(), hex_digits)
     h, b = "__h", "__hb"
     staged = df.withColumn("__class", lab).withColumn(h, stable_hash(seed, key)) \
         .withColumn(b, F.substring(h, 1, hex_digits))

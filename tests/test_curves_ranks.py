@@ -93,3 +93,38 @@ def test_ordered_and_hash_rank(spark):
     hr = R.hash_rank(df, "k", 9, ("g",), hex_digits=1).collect()
     for g in "ab":
         assert sorted(r["rank"] for r in hr if r.g == g) == list(range(1, sum(1 for x in rows if x[1] == g) + 1))
+
+
+def test_bucket_count_grows_with_rows(spark, monkeypatch):
+    """With a tiny per-bucket target the large-input path runs: a second, finer quantile
+    pass, longer hash prefixes and a shuffle-joined offsets table. Ranks stay exact."""
+    from flowlens.operators import split as S
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(R, "BROADCAST_BUCKETS", 8)
+    assert R.buckets_for(300, 4) == 43 and R.hex_digits_for(300, 1) == 2
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice("ab"), float(rnd.randint(0, 30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, g string, v double").repartition(6)
+    staged, nb = R.quantile_bucket(df, "k", "__b", 4)
+    assert nb == 43
+    assert staged.groupBy("__b").count().agg({"count": "max"}).first()[0] <= 14
+    got = {r.k: r["rank"] for r in R.ordered_rank(df, "v", "k", ("g",), n_buckets=4).collect()}
+    exp = {}
+    for g in "ab":
+        for i, (k, _, v) in enumerate(sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0]))):
+            exp[k] = i + 1
+    assert got == exp
+    sums = {r.k: r.cum_v for r in R.running_sum(df, "k", ["v"], n_buckets=4).collect()}
+    acc = 0.0
+    for k, _, v in sorted(rows):
+        acc += v
+        assert sums[k] == acc
+    hr = R.hash_rank(df, "k", 9, ("g",), hex_digits=1).collect()
+    for g in "ab":
+        assert sorted(r["rank"] for r in hr if r.g == g) == list(range(1, sum(1 for x in rows if x[1] == g) + 1))
+    monkeypatch.setattr(S, "hex_digits_for", R.hex_digits_for)
+    srows = [(i * 3 + 11, rnd.choice((0, 1, 2))) for i in range(400)]
+    sdf = spark.createDataFrame(srows, "row_id long, label int").repartition(5)
+    from tests.test_split import _brute_split
+    got_split = {r.row_id: r.split for r in S.stratified_split(sdf, "row_id", "label", "0.2", 42, hex_digits=1).collect()}
+    assert got_split == _brute_split(srows, 0.2, 42)
