@@ -16,8 +16,8 @@ FEATS = fx.FLOW_NUMERIC
 BNB_FEATS = fx.FLOW_NUMERIC + fx.FLOW_BINARY
 
 
-def _scaled_parts(spark, sf):
-    sp = split_flows(spark, sf)
+def _scaled_parts(spark, sf, sp=None):
+    sp = split_flows(spark, sf) if sp is None else sp
     train = sp.where(F.col("split") == "train")
     fit = fit_standard_scale(train, FEATS)
     scaled = apply_standard_scale(sp, fit)
@@ -188,10 +188,10 @@ def q_logistic_regression(spark, sf):
 
 # ---------------------------------------------------------------- cross-validation
 
-def _folded_train(spark, sf):
+def _folded_train(spark, sf, sp=None):
     """Train part of the exact split with 5 unshuffled stratified folds."""
     from flowlens.operators.split import stratified_folds
-    sp = split_flows(spark, sf).where(F.col("split") == "train")
+    sp = (split_flows(spark, sf) if sp is None else sp).where(F.col("split") == "train")
     return materialize(stratified_folds(sp, "row_id", "label", 5))
 
 
@@ -281,9 +281,9 @@ def _mean_accuracy(cv):
     return rnd(F.lit(cv.agg(F.avg("accuracy")).first()[0]).cast("double"))
 
 
-def _nb_scoreboard(spark, sf):
-    folded = _folded_train(spark, sf)
-    sp = split_flows(spark, sf)
+def _nb_scoreboard(spark, sf, sp=None, folded=None):
+    sp = split_flows(spark, sf) if sp is None else sp
+    folded = _folded_train(spark, sf, sp) if folded is None else folded
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
     rows = []
     for name, kind, cols in (("gaussian_nb", "gaussian", FEATS), ("bernoulli_nb", "bernoulli", BNB_FEATS)):
@@ -304,10 +304,11 @@ def q_scoreboard_columns(spark, sf):
 def q_model_scoreboard(spark, sf):
     """All six classical models: cv accuracy on the train part, test metrics on the 20 % part."""
     from flowlens.operators.scale import apply_standard_scale, fit_standard_scale
-    folded = _folded_train(spark, sf)
-    train, test = _scaled_parts(spark, sf)
-    out = _nb_scoreboard(spark, sf)
-    fit = fit_standard_scale(split_flows(spark, sf).where(F.col("split") == "train"), FEATS)
+    sp = split_flows(spark, sf)               # flows and their split are written once
+    folded = _folded_train(spark, sf, sp)
+    train, test = _scaled_parts(spark, sf, sp)
+    out = _nb_scoreboard(spark, sf, sp, folded)
+    fit = fit_standard_scale(sp.where(F.col("split") == "train"), FEATS)
     scaled_folded = apply_standard_scale(folded, fit)
     def knn_fit_predict(tr, te, cols, label, key):
         def with_vec(df):
