@@ -55,3 +55,25 @@ def test_scalers_on_constant_column(spark):
     z = S.fit_zscore_sample(df, ["v"]).first()
     assert z["std"] == pytest.approx(3.696846, abs=1e-6)
     assert F is not None
+
+
+def test_skew_safe_lookup_hot_path(spark, monkeypatch):
+    """Hot keys (most rows on one key) go through the broadcast side; result equals a plain join."""
+    from flowlens.operators import skew as SK
+    monkeypatch.setattr(SK, "HOT_ROWS", 5)
+    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 9)
+    rows = [(i, "a" if i % 3 else "b", float(i % 4 == 0) if i < 60 else float(i % 7)) for i in range(90)]
+    big = spark.createDataFrame(rows, "k long, column string, value double")
+    table = big.groupBy("column", "value").count().withColumnRenamed("count", "c") \
+        .withColumn("payload", F.concat_ws("/", "column", F.col("value").cast("string")))
+    assert SK.hot_threshold(90) == 10
+    counts = sorted(r["c"] for r in table.collect())
+    assert counts[-1] > 10 and counts[0] <= 10          # both branches run
+    got = sorted(tuple(r) for r in SK.skew_safe_lookup(big, table, ["column", "value"], "c")
+                 .select("k", "payload").collect())
+    exp = sorted(tuple(r) for r in big.join(table.drop("c"), ["column", "value"]).select("k", "payload").collect())
+    assert got == exp and len(got) == 90
+    left = big.where("k < 80").unionByName(spark.createDataFrame([(999, "z", 1.0)], "k long, column string, value double"))
+    got_left = sorted(tuple(r) for r in SK.skew_safe_lookup(left, table, ["column", "value"], "c", "left")
+                      .select("k", "payload").collect())
+    assert len(got_left) == 81 and (999, None) in got_left
