@@ -1,13 +1,17 @@
 """Lookups where one key may carry a large share of the rows.
 
 A shuffle join sends every row of a key to one task, so a key holding a third
-of the rows makes one task do a third of the work. When the lookup table
-knows how many rows each key has (``rows_col``), keys above a threshold are
-hot: their entries are broadcast and their rows are joined map-side; only the
-remaining rows, none of whose keys holds more than the threshold, take the
-shuffle join. The threshold is at least ``HOT_ROWS`` and at least
-total / ``MAX_HOT_KEYS``, so the broadcast table has at most ``MAX_HOT_KEYS``
-rows whatever the data size. When no key is hot the plan is a plain join.
+of the rows makes one task do a third of the work. Given the number of rows
+per key (``key_rows``), keys above a threshold are hot: their lookup entries
+are broadcast and their rows are joined map-side; only the remaining rows,
+none of whose keys holds more than the threshold, take the shuffle join. The
+threshold is at least ``HOT_ROWS`` and at least total / ``MAX_HOT_KEYS``, so at
+most ``MAX_HOT_KEYS`` keys are hot whatever the data size. When no key is hot
+the plan is a plain join.
+
+``key_rows`` may come from the joined data itself (exact) or from data that
+predicts it (e.g. token frequencies of the training set for a test-set
+lookup): the result is the same join either way, only the balance depends on it.
 """
 
 from __future__ import annotations
@@ -24,19 +28,26 @@ def hot_threshold(total_rows: int) -> int:
     return max(HOT_ROWS, -(-int(total_rows) // MAX_HOT_KEYS))
 
 
-def skew_safe_lookup(big: DataFrame, table: DataFrame, keys: list[str], rows_col: str,
-                     how: str = "inner") -> DataFrame:
-    """``big`` joined (``how`` = inner or left) with ``table`` on ``keys``; ``table`` holds
-    one row per key and ``rows_col`` = the number of ``big`` rows with that key
-    (it is dropped from the output)."""
-    stats = table.agg(F.sum(rows_col).alias("t"), F.max(rows_col).alias("m")).first()
+def hot_key_join(big: DataFrame, table: DataFrame, keys: list[str], key_rows: DataFrame, rows_col: str,
+                 how: str = "inner") -> DataFrame:
+    """``big`` joined (``how`` = inner or left) with ``table`` on ``keys``.
+
+    ``key_rows`` has one row per key with ``rows_col`` = its number of ``big`` rows.
+    ``table`` may hold several rows per key (a bounded number, e.g. one per class)."""
+    stats = key_rows.agg(F.sum(rows_col).alias("t"), F.max(rows_col).alias("m")).first()
     total, top = int(stats["t"] or 0), int(stats["m"] or 0)
     thr = hot_threshold(total)
-    entries = table.drop(rows_col)
     if top <= thr:
-        return big.join(entries, keys, how)
-    hot = table.where(F.col(rows_col) > thr).drop(rows_col)        # <= MAX_HOT_KEYS rows
-    cold = table.where(F.col(rows_col) <= thr).drop(rows_col)
-    hot_part = big.join(F.broadcast(hot), keys, "inner")
-    cold_part = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+        return big.join(table, keys, how)
+    hot_keys = F.broadcast(key_rows.where(F.col(rows_col) > thr).select(*keys))   # <= MAX_HOT_KEYS rows
+    hot = F.broadcast(table.join(hot_keys, keys, "left_semi"))
+    hot_part = big.join(hot_keys, keys, "left_semi").join(hot, keys, how)
+    cold_part = big.join(hot_keys, keys, "left_anti").join(table, keys, how)
     return hot_part.unionByName(cold_part)
+
+
+def skew_safe_lookup(big: DataFrame, table: DataFrame, keys: list[str], rows_col: str,
+                     how: str = "inner") -> DataFrame:
+    """``hot_key_join`` where ``table`` has one row per key and carries its own row
+    count ``rows_col`` (dropped from the output)."""
+    return hot_key_join(big, table.drop(rows_col), keys, table.select(*keys, rows_col), rows_col, how)

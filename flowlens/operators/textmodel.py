@@ -11,8 +11,10 @@ training is not rebuilt):
 * ``method='lr'``: MLlib ``RegexTokenizer -> HashingTF -> IDF -> LogisticRegression``.
 
 Scale: token frequencies are heavily skewed, so the token-keyed lookup is a
-broadcast when the (class x token) table is provably small and a salted join
-otherwise (``skew_safe_lookup``); per-document sums are partial aggregates.
+broadcast when the (class x token) table is provably small; otherwise hot
+tokens (by training document frequency) are looked up from a bounded
+broadcast and the rest are joined by shuffle (``token_lookup``). Per-document
+sums are partial aggregates.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.text import TOKEN_PATTERN, tokens
+from flowlens.operators.skew import hot_key_join
 from flowlens.session import materialize
 
 BROADCAST_ROWS = 500_000
-SALTS = 32
 
 
 def token_counts(df: DataFrame, col: str = "text", key: str = "row_id") -> DataFrame:
@@ -35,16 +37,19 @@ def token_counts(df: DataFrame, col: str = "text", key: str = "row_id") -> DataF
             .groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("tf")))
 
 
-def skew_safe_lookup(big: DataFrame, small: DataFrame, on: str, salt_from: list[str], salts: int = SALTS,
-                     how: str = "inner") -> DataFrame:
-    """Join ``small`` (keyed by ``on``) onto ``big``; broadcast if small enough, else salt
-    the hot keys: big rows pick one of ``salts`` copies by hashing ``salt_from``."""
-    n = small.limit(BROADCAST_ROWS + 1).count()
+def token_lookup(counts: DataFrame, model: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
+    """Join the (token, class, logp) model onto (key, token, tf) rows.
+
+    A model under ``BROADCAST_ROWS`` rows is broadcast. A larger one is joined by
+    shuffle on the token, except the hot tokens: ``token_rows`` (token, __rows)
+    estimates rows per token (training document frequencies), and tokens above
+    the hot threshold are looked up from a bounded broadcast (``hot_key_join``)."""
+    n = model.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on, how)
-    s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
-    return b.join(s, [on, "__salt"], how).drop("__salt")
+        return counts.join(F.broadcast(model), "token", "inner")
+    if token_rows is None:
+        token_rows = counts.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
+    return hot_key_join(counts, model, ["token"], token_rows, "__rows")
 
 
 def fit_text_nb(counts: DataFrame, labels: DataFrame, key: str = "row_id", label: str = "label",
@@ -76,10 +81,10 @@ def fit_text_nb(counts: DataFrame, labels: DataFrame, key: str = "row_id", label
 
 
 def predict_text_nb(counts: DataFrame, rows: DataFrame, model: DataFrame, priors: dict, key: str = "row_id",
-                    label: str = "label", keep: tuple = ()) -> DataFrame:
+                    label: str = "label", keep: tuple = (), token_rows: DataFrame | None = None) -> DataFrame:
     """(key, label, pred, log_odds, p1): argmax of prior + sum tf * logp (ties -> smaller class)."""
     classes = sorted(priors)
-    j = skew_safe_lookup(counts, model, "token", [key, "token"])
+    j = token_lookup(counts, model, token_rows)
     s = j.groupBy(key).pivot("class", classes).agg(F.sum(F.col("tf") * F.col("logp")))
     base = rows.select(key, label, *keep).join(s, key, "left")
     ll = {c: F.lit(priors[c]) + F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in classes}
@@ -104,7 +109,8 @@ def text_classifier(train: DataFrame, test: DataFrame, col: str = "text", label:
     if method == "nb":
         tr_counts = materialize(token_counts(train, col, key))
         model, priors = fit_text_nb(tr_counts, train, key, label, weight)
-        return predict_text_nb(token_counts(test, col, key), test, model, priors, key, label, keep)
+        doc_freq = tr_counts.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
+        return predict_text_nb(token_counts(test, col, key), test, model, priors, key, label, keep, doc_freq)
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer

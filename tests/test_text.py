@@ -34,3 +34,23 @@ def test_token_window_pads_and_truncates(spark):
     b = token_budget(df, "text", 8).first()
     assert (b.n_rows, b.n_over, b.tokens_total, b.tokens_lost) == (3, 1, 24, 12)
     assert pytest is not None
+
+
+def test_text_nb_large_model_path_matches_broadcast(spark, monkeypatch):
+    """A model over the broadcast limit goes through the hot-token split (hot tokens from a
+    bounded broadcast, the rest by shuffle); predictions equal the all-broadcast path."""
+    from flowlens.operators import skew as SK
+    from flowlens.operators import textmodel as TM
+    rnd = random.Random(4)
+    words = ["the"] * 30 + ["a"] * 10 + [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 25))), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label int")
+    train, test = df.where("row_id % 5 != 0"), df.where("row_id % 5 = 0")
+    base = sorted(tuple(r) for r in TM.text_classifier(train, test).collect())
+    monkeypatch.setattr(TM, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(SK, "HOT_ROWS", 10)
+    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 1000)
+    forced = sorted(tuple(r) for r in TM.text_classifier(train, test).collect())
+    assert len(forced) == len(base) == 24
+    for a, b in zip(forced, base):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-9)
