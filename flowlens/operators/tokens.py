@@ -5,10 +5,10 @@ the window keeps the first ``max_length`` ids (truncation is the operator's
 contract) and ``token_budget`` reports what the window loses.
 
 Scale: token frequencies are Zipf-skewed (',' is in every row), so the id
-lookup must not hash-partition by token. A vocabulary under ``BROADCAST_LIMIT``
-entries (counted first) is broadcast; a larger one is joined on
-(token, salt) with the vocabulary replicated over ``salts`` so a hot token is
-spread over that many tasks.
+lookup must not send all rows of a token to one task. A vocabulary under
+``BROADCAST_LIMIT`` entries (counted first) is broadcast; with a larger one,
+the rows of hot tokens (counted from the token rows themselves) are looked up
+from a bounded broadcast and the rest are joined by shuffle (``hot_key_join``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.text import tokens
 from flowlens.operators.ranks import string_rank
+from flowlens.operators.skew import hot_key_join
 
 PAD_ID = 0
 UNK_ID = 1
@@ -42,22 +43,21 @@ def build_vocab(df: DataFrame, col: str = "text", tokens_col: str | None = None)
     return ranked.select("token", (F.col("__r") + 1).cast("int").alias("id"))
 
 
-def _lookup(exploded: DataFrame, vocab: DataFrame, salts: int) -> DataFrame:
+def _lookup(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
     size = vocab.limit(BROADCAST_LIMIT + 1).count()
     if size <= BROADCAST_LIMIT:
         return exploded.join(F.broadcast(vocab), "token", "left")
-    salted_vocab = vocab.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = exploded.withColumn("__salt", F.pmod(F.xxhash64("__key", "pos"), F.lit(salts)).cast("int"))
-    return salted.join(salted_vocab, ["token", "__salt"], "left").drop("__salt")
+    token_rows = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
+    return hot_key_join(exploded, vocab, ["token"], token_rows, "__rows", "left")
 
 
 def token_window(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", max_length: int = 512,
-                 salts: int = 32, tokens_col: str | None = None) -> DataFrame:
+                 tokens_col: str | None = None) -> DataFrame:
     """(key, n_tokens, input_ids array<int>[max_length], attention_mask array<int>[max_length])."""
     tok = df.select(F.col(key).alias("__key"), _toks(col, tokens_col).alias("__t"))
     counts = tok.select("__key", F.size("__t").cast("int").alias("n_tokens"))
     exploded = tok.select("__key", F.posexplode(F.slice("__t", 1, max_length)).alias("pos", "token"))
-    ided = _lookup(exploded, vocab, salts).select("__key", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+    ided = _lookup(exploded, vocab).select("__key", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
     seqs = ided.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__s"))
     ids = F.transform("__s", lambda s: s["id"])
     seqs = seqs.select("__key", ids.alias("__ids"))

@@ -54,3 +54,21 @@ def test_text_nb_large_model_path_matches_broadcast(spark, monkeypatch):
     assert len(forced) == len(base) == 24
     for a, b in zip(forced, base):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-9)
+
+
+def test_token_window_large_vocab_path_matches_broadcast(spark, monkeypatch):
+    """A vocabulary over the broadcast limit: hot tokens from a bounded broadcast, the rest
+    by shuffle; ids equal the broadcast path, unknown tokens still map to 1."""
+    from flowlens.operators import skew as SK
+    from flowlens.operators import tokens as TK
+    rnd = random.Random(6)
+    words = [","] * 40 + ["the"] * 20 + [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    vocab = build_vocab(df.where("row_id < 60"), "text")
+    base = sorted((r.row_id, r.n_tokens, tuple(r.input_ids)) for r in token_window(df, "text", vocab, max_length=16).collect())
+    monkeypatch.setattr(TK, "BROADCAST_LIMIT", 3)
+    monkeypatch.setattr(SK, "HOT_ROWS", 20)
+    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 1000)
+    forced = sorted((r.row_id, r.n_tokens, tuple(r.input_ids)) for r in token_window(df, "text", vocab, max_length=16).collect())
+    assert forced == base and len(base) == 80
