@@ -4,7 +4,7 @@
   the 0-based position of the value in sorted order (LabelEncoder order).
 * Applying a dictionary: when it is small (checked against ``MAP_LIMIT``) it is
   inlined as a literal map and the lookup is a projection; otherwise it is a
-  shuffle join. Unseen values raise (the reference's encoder fails on them).
+  shuffle join with hot categories split off to a bounded broadcast. Unseen values raise (the reference's encoder fails on them).
 * One-hot is a projection from the TRAIN dictionary; a test value that train
   never saw becomes all zeros (no refit on test, no alignment step needed).
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.profile import unpivot
 from flowlens.operators.ranks import running_sum, string_rank
-from flowlens.operators.skew import skew_safe_lookup
+from flowlens.operators.skew import hot_key_join, skew_safe_lookup
 
 MAP_LIMIT = 50_000       # dictionary entries inlined as a literal map
 ONE_HOT_LIMIT = 2_000    # output columns one-hot may create
@@ -84,8 +84,15 @@ def encode_lookup(df: DataFrame, col: str, fit: DataFrame, out: str | None = Non
     entries, else a shuffle join); an unseen value fails the job."""
     name = out or f"{col}_code"
     d = fit.where(F.col("column") == col).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-    d = F.broadcast(d) if _dict_size(fit) <= MAP_LIMIT else d
-    res = df.join(d, df[col].cast("string") == d["__v"], "left").drop("__v")
+    staged = df.withColumn("__v", F.col(col).cast("string"))
+    if _dict_size(fit) <= MAP_LIMIT:
+        res = staged.join(F.broadcast(d), "__v", "left")
+    else:
+        # a large dictionary is joined by shuffle; a category holding many rows would
+        # load one task, so hot categories come from a bounded broadcast instead
+        value_rows = staged.groupBy("__v").agg(F.count(F.lit(1)).alias("__rows"))
+        res = hot_key_join(staged, d, ["__v"], value_rows, "__rows", "left")
+    res = res.drop("__v")
     return res.withColumn(name, _unseen_guard(F.col(col), F.col("__code"), col)).drop("__code")
 
 

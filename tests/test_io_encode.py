@@ -77,3 +77,17 @@ def test_skew_safe_lookup_hot_path(spark, monkeypatch):
     got_left = sorted(tuple(r) for r in SK.skew_safe_lookup(left, table, ["column", "value"], "c", "left")
                       .select("k", "payload").collect())
     assert len(got_left) == 81 and (999, None) in got_left
+
+
+def test_encode_lookup_large_dictionary_path(spark, monkeypatch):
+    """Dictionary over the broadcast limit with one hot category: same codes as the broadcast path."""
+    from flowlens.operators import skew as SK
+    rows = [(i, "hot" if i % 4 else f"c{i % 13}") for i in range(100)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "row_id long, cat string")
+    fit = E.fit_label_encode(df, ["cat"])
+    base = sorted(tuple(r) for r in E.encode_lookup(df, "cat", fit).collect())
+    monkeypatch.setattr(E, "MAP_LIMIT", 2)
+    monkeypatch.setattr(SK, "HOT_ROWS", 10)
+    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 1000)
+    forced = sorted(tuple(r) for r in E.encode_lookup(df, "cat", fit).collect())
+    assert forced == base and len(base) == 101
