@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.profile import unpivot
 from flowlens.operators.ranks import running_sum, string_rank
-from flowlens.operators.skew import hot_key_join, skew_safe_lookup
+from flowlens.operators.skew import hot_key_join
 
 MAP_LIMIT = 50_000       # dictionary entries inlined as a literal map
 ONE_HOT_LIMIT = 2_000    # output columns one-hot may create
@@ -147,11 +147,11 @@ def average_rank(df: DataFrame, cols: list[str], key: str, n_buckets: int = 64)
     long = unpivot(df, cols, ids=[key]).where(F.col("value").isNotNull())
     dv = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
     cum = running_sum(dv, "value", ["c"], partition_cols=("column",), n_buckets=n_buckets)
-    ranks = cum.select("column", "value", "c",
+    ranks = cum.select("column", "value",
                        ((F.col("cum_c") - F.col("c")).cast("double") + (F.col("c") + 1).cast("double") / 2.0).alias("rank"))
     # a constant or binary column puts most rows on one (column, value): hot keys are
-    # joined map-side from a bounded broadcast, the rest by shuffle
-    return skew_safe_lookup(long, ranks, ["column", "value"], "c")
+    # joined map-side from a bounded broadcast, the rest by shuffle (rows per key: dv)
+    return hot_key_join(long, ranks, ["column", "value"], dv, "c")
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], key: str, digits: int = 6) -> DataFrame:
