@@ -1,7 +1,8 @@
 """Session construction and shared scratch space.
 
 On a cluster the shared folder is the one named by ``spark.checkpoint.dir``;
-we only create a local one when nothing is configured (tests, laptops).
+a private one is made only where nothing is configured and Spark runs in one
+process (tests, laptops); on a cluster without the setting we raise.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return conf
-    local = tempfile.mkdtemp(prefix="flowlens-ckpt-")
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-ckpt-"))     # one machine: tests, laptops
+    return sc.getCheckpointDir().rsplit("/", 1)[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
