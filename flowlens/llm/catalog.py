@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.sources.tables import read_table
 
@@ -25,3 +26,62 @@ def query(name: str, sql: str | None = None):
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.simhash import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+def _tokenizer_file(name: str) -> bytes:
+    import public_tokenizers
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.packing import pack
+    pieces = pack(read_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"), max_len=1024, end_id=0)
+    return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.sentencepiece_codec import encode_documents
+    got = encode_documents(read_table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.language_id import fit, held_out, predict
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    return predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.substring_dedup import remove_repeats
+    got = remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.warc import judge, read_archive, write_archive
+    index = write_archive(judge(read_table(spark, sf_dir, "pages"), min_bytes=0))
+    return read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_exact_top_k", """
+with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.topk import top_k
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
