@@ -30,41 +30,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 600_000        # chunks that a worker keeps; then the cache starts anew
+CACHE_ENTRIES = 400_000        # chunks in the new half of a worker's cache; then it becomes the old half
 # Characters with the Unicode White_Space property, which the tokenizer's \s means
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+# letters and then marks, which the pattern always parts (an apostrophe may belong to letters, so it is no mark here)
+_WORD_MARKS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%#&|]+)")
 
 
 class ChunkTokenizer:
     """Ids of whole texts by a byte-level BPE tokenizer of the ``tokenizers`` library.
 
     Its pattern never matches across the step from a non-space to a space character, so a
-    text is encoded chunk by chunk (white space and the word behind it) and chunks already
-    seen come from a bounded cache."""
+    text is encoded chunk by chunk (white space and the word behind it), and chunks already
+    seen come from a bounded cache. New chunks are encoded many at a time, end to end, and
+    told apart by the byte lengths of their tokens."""
 
     def __init__(self, model: bytes, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_buffer(model)
-        self.cache: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.end = np.uint32(end_id).tobytes()
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
-        for piece, i in vocab.items():     # byte-level pieces: Ċ is the new line
+        self.size = np.zeros(len(self.ends_sentence), np.int64)
+        for piece, i in vocab.items():     # byte-level pieces: a character is a byte, and Ċ the new line
             self.ends_sentence[i] = piece.rstrip("\"')]").endswith((".", "!", "?", "Ċ"))
+            self.size[i] = len(piece)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        if len(self.new) > CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
         split = [_CHUNK.findall(t) if t else [] for t in texts]
-        new = set().union(*split).difference(cache)
-        if new:
-            new = list(new)
-            for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([*map(cache.__getitem__, s), self.end]), np.uint32) for s in split]
+        parts: dict[str, tuple] = {}
+        for c in set().union(*split).difference(self.new):
+            m = _WORD_MARKS.fullmatch(c)
+            parts[c] = m.groups() if m else (c,)
+        new = self.new
+        self._learn({x for p in parts.values() for x in p})
+        for c, p in parts.items():
+            if len(p) > 1:
+                new[c] = new[p[0]] + new[p[1]]
+        return [np.frombuffer(b"".join([*map(new.__getitem__, s), self.end]), np.uint32) for s in split]
+
+    def _learn(self, pieces: set[str]) -> None:
+        new, old = self.new, self.old
+        unknown = pieces.difference(new)
+        known = unknown.intersection(old)
+        new.update(zip(known, map(old.__getitem__, known)))
+        alone, joined = [], []
+        for c in unknown.difference(known):
+            (joined if c[0] == " " and c[-1] not in _WS else alone).append(c)
+        groups = [joined[i:i + 500] for i in range(0, len(joined), 500)]
+        for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            upto = np.cumsum(self.size[ids])
+            ends = np.cumsum(np.fromiter((len(c.encode("utf-8")) for c in group), np.int64, len(group)))
+            cut = np.searchsorted(upto, ends)
+            if len(ids) and cut[-1] < len(ids) and (upto[cut] == ends).all():
+                raw, at = ids.tobytes(), ((cut + 1) * 4).tolist()
+                new.update(zip(group, [raw[i:j] for i, j in zip([0, *at[:-1]], at)]))
+            else:
+                alone += group
+        for c, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
+            new[c] = np.array(e.ids, np.uint32).tobytes()
 
 
 _TOKENIZER: tuple | None = None
@@ -108,7 +139,7 @@ def choose_cuts(points: np.ndarray, penalty: np.ndarray, max_len: int, sequence_
         cost[j] = best = best + pen[j]
         back[j] = i
         best += here
-        while queue and queue[-1][0] >= best:
+        while queue and queue[-1][0] >= best:      # from here on, no worse and later
             queue.pop()
         queue.append((best, here, j))
     cuts, j = [], m - 1
@@ -223,3 +254,9 @@ def pack(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def with_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``length`` and ``ids_crc32`` (of the ids' bytes) in front of the ids."""
+    return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
