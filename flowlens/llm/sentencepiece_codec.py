@@ -122,7 +122,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     def lists(it):
         seen: dict[int, set] = {}
         for b in it:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
                 if t:
                     seen.setdefault(k, set()).update(chunks_of(t))
         while seen:
@@ -187,7 +187,8 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
         return pa.table([left.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()),
                          pa.array(decoded, pa.string())], schema=out_schema)
 
-    answers = (blocked.select("block", "text").mapInArrow(lists, "bucket int, block int, keys binary")
+    # both uses read all columns of ``blocked``, so Spark deals the texts out once and reuses the exchange
+    answers = (blocked.mapInArrow(lists, "bucket int, block int, keys binary")
                .groupBy("bucket").applyInArrow(answer, "block int, bucket int, n_ids binary, ids binary, odd binary"))
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         join_back, "doc_id long, n_tokens long, ids string, decoded string")
