@@ -8,8 +8,8 @@ A corpus has no one suffix array at scale, so suffixes are dealt into shards suc
    ``gram``-byte strings in every window of ``length`` bytes (winnowing): equal windows have
    equal anchors. Each block lists its distinct anchors, dealt into buckets by hash;
 2. each bucket finds the anchors that occur more than once in the corpus;
-3. each block cuts the context of those anchors, the ``2 * length - gram`` bytes that hold
-   every window with that anchor, and sends each distinct context once, with its places, to
+3. each block cuts the context of those anchors, the bytes (``2 * length - gram`` at most)
+   of all windows with that anchor, and sends each distinct context once, with its places, to
    the shard of the anchor;
 4. a shard builds the suffix array and permuted common prefixes of its contexts (separated
    by a byte that UTF-8 does not use). Neighbours that share ``length`` bytes form groups,
@@ -30,14 +30,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlens.llm.common import shuffle_parts, text_bytes
 from flowlens.llm.suffix_array import permuted_lcp, suffix_array
 
-GRAM = 40
+GRAM = 50
 BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 17          # bytes hashed at a time
-SHARD_BYTES = 4 << 20          # bytes sorted at a time
+SHARD_BYTES = 3 << 19          # bytes sorted at a time
 BATCHES = 1024                 # a shard's anchors are dealt into so many parts, sorted a few at a time
 SEPARATOR = 0xFF               # never part of UTF-8
 _BASE = 0x9E3779B97F4A7C15     # odd, so it has an inverse modulo 2^64
@@ -81,10 +82,11 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(data: bytes, bounds: np.ndarray, length: int, gram: int):
-    """Anchors of texts laid end to end: (position, hash, context hash).
+    """Anchors of texts laid end to end: (position, hash, begin and end of the context, its hash).
 
-    ``bounds``: starts of the texts and the end; texts shorter than ``length`` have none."""
-    out = ([], [], [])
+    ``bounds``: starts of the texts and the end; texts shorter than ``length`` have none. The
+    context is all windows of which the anchor is the least hash."""
+    out = ([], [], [], [], [])
     b = np.frombuffer(data, np.uint8)
     lo, last = 0, len(bounds) - 1
     while lo < last:
@@ -111,15 +113,18 @@ def anchors(data: bytes, bounds: np.ndarray, length: int, gram: int):
             pad = np.zeros(width - 1, np.uint64)
             most = _slide(np.concatenate([pad, least, pad]), width, np.maximum)
             at = np.flatnonzero(most == h)
-            doc = np.searchsorted(ends, at, side="right")
-            left = np.maximum(starts[doc], at - (length - gram))
-            right = np.minimum(ends[doc], at + length)
+            # windows of an anchor: those that start up to width - 1 before it and have its hash as least
+            near = np.concatenate([pad, least, pad])[at[:, None] + np.arange(width)[None, :]] == h[at][:, None]
+            left = at - (width - 1) + near.argmax(axis=1)
+            right = at - near[:, ::-1].argmax(axis=1) + length
             out[0].append(at + begin)
             out[1].append(h[at])
-            out[2].append(_mix((prefix[right] - prefix[left]) * inverse[left]) ^ (right - left).astype(np.uint64))
+            out[2].append(left + begin)
+            out[3].append(right + begin)
+            out[4].append(_mix((prefix[right] - prefix[left]) * inverse[left]) ^ (right - left).astype(np.uint64))
         lo = hi
     if not out[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in out)
 
 
@@ -146,7 +151,7 @@ class Block:
 
 def _list_anchors(block: Block, n_buckets: int, length: int, gram: int):
     """Rows (bucket, anchors, contexts) of a block: sorted distinct anchors, and of how many contexts each."""
-    _, h, ctx = anchors(block.data, block.bounds, length, gram)
+    _, h, _, _, ctx = anchors(block.data, block.bounds, length, gram)
     if not len(h):
         return
     order = np.lexsort((ctx, h))
@@ -179,7 +184,7 @@ def _judge_anchors(lists: list[bytes], kinds: list[bytes], hot_contexts: int) ->
 
 def _contexts(block: Block, flags: dict[int, bytes], n_buckets: int, length: int, gram: int):
     """Rows (shard, texts, ...) of a block: distinct contexts of repeated anchors and hot windows."""
-    pos, h, _ = anchors(block.data, block.bounds, length, gram)
+    pos, h, left, right, _ = anchors(block.data, block.bounds, length, gram)
     if not len(pos):
         return
     bucket = (h % np.uint64(n_buckets)).astype(np.int64)
@@ -190,9 +195,7 @@ def _contexts(block: Block, flags: dict[int, bytes], n_buckets: int, length: int
         flag[dist_bucket == k] = _unpack(blob, np.uint8)
     kind = flag[where]
     doc = np.searchsorted(block.bounds, pos, side="right") - 1
-    starts, ends = block.bounds[doc], block.bounds[doc + 1]
-    left = np.maximum(starts, pos - (length - gram))
-    right = np.minimum(ends, pos + length)
+    starts = block.bounds[doc]
     data = block.data
     null, ids, tie = block.keys()
 
@@ -312,18 +315,22 @@ def _sorted_repeats(texts: list[bytes], firsts: list[tuple], length: int, out: l
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
-                   gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot_contexts: int = 2000) -> DataFrame:
+                   gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot_contexts: int = 2000,
+                   carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<begin, end>>, kept binary): a row per input row.
 
     ``spans``: the maximal removed runs of the UTF-8 text, by the text before anything is removed;
     ``kept``: the bytes that are left. Earlier is the smaller id, then (rows of one id, null
     ids, which come last) the shorter and smaller text; of rows that agree in all of that, one is
     first. Null and empty texts have no bytes; texts shorter than ``length`` are never cut. An
-    empty table gives an empty result; other columns are ignored."""
+    empty table gives an empty result; other columns are ignored, but for those named by
+    ``carry``, which come back as the struct column ``rest``, beside the string ``whole``: what is
+    left as text, without the bytes of characters that a cut splits."""
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 and shorter than length")
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                      *([F.struct(*carry).alias("rest")] if carry else []))
     n_blocks = max(1, -(-text_bytes(src, "text") // block_bytes))
     parts = max(shuffle_parts(spark), -(-n_blocks // 8))
     n_buckets = parts
@@ -367,8 +374,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                      for r, x in zip(rows, found) if x], span_schema)
 
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-    out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                            ("spans", pa.list_(span)), ("kept", pa.binary())])
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
         b = block_of(left)
@@ -376,7 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for blob in right.column("spans").to_pylist():
             for d, s, e in _unpack(blob, np.int32).reshape(-1, 3).tolist():
                 cover.setdefault(d, []).append((s, e))
-        n_removed, spans, kept = [], [], []
+        n_removed, spans, kept, whole = [], [], [], []
         for d, raw in enumerate(b.raw):
             merged: list[list] = []
             for s, e in sorted(cover.get(d, ())):
@@ -387,15 +392,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n_removed.append(sum(e - s for s, e in merged))
             spans.append([{"begin": s, "end": e} for s, e in merged])
             ends = [0] + [e for _, e in merged]
-            kept.append(b"".join([raw[x:y] for x, y in zip(ends, [s for s, _ in merged] + [len(raw)])]) if merged else raw)
-        return pa.table([pa.array(b.ids, pa.int64()), pa.array([len(x) for x in b.raw], pa.int64()),
-                         pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
-                        schema=out_schema)
+            pieces = [raw[x:y] for x, y in zip(ends, [s for s, _ in merged] + [len(raw)])]
+            kept.append(b"".join(pieces))
+            if carry:
+                whole.append("".join([x.decode("utf-8", "ignore") for x in pieces]))
+        out = {"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": pa.array([len(x) for x in b.raw], pa.int64()),
+               "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(span)),
+               "kept": pa.array(kept, pa.binary())}
+        if carry:
+            out |= {"whole": pa.array(whole, pa.string()), "rest": left.column("rest").take(pa.array(b.order))}
+        return pa.table(out)
 
     flags = (blocked.groupBy("block").applyInArrow(listed, "bucket int, block int, anchors binary, kinds binary")
              .groupBy("bucket").applyInArrow(judged, "block int, bucket int, flags binary"))
     contexts = blocked.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(
         cut, "shard int, block int, " + ", ".join(f"{f.name} binary" for f in list(ctx_schema)[2:]))
     spans = contexts.groupBy("shard").applyInArrow(sorted_out, "block int, shard int, spans binary")
-    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        applied, "doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
+    if carry:
+        schema = schema.add("whole", "string").add(blocked.schema["rest"])
+    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(applied, schema)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **kw) -> DataFrame:
+    """``docs`` with the repeats cut out of their texts; same columns and rows.
+
+    Where a cut splits a character, what is left of it goes too. Null texts stay null;
+    ``length_col``, if there is one, is the number of characters of the new text."""
+    others = [c for c in docs.columns if c != text_col]
+    marked = docs.withColumn("_null", F.col(text_col).isNull())
+    got = remove_repeats(marked, id_col, text_col, carry=[*others, "_null"], **kw)
+    got = got.select(F.when(~F.col("rest._null"), F.col("whole")).alias("_text"), *[F.col(f"rest.`{c}`").alias(c) for c in others])
+    if length_col in others:
+        got = got.withColumn(length_col, F.when(F.col("_text").isNotNull(), F.length("_text")).cast(docs.schema[length_col].dataType))
+    return got.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+

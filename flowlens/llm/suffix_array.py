@@ -98,7 +98,7 @@ def _sort_names(names: np.ndarray, step: int = 1) -> np.ndarray:
     inside = open_ + step < n
     second[inside] = names[open_[inside] + step] + 1
     key = (names[open_].astype(np.int64) << 32) | second
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     group = np.concatenate([[True], (k[1:] >> 32) != (k[:-1] >> 32)])
@@ -161,33 +161,34 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """At each position: the length of the prefix shared with its predecessor in ``sa`` (first: 0)."""
     n = len(text)
-    out = np.zeros(n, np.int64)
     if n == 0:
-        return out
-    phi = np.empty(n, np.int64)
+        return np.zeros(0, np.int32)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
-    i = np.arange(n)
-    irreducible = (i == 0) | (phi <= 0)
-    inner = np.flatnonzero(~irreducible)
-    irreducible[inner] = text[inner - 1] != text[phi[inner] - 1]
-    at = np.flatnonzero(irreducible & (phi >= 0))
     padded = np.zeros(n + 16, np.uint8)
     padded[:n] = text
+    irreducible = phi <= 0
+    irreducible[0] = True
+    before = padded[:n][np.maximum(phi, 1) - 1]
+    irreducible[1:] |= text[:-1] != before[1:]
+    at = np.flatnonzero(irreducible & (phi >= 0)).astype(np.int32)
     words = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    a, b, value = at.copy(), phi[at], np.zeros(len(at), np.int64)
-    live = np.arange(len(at))
+    a, b, value = at.copy(), phi[at], np.zeros(len(at), np.int32)
+    live = np.arange(len(at), dtype=np.int32)
     while len(live):
         x = words[a[live]] ^ words[b[live]]
         equal = x == 0
         part = x[~equal]
-        value[live[~equal]] += (np.bitwise_count((part & -part) - np.uint64(1)) // 8).astype(np.int64)
+        value[live[~equal]] += np.bitwise_count((part & -part) - np.uint64(1)) // 8
         live = live[equal]
         value[live] += 8
         a[live] += 8
         b[live] += 8
         live = live[(a[live] < n) & (b[live] < n)]
     value = np.minimum(value, n - np.maximum(at, phi[at]))     # nothing behind the end
+    out = np.zeros(n, np.int32)
     out[at] = value
+    i = np.arange(n, dtype=np.int32)
     source = np.maximum.accumulate(np.where(irreducible, i, 0))
     return out[source] - (i - source)

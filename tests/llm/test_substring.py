@@ -88,7 +88,7 @@ def test_small_batches(spark, monkeypatch):
     monkeypatch.setattr(D, "CHUNK_BYTES", 700)
     rows = passages(11, 60)
     blocks = D.Block([i for i, _ in rows], [t for _, t in rows])
-    pos, h, _ = D.anchors(blocks.data, blocks.bounds, 100, 40)
+    pos, *_ = D.anchors(blocks.data, blocks.bounds, 100, 40)
     assert len(pos) and (np.diff(pos) > 0).all()
 
 
