@@ -28,7 +28,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
-def _tokenizer_file(name: str) -> bytes:
+def tokenizer_file(name: str) -> bytes:
     import public_tokenizers
     with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
@@ -36,16 +36,15 @@ def _tokenizer_file(name: str) -> bytes:
 
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from flowlens.llm.packing import pack
-    pieces = pack(read_table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"), max_len=1024, end_id=0)
-    return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
-                         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    from flowlens.llm.packing import pack, with_digests
+    pieces = pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), max_len=1024, end_id=0)
+    return with_digests(pieces).drop("ids")
 
 
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.sentencepiece_codec import encode_documents
-    got = encode_documents(read_table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"))
+    got = encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -85,3 +84,39 @@ select query_id, rank, vec_id, score from r where rank <= 5""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.topk import top_k
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+#: The rules of the task: (host, path, verdict)
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def _url_rules():
+    from flowlens.llm.url_filters import Rule
+    return [Rule(*r) for r in URL_RULES]
+
+
+@query("op2_url_filters")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.url_filters import judge_urls
+    return judge_urls(read_table(spark, sf_dir, "pages"), _url_rules())
+
+
+def _op2_sql() -> str:
+    from flowlens.llm.url_filters import oracle
+    return oracle(_url_rules())
+
+
+ORACLE["op2_url_filters"] = _op2_sql()
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.lm_score import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"), order=3, alpha=0.4)
+
+
+@query("op5_embedding_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.nn_descent import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)

@@ -146,13 +146,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         tree = BallTree(left.column("id").to_numpy(), quantise(_matrix(left), scale))
-        ids = right.column("id").to_numpy()
+        ids = right.column("query").to_numpy()
         found = tree.search(ids, quantise(_matrix(right), scale), k, right.column("floor").to_pylist())
         rows = [(i, -minus, max(-_LONG - 1, min(_LONG, s))) for i, best in zip(ids.tolist(), found) for s, minus in best]
         return pa.table(list(map(list, zip(*rows))) if rows else [[], [], []], schema=schema)
 
     shard_rows_df = src.select("id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    at_home = queries.select("id", "v", "grp", F.col("home").alias("shard"), F.lit(None).cast("long").alias("floor"))
+    at_home = queries.select(F.col("id").alias("query"), F.col("v").alias("v"), F.col("grp").alias("grp"), F.col("home").alias("shard"),
+                             F.lit(None).cast("long").alias("floor"))
     keys = ["shard", "grp"]
     home = (shard_rows_df.repartition(parts, *keys).groupBy(*keys).cogroup(at_home.groupBy(*keys))
             .applyInArrow(searched, ddl))
@@ -162,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     floors = kth.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
     away = (queries.join(floors, "id", "left")
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-            .select("id", "v", "grp", "shard", "floor"))
+            .select(F.col("id").alias("query"), F.col("v").alias("v"), F.col("grp").alias("grp"), "shard", "floor"))
     rest = (shard_rows_df.repartition(parts, *keys).groupBy(*keys).cogroup(away.groupBy(*keys))
             .applyInArrow(searched, ddl))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -197,7 +197,7 @@ def write_archive(judged: DataFrame, folder: str | None = None, frame_bytes: int
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     name = f"part-{part:06d}-{attempt}-{k:04d}.warc.zst"
-                    writer = BundleWriter(files.open_output_stream(f"{root}/{name}"), frame_bytes, level)
+                    writer = BundleWriter(files.open_output_stream(f"{root}/{name}", compression=None), frame_bytes, level)
                 data = payload.encode("utf-8")
                 rid = (_record_id("response", base64.b32encode(hashlib.sha1(data).digest()).decode(), page_id)
                        if response and page_id is not None else _record_id("record", attempt, seq))
