@@ -2,11 +2,13 @@
 
 * All dictionaries come from ONE unpivoted ``groupBy(column, value)``; codes are
   the 0-based position of the value in sorted order (LabelEncoder order).
-* Applying a dictionary: when it is small (checked against ``MAP_LIMIT``) it is
-  inlined as a literal map and the lookup is a projection; otherwise it is a
-  shuffle join with hot categories split off to a bounded broadcast. Unseen values raise (the reference's encoder fails on them).
+* Applying a dictionary is a left join per column: from a broadcast where that column's
+  dictionary, whose size is counted, has at most ``BROADCAST_ENTRIES`` entries, else by
+  shuffle with hot categories split off to a bounded broadcast. Unseen values raise in the
+  projection behind the join (the reference's encoder fails on them).
 * One-hot is a projection from the TRAIN dictionary; a test value that train
-  never saw becomes all zeros (no refit on test, no alignment step needed).
+  never saw becomes all zeros (no refit on test, no alignment step needed). For wide
+  dictionaries ``one_hot_sparse`` gives the same row as (size, positions of the ones).
 """
 
 from __future__ import annotations
@@ -18,13 +20,9 @@ from pyspark.sql import functions as F
 from flowlens.operators.profile import unpivot
 from flowlens.operators.ranks import running_sum, string_rank
 from flowlens.operators.skew import hot_key_join
+from flowlens.session import materialize
 
-MAP_LIMIT = 50_000       # dictionary entries inlined as a literal map
-ONE_HOT_LIMIT = 2_000    # output columns one-hot may create
-
-
-class UnseenCategoryError(ValueError):
-    pass
+BROADCAST_ENTRIES = 100_000    # dictionary entries of a column that are broadcast
 
 
 def fit_label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -42,10 +40,6 @@ def sorted_categories(df: DataFrame, col: str) -> DataFrame:
     return fit_label_encode(df, [col]).select("value", "code")
 
 
-def _dict_size(fit: DataFrame) -> int:
-    return fit.limit(MAP_LIMIT + 1).count()
-
-
 def _unseen_guard(value, code, col: str):
     """The code, or a task failure naming the column when a non-null value has no code.
     Checked lazily inside the same projection (no extra pass over the data)."""
@@ -54,46 +48,46 @@ def _unseen_guard(value, code, col: str):
                   ).otherwise(code)
 
 
+def _with_codes(df: DataFrame, fit: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with a code column (null: not in the dictionary) for each {column: code column}.
+
+    The dictionary is written once; its sizes are counted in one pass over it."""
+    fit = fit if hasattr(fit, "_table_path") else materialize(fit, "dictionary")
+    sizes = {r["column"]: r["count"] for r in fit.groupBy("column").count().collect()}     # one row per column
+    for c, code in columns.items():
+        d = fit.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias(code))
+        staged = df.withColumn("__v", F.col(f"`{c}`").cast("string"))
+        if sizes.get(c, 0) <= BROADCAST_ENTRIES:
+            df = staged.join(F.broadcast(d), "__v", "left")
+        else:
+            # a category holding many rows would load one task, so hot ones come from a bounded broadcast
+            value_rows = staged.groupBy("__v").agg(F.count(F.lit(1)).alias("__rows"))
+            df = hot_key_join(staged, d, ["__v"], value_rows, "__rows", "left")
+        df = df.drop("__v")
+    return df
+
+
 def apply_label_encode(df: DataFrame, fit: DataFrame, unseen: str = "error", suffix: str = "") -> DataFrame:
     """Replace each fitted column by its code (or add ``col + suffix``).
 
     ``unseen='error'`` fails the job on a non-null value without a code (raised where
-    the row is encoded); ``'null'`` keeps null. A dictionary under ``MAP_LIMIT``
-    entries is inlined as a literal map (projection only); a larger one is joined.
-    """
-    entries = fit.limit(MAP_LIMIT + 1).collect()
-    cols = [c for c in df.columns if c in {r["column"] for r in entries}]
-    if len(entries) <= MAP_LIMIT:
-        exprs = {}
-        for c in cols:
-            kv = [x for r in entries if r["column"] == c for x in (F.lit(r["value"]), F.lit(r["code"]))]
-            code = F.element_at(F.create_map(*kv), F.col(c).cast("string"))
-            exprs[c + suffix] = (_unseen_guard(F.col(c), code, c) if unseen == "error" else code).alias(c + suffix)
-        return df.select(*[exprs.pop(c, F.col(c)) for c in df.columns], *exprs.values())
-    out = df
-    for c in cols:
-        d = fit.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-        out = out.join(d, out[c].cast("string") == d["__v"], "left").drop("__v")
-        code = _unseen_guard(F.col(c), F.col("__code"), c) if unseen == "error" else F.col("__code")
-        out = out.withColumn(c + suffix, code).drop("__code")
-    return out
+    the row is encoded); ``'null'`` keeps null. The columns are those of the whole
+    dictionary, however many entries each has."""
+    fit = materialize(fit, "dictionary")
+    fitted = {r["column"] for r in fit.select("column").distinct().collect()}              # column names
+    cols = [c for c in df.columns if c in fitted]
+    codes = {c: f"__code_{i}" for i, c in enumerate(cols)}
+    joined = _with_codes(df, fit, codes)
+    value = {c: (_unseen_guard(F.col(c), F.col(k), c) if unseen == "error" else F.col(k)) for c, k in codes.items()}
+    if not suffix:
+        return joined.select(*[value[c].alias(c) if c in value else F.col(c) for c in df.columns])
+    return joined.select(*df.columns, *[v.alias(c + suffix) for c, v in value.items()])
 
 
 def encode_lookup(df: DataFrame, col: str, fit: DataFrame, out: str | None = None) -> DataFrame:
-    """Dictionary join: category -> code (broadcast when the dictionary is under MAP_LIMIT
-    entries, else a shuffle join); an unseen value fails the job."""
-    name = out or f"{col}_code"
-    d = fit.where(F.col("column") == col).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-    staged = df.withColumn("__v", F.col(col).cast("string"))
-    if _dict_size(fit) <= MAP_LIMIT:
-        res = staged.join(F.broadcast(d), "__v", "left")
-    else:
-        # a large dictionary is joined by shuffle; a category holding many rows would
-        # load one task, so hot categories come from a bounded broadcast instead
-        value_rows = staged.groupBy("__v").agg(F.count(F.lit(1)).alias("__rows"))
-        res = hot_key_join(staged, d, ["__v"], value_rows, "__rows", "left")
-    res = res.drop("__v")
-    return res.withColumn(name, _unseen_guard(F.col(col), F.col("__code"), col)).drop("__code")
+    """Dictionary join: category -> code; an unseen value fails the job."""
+    res = _with_codes(df, fit, {col: "__code"})
+    return res.withColumn(out or f"{col}_code", _unseen_guard(F.col(col), F.col("__code"), col)).drop("__code")
 
 
 def fit_one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -103,26 +97,33 @@ def fit_one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def one_hot(df: DataFrame, fit: DataFrame, prefixes: dict | None = None, drop: bool = True,
             dtype: str = "double") -> DataFrame:
-    """All k dummies per categorical column, named ``<prefix>_<value>`` in code order."""
-    n = fit.limit(ONE_HOT_LIMIT + 1).count()
-    if n > ONE_HOT_LIMIT:
-        raise ValueError(f"one-hot would create more than {ONE_HOT_LIMIT} columns")
+    """All k dummies per categorical column, named ``<prefix>_<value>`` in code order.
+
+    A dummy is a column of the schema, so the dictionary becomes part of the plan; for
+    dictionaries of many thousand entries use ``one_hot_sparse``."""
     entries = sorted(fit.collect(), key=lambda r: (r["column"], r["code"]))
-    cols = []
-    for r in entries:
-        if r["column"] not in cols:
-            cols.append(r["column"])
-    dummies = []
-    for c in cols:
-        p = (prefixes or {}).get(c, c)
-        for r in entries:
-            if r["column"] == c:
-                dummies.append(F.when(F.col(c).cast("string") == F.lit(r["value"]), 1).otherwise(0)
-                               .cast(dtype).alias(f"{p}_{r['value']}"))
+    cols = list(dict.fromkeys(r["column"] for r in entries))
+    dummies = [F.when(F.col(r["column"]).cast("string") == F.lit(r["value"]), 1).otherwise(0).cast(dtype)
+               .alias(f"{(prefixes or {}).get(r['column'], r['column'])}_{r['value']}") for r in entries]
     keep = [F.col(x) for x in df.columns if not (drop and x in cols)]
     return df.select(*keep, *dummies)
 
 
+def one_hot_sparse(df: DataFrame, fit: DataFrame, cols: list[str], out: str = "one_hot") -> DataFrame:
+    """``df`` with ``out`` = struct(size, ones): the number of dummies of all ``cols`` and the ascending
+    positions (columns by name, codes within) that are 1. Nothing of the dictionary enters the plan."""
+    fit = materialize(fit, "dictionary")
+    sizes = {r["column"]: r["count"] for r in fit.groupBy("column").count().collect()}     # one row per column
+    ordered, start, begins = sorted(cols), 0, {}
+    for c in ordered:
+        begins[c] = start
+        start += sizes.get(c, 0)
+    codes = {c: f"__code_{i}" for i, c in enumerate(ordered)}
+    joined = _with_codes(df, fit, codes)
+    ones = F.array_compact(F.array(*[F.col(codes[c]).cast("long") + F.lit(begins[c]) for c in ordered]))
+    return joined.select(*df.columns, F.struct(F.lit(start).cast("long").alias("size"), ones.alias("ones")).alias(out))
+
+
 one_hot_align = one_hot
 
 
@@ -142,11 +143,11 @@ def attach_encoded(raw: DataFrame, encoded: DataFrame, key: str, drop: list[str]
 
 # ---------------------------------------------------------------- correlation
 
-def average_rank(df: DataFrame, cols: list[str], key: str, n_buckets: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """(key, column, value, rank): tie-averaged 1-based rank of each value within its column."""
     long = unpivot(df, cols, ids=[key]).where(F.col("value").isNotNull())
-    dv = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_sum(dv, "value", ["c"], partition_cols=("column",), n_buckets=n_buckets)
+    dv = materialize(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")), "distinct-values")
+    cum = running_sum(dv, "value", ["c"], partition_cols=("column",))
     ranks = cum.select("column", "value",
                        ((F.col("cum_c") - F.col("c")).cast("double") + (F.col("c") + 1).cast("double") / 2.0).alias("rank"))
     # a constant or binary column puts most rows on one (column, value): hot keys are
@@ -192,42 +193,6 @@ def sorted_correlations(matrix: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- PCA
 
-def fit_pca(df: DataFrame, cols: list[str]) -> dict:
-    """Full PCA of ``cols``: means, components (rows) and explained-variance ratios.
-
-    MLlib's PCA builds the d x d covariance with a tree aggregation over the
-    executors; only that d x d result reaches the driver. Components get the sign
-    that makes their largest |loading| positive, so results are reproducible.
-    """
-    from pyspark.ml.feature import PCA, VectorAssembler
-    d = len(cols)
-    feats = VectorAssembler(inputCols=cols, outputCol="__features").transform(df.select(*cols))
-    model = PCA(k=d, inputCol="__features", outputCol="__pcs").fit(feats)
-    pc = np.array(model.pc.toArray().T, copy=True)  # k x d
-    ratio = model.explainedVariance.toArray()
-    mean_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    mean = np.array([mean_row[f"m{i}"] for i in range(d)])
-    for k in range(pc.shape[0]):
-        if pc[k][np.argmax(np.abs(pc[k]))] < 0:
-            pc[k] = -pc[k]
-    return {"cols": list(cols), "mean": mean.tolist(), "components": pc.tolist(), "ratio": ratio.tolist()}
-
-
-def apply_pca(df: DataFrame, fit: dict, k: int | None = None, keep: tuple = (), out: str = "pcs") -> DataFrame:
-    """Centred projections onto the first k components as ``out`` array<double>.
-
-    (x - mean) . v_j for each component: the centred input is assembled once and
-    each projection is a dot product evaluated JVM-side (no UDF, no join)."""
-    k = k or len(fit["components"])
-    centred = F.array(*[F.col(c).cast("double") - F.lit(m) for c, m in zip(fit["cols"], fit["mean"])])
-    staged = df.select(*keep, centred.alias("__xc"))
-    projs = []
-    for j in range(k):
-        w = F.array(*[F.lit(float(v)) for v in fit["components"][j]])
-        projs.append(F.aggregate(F.zip_with("__xc", w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
-    return staged.select(*keep, F.array(*projs).alias(out))
-
-
 def fit_pca_vec(df: DataFrame, vec: str = "vec") -> dict:
     """``fit_pca`` over an array<double> column; keeps the MLlib model for a BLAS transform."""
     from pyspark.ml.feature import PCA

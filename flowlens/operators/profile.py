@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import rnd
 from flowlens.operators.ranks import join_small, running_sum
+from flowlens.session import materialize
 
 
 def unpivot(df: DataFrame, cols: list[str], ids: list[str] | None = None, cast: str = "double",
@@ -76,15 +77,15 @@ def constant_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*flags)).alias("s")).where("s.const").select("s.column")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], n_buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """(column, p, q): linear-interpolation quantiles (numpy 'linear'), exact.
 
     Distinct values per column with their counts, running counts (bucketed, so no
     single-task window), then the two order statistics around (n - 1) p.
     """
     long = unpivot(df, cols).where(F.col("value").isNotNull())
-    dv = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_sum(dv, "value", ["c"], partition_cols=("column",), n_buckets=n_buckets)
+    dv = materialize(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")), "distinct-values")
+    cum = running_sum(dv, "value", ["c"], partition_cols=("column",))
     cum = cum.select("column", "value", (F.col("cum_c") - F.col("c")).alias("lo_r"), F.col("cum_c").alias("hi_r"))
     sizes = dv.groupBy("column").agg(F.sum("c").alias("n"))
     pos = (F.col("n") - 1) * F.col("p")

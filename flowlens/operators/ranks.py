@@ -1,11 +1,12 @@
 """Exact global ranks and running sums without a single-partition window.
 
 A plain ``Window.orderBy(x)`` with no partition pulls every row into one task.
-Both helpers here split the order into buckets first:
+The helpers here split the order into buckets first:
 
-* ``running_sum`` / ``ordered_rank``: buckets are value ranges taken from
-  ``approxQuantile`` (only ``n_buckets`` numbers reach the driver), assigned
-  with MLlib's ``Bucketizer`` (binary search, JVM side).
+* ``running_sum`` / ``ordered_rank`` / ``string_rank``: the rows are written to the
+  shared folder range-partitioned by (partition columns, order column) - Spark samples
+  the bounds from the whole key, whatever its type - with the number of their range.
+  Nothing but a row count reaches the driver.
 * ``hash_rank``: the order is an md5 hash, which is uniform, so a hex prefix
   of the hash is already a balanced bucket.
 
@@ -14,35 +15,31 @@ window over that small table gives each bucket's offset, and a window
 partitioned by (partition, bucket) finishes the rank inside the bucket.
 The answer does not depend on where the bucket boundaries fall.
 
-The bucket count grows with the data: value ranges and hash prefixes are
-sized from the row count so that one window task sorts about
-``ROWS_PER_BUCKET`` rows at most (64 ranges / 4,096 prefixes is only the
-floor). Every ranked column is unique inside its partition (distinct
-values, distinct scores, row keys, hashes), so no single value can fill a
-bucket. Past ``BROADCAST_BUCKETS`` the offsets table is joined by shuffle
-instead of broadcast.
+The bucket count grows with the data, so that one window task sorts about
+``ROWS_PER_BUCKET`` rows at most; up to that many rows are one bucket. Every ranked
+column is unique inside its partition (distinct values, distinct scores, row keys,
+hashes), so no single value can fill a bucket. Past ``BROADCAST_BUCKETS`` the offsets
+table is joined by shuffle instead of broadcast.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import stable_hash
+from flowlens.session import materialize
 
-DEFAULT_BUCKETS = 64
 # Scale knobs (fixed values): rows one window task sorts at most, about; bucket
 # count up to which the offsets table (partitions x buckets rows) is broadcast.
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 500_000
 BROADCAST_BUCKETS = 4096
+BROADCAST_ROWS = 100_000     # rows of a small table that may be broadcast
 
 
-def buckets_for(n_rows: int, minimum: int = DEFAULT_BUCKETS) -> int:
+def buckets_for(n_rows: int) -> int:
     """Bucket count that keeps a bucket near ``ROWS_PER_BUCKET`` rows or fewer."""
-    return max(minimum, -(-int(n_rows) // ROWS_PER_BUCKET))
+    return max(1, -(-int(n_rows) // ROWS_PER_BUCKET))
 
 
 def hex_digits_for(n_rows: int, minimum: int) -> int:
@@ -53,12 +50,17 @@ def hex_digits_for(n_rows: int, minimum: int) -> int:
     return d
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: list[str], broadcast: bool = True) -> DataFrame:
-    """Equi-join (null-safe) a small table onto ``df``; keys are kept once."""
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], broadcast: bool | None = None) -> DataFrame:
+    """Equi-join (null-safe) a small table onto ``df``; keys are kept once.
+
+    ``broadcast``: True where the caller has checked the size, False for a plain join; by default
+    the rows of ``small`` are counted (it is an aggregate, one row per class or column)."""
     if not keys:
         raise ValueError("join_small needs at least one key")
     renamed = small.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[c for c in small.columns if c not in keys])
+    if broadcast is None:
+        broadcast = renamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if broadcast:
         renamed = F.broadcast(renamed)
     cond = None
@@ -69,52 +71,20 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], broadcast: bool
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def _value_splits(probe: DataFrame, col: str, n_buckets: int) -> tuple[int, list[float]]:
-    """(buckets, inner split points) for the non-null values of ``probe[col]``.
-
-    One aggregation returns the row count and the quantiles; a second, finer pass
-    runs only when the count asks for more than ``n_buckets`` buckets. The relative
-    error shrinks with the bucket count so buckets stay near their target size."""
-    def quantiles(nb: int):
-        probs = [i / nb for i in range(1, nb)]
-        acc = max(1000, 4 * nb)
-        row = probe.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(col, probs, acc).alias("q")).first()
-        return int(row["n"]), list(row["q"] or [])
-    n, qs = quantiles(n_buckets)
-    need = buckets_for(n, n_buckets)
-    if need > n_buckets:
-        n_buckets = need
-        _, qs = quantiles(n_buckets)
-    splits = sorted({q for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
-    return n_buckets, splits
-
-
-def quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = DEFAULT_BUCKETS) -> tuple[DataFrame, int]:
-    """Add ``out`` = index of the value range holding ``col`` (monotone in ``col``); also
-    returns the bucket count used (at least ``n_buckets``, more for large inputs).
-
-    Nulls go to bucket -1 (they sort first in ascending order).
-    """
-    if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0)), 1
-    tmp = f"__qb_{out}"
-    probe = df.select(F.col(col).cast("double").alias(tmp)).where(F.col(tmp).isNotNull()
-                                                                  & ~F.isnan(F.col(tmp)))
-    n_buckets, splits = _value_splits(probe, tmp, n_buckets)
-    if not splits:
-        return df.withColumn(out, F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.lit(0))), n_buckets
-    splits = [-math.inf] + splits + [math.inf]
-    staged = df.withColumn(tmp, F.coalesce(F.col(col).cast("double"), F.lit(-math.inf)))
-    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "__d", handleInvalid="keep")
-    res = bz.transform(staged)
-    return (res.withColumn(out, F.when(F.col(col).isNull(), F.lit(-1))
-                           .otherwise(F.col(out + "__d").cast("int")))
-            .drop(tmp, out + "__d")), n_buckets
+def range_buckets(df: DataFrame, part: list[str], order_col: str, out: str) -> tuple[DataFrame, int]:
+    """``df``, written once, with ``out`` = the number of the value range that holds the row
+    (monotone in (``part``, ``order_col``), nulls first), and the number of ranges."""
+    table = df if hasattr(df, "_table_path") else materialize(df, "rank-input")
+    n_buckets = buckets_for(table.count())
+    if n_buckets == 1:
+        return table.withColumn(out, F.lit(0)), 1
+    ranged = table.repartitionByRange(n_buckets, *part, order_col).withColumn(out, F.spark_partition_id())
+    # written, so that the bounds, which are sampled, are the same for all that follows
+    return materialize(ranged, "rank-ranges"), n_buckets
 
 
 def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_cols: tuple = (),
-                descending: bool = False, n_buckets: int = DEFAULT_BUCKETS,
-                prefix: str = "cum_", small_partitions: bool = True) -> DataFrame:
+                descending: bool = False, prefix: str = "cum_", small_partitions: bool = True) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order within ``partition_cols``.
 
     ``order_col`` must be unique inside a partition (aggregate to distinct values first);
@@ -122,7 +92,7 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_
     """
     part = list(partition_cols)
     b = "__bucket"
-    staged, n_buckets = quantile_bucket(df, order_col, b, n_buckets)
+    staged, n_buckets = range_buckets(df, part, order_col, b)
     if descending:
         staged = staged.withColumn(b, -F.col(b))
     tot = staged.groupBy(*part, b).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
@@ -142,11 +112,11 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_
 
 
 def ordered_rank(df: DataFrame, order_col: str, tie_col: str, partition_cols: tuple = (),
-                 out: str = "rank", n_buckets: int = DEFAULT_BUCKETS, small_partitions: bool = True) -> DataFrame:
+                 out: str = "rank", small_partitions: bool = True) -> DataFrame:
     """1-based ``row_number`` over (``order_col``, ``tie_col``) within ``partition_cols``, exact."""
     part = list(partition_cols)
     b = "__bucket"
-    staged, n_buckets = quantile_bucket(df, order_col, b, n_buckets)
+    staged, n_buckets = range_buckets(df, part, order_col, b)
     tot = staged.groupBy(*part, b).agg(F.count(F.lit(1)).alias("__t"))
     w_small = (Window.partitionBy(*part).orderBy(b) if part else Window.orderBy(b)) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -177,18 +147,9 @@ def hash_rank(df: DataFrame, key: str, seed: int, partition_cols: tuple = (), ou
             .drop(h, b, "__o"))
 
 
-def string_order_key(col) -> "F.Column":
-    """A bigint that never decreases as the string grows in byte order: the first 7
-    UTF-8 bytes read as a big-endian number (shorter strings padded with zero bytes).
-    Strings sharing those bytes tie; callers break ties on the string itself."""
-    c = F.col(col) if isinstance(col, str) else col
-    hexed = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0")
-    return F.conv(hexed, 16, 10).cast("bigint")
-
-
 def string_rank(df: DataFrame, col: str, partition_cols: tuple = (), out: str = "rank",
-                n_buckets: int = DEFAULT_BUCKETS, small_partitions: bool = True) -> DataFrame:
+                small_partitions: bool = True) -> DataFrame:
     """Exact 1-based rank of a unique (within partition) string column in byte order,
-    without a single-task window: value-range buckets of ``string_order_key``."""
-    keyed = df.withColumn("__sk", string_order_key(col))
-    return ordered_rank(keyed, "__sk", col, partition_cols, out, n_buckets, small_partitions).drop("__sk")
+    without a single-task window. Ranges are cut by whole strings, so strings that share
+    a long prefix spread like any others."""
+    return ordered_rank(df, col, col, partition_cols, out, small_partitions)

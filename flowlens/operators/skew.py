@@ -34,6 +34,19 @@ def hot_key_join(big: DataFrame, table: DataFrame, keys: list[str], key_rows: Da
 
     ``key_rows`` has one row per key with ``rows_col`` = its number of ``big`` rows.
     ``table`` may hold several rows per key (a bounded number, e.g. one per class)."""
+    if how == "left":
+        # a null key matches nothing: its rows need no join, and would all hash to one partition
+        known = [F.col(k).isNotNull() for k in keys]
+        some = known[0]
+        for c in known[1:]:
+            some = some & c
+        key_rows = key_rows.where(some)
+        joined = _hot_key_join(big.where(some), table, keys, key_rows, rows_col, how)
+        return joined.unionByName(big.where(~some), allowMissingColumns=True)
+    return _hot_key_join(big, table, keys, key_rows, rows_col, how)
+
+
+def _hot_key_join(big, table, keys, key_rows, rows_col, how) -> DataFrame:
     stats = key_rows.agg(F.sum(rows_col).alias("t"), F.max(rows_col).alias("m")).first()
     total, top = int(stats["t"] or 0), int(stats["m"] or 0)
     thr = hot_threshold(total)

@@ -143,8 +143,7 @@ def exact_quota_rank(df: DataFrame, key: str, label: str, seed: int = 42, hex_di
     return join_small(ranked, sizes, [label])
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, out: str = "fold",
-                     n_buckets: int = 64) -> DataFrame:
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, out: str = "fold") -> DataFrame:
     """Unshuffled stratified k folds: classes in order of first appearance (by key),
     fold sizes from striding the class-sorted row list, and inside each class
     rows fill fold 0, 1, ... in key order.
@@ -162,7 +161,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, out: str =
         acc = acc + (upto(F.col("S") + F.col("c"), i) - upto(F.col("S"), i))
         bounds.append(acc.cast("bigint").alias(f"__b{i}"))
     stats = stats.select(label, *bounds)
-    ranked = ordered_rank(df, key, key, (label,), "__r", n_buckets)
+    ranked = ordered_rank(df, key, key, (label,), "__r")
     joined = join_small(ranked, stats, [label])
     fold = F.lit(0)
     for i in range(k - 1):

@@ -9,29 +9,31 @@ from flowlens.operators.naive_bayes import bernoulli_nb, gaussian_nb
 from flowlens.operators.scale import apply_standard_scale, fit_standard_scale
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import query
-from flowlens.plans.common import (confusion_sql, gnb_sql, metrics_select, scaled_sql, split_flows,
-                                   split_flows_sql)
+from flowlens.plans.common import (FEATS, bnb_sql, confusion_sql, encoded_flows, encoded_flows_sql, gnb_sql,
+                                   metrics_select, scaled_sql)
 
-FEATS = fx.FLOW_NUMERIC
-BNB_FEATS = fx.FLOW_NUMERIC + fx.FLOW_BINARY
 
+def scaled_flows(spark, sf):
+    """Encoded flows, every model feature standard-scaled by the train part."""
+    en = encoded_flows(spark, sf)
+    fit = fit_standard_scale(en.where(F.col("split") == "train"), FEATS)
+    return apply_standard_scale(en, fit)
 
-def _scaled_parts(spark, sf, sp=None):
-    sp = split_flows(spark, sf) if sp is None else sp
-    train = sp.where(F.col("split") == "train")
-    fit = fit_standard_scale(train, FEATS)
-    scaled = apply_standard_scale(sp, fit)
+
+def scaled_parts(spark, sf, scaled=None):
+    scaled = scaled_flows(spark, sf) if scaled is None else scaled
     return scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
 
 
 def _gnb_pred(spark, sf):
-    train, test = _scaled_parts(spark, sf)
+    train, test = scaled_parts(spark, sf)
     return gaussian_nb(train, test, FEATS)
 
 
-GNB_PRED_SQL = (split_flows_sql() + ",\n" + scaled_sql("sp", FEATS, "sc") + ",\n"
-                + "tr as (select * from sc where split = 'train'), te as (select * from sc where split = 'test'),\n"
-                + gnb_sql("tr", "te", FEATS))
+SCALED_SQL = encoded_flows_sql() + ",\n" + scaled_sql("en", FEATS, "sc")
+PARTS_SQL = SCALED_SQL + """,
+tr as (select * from sc where split = 'train'), te as (select * from sc where split = 'test')"""
+GNB_PRED_SQL = PARTS_SQL + ",\n" + gnb_sql("tr", "te", FEATS)
 
 
 @query("gaussian_nb_scoreboard", sql=GNB_PRED_SQL + f",\nconf as ({confusion_sql('nb')})\n"
@@ -48,25 +50,11 @@ def q_gaussian_nb(spark, sf):
     return _gnb_pred(spark, sf)
 
 
-def _bnb_sql() -> str:
-    cols = BNB_FEATS
-    ones = ", ".join(f"cast(sum(case when {c} > 0 then 1 else 0 end) as bigint) as o{i}" for i, c in enumerate(cols))
-    terms = " + ".join(
-        f"(case when t.{c} > 0 then ln((c.o{i} + 1e0) / (c.n + 2e0)) else ln(1e0 - (c.o{i} + 1e0) / (c.n + 2e0)) end)"
-        for i, c in enumerate(cols))
-    return (split_flows_sql() + f""",
-bc as (select label as cls, count(*) as n, {ones} from sp where split = 'train' group by label),
-bt as (select count(*) as tot from sp where split = 'train'),
-bl as (select t.row_id, t.label, c.cls, ln(c.n / bt.tot) + {terms} as ll
-  from (select * from sp where split = 'test') t cross join bc c cross join bt)
-select row_id, label, cls as pred from (select *, row_number() over (partition by row_id order by ll desc, cls asc) rn
-  from bl) x where rn = 1""")
-
-
-@query("bernoulli_nb", sql=_bnb_sql())
+@query("bernoulli_nb", sql=PARTS_SQL + ",\n" + bnb_sql("tr", "te", FEATS) + "\nselect row_id, label, pred from bp")
 def q_bernoulli_nb(spark, sf):
-    sp = split_flows(spark, sf)
-    return bernoulli_nb(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), BNB_FEATS)
+    """On scaled features: a feature is on where it is above its train mean."""
+    train, test = scaled_parts(spark, sf)
+    return bernoulli_nb(train, test, FEATS)
 
 
 # ---------------------------------------------------------------- metric operators on fixed predictions
@@ -129,7 +117,7 @@ lg as (select row_id, label, max(case when cls = 0 then ll end) as l0, max(case
 select row_id, label, {sg.r('exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1)))')} as p1,
   case when l1 > l0 then 1 else 0 end as pred from lg""")
 def q_predict_proba(spark, sf):
-    train, test = _scaled_parts(spark, sf)
+    train, test = scaled_parts(spark, sf)
     lg = gaussian_nb_logits(train, test, FEATS)
     p1, pred = softmax_p1(F.col("logit_0"), F.col("logit_1"))
     return lg.select("row_id", "label", rnd(p1).alias("p1"), pred.alias("pred"))
@@ -170,29 +158,29 @@ def q_knn(spark, sf):
 
 @query("decision_tree")
 def q_decision_tree(spark, sf):
-    train, test = _scaled_parts(spark, sf)
+    train, test = scaled_parts(spark, sf)
     return CL.decision_tree(train, test, FEATS)
 
 
 @query("random_forest")
 def q_random_forest(spark, sf):
-    train, test = _scaled_parts(spark, sf)
+    train, test = scaled_parts(spark, sf)
     return CL.random_forest(train, test, FEATS)
 
 
 @query("logistic_regression")
 def q_logistic_regression(spark, sf):
-    train, test = _scaled_parts(spark, sf)
+    train, test = scaled_parts(spark, sf)
     return CL.logistic_regression(train, test, FEATS)
 
 
 # ---------------------------------------------------------------- cross-validation
 
-def _folded_train(spark, sf, sp=None):
-    """Train part of the exact split with 5 unshuffled stratified folds."""
+def _folded_train(spark, sf, scaled=None):
+    """Scaled train part of the exact split with 5 unshuffled stratified folds."""
     from flowlens.operators.split import stratified_folds
-    sp = (split_flows(spark, sf) if sp is None else sp).where(F.col("split") == "train")
-    return materialize(stratified_folds(sp, "row_id", "label", 5))
+    train, _ = scaled_parts(spark, sf, scaled)
+    return materialize(stratified_folds(train, "row_id", "label", 5), "folds")
 
 
 def _folds_cte(src="tr0", label="label", k=5):
@@ -234,44 +222,33 @@ def _cv_ctes(kind: str, cols: list[str], p: str) -> str:
   {sg.r(sg.sdiv('sum(case when label = cls then 1 else 0 end)', 'count(*)'))} as accuracy from {p}_pr group by fold)"""
 
 
+FOLDS_SQL = PARTS_SQL + ",\ntr0 as (select * from tr),\n" + _folds_cte()
+
+
 def _cv_gnb_sql():
-    return (split_flows_sql() + ",\ntr0 as (select * from sp where split = 'train'),\n" + _folds_cte() + ",\n"
-            + _cv_ctes("gaussian", NUM_CV, "g") + "\nselect * from g_acc")
+    return FOLDS_SQL + ",\n" + _cv_ctes("gaussian", FEATS, "g") + "\nselect * from g_acc"
+
+
+def _board_sql(name, conf, acc):
+    return (f"select '{name}' as model, (select {sg.r('avg(accuracy)')} from {acc}) as train_accuracy, "
+            f"r2 as test_r2_score, accuracy, precision_benign as benign_precision, "
+            f"precision_anomaly as anomaly_precision, recall, f1 as f1_score, fpr as \"FPR\" "
+            f"from ({metrics_select(conf)}) m")
 
 
 def _nb_scoreboard_sql():
-    bterms = " + ".join(
-        f"(case when t.{c} > 0 then ln((c.o{i} + 1e0) / (c.n + 2e0)) else ln(1e0 - (c.o{i} + 1e0) / (c.n + 2e0)) end)"
-        for i, c in enumerate(BNB_FEATS))
-    ones = ", ".join(f"sum(case when {c} > 0 then 1 else 0 end) as o{i}" for i, c in enumerate(BNB_FEATS))
-
-    def board(name, conf, acc):
-        return (f"select '{name}' as model, (select {sg.r('avg(accuracy)')} from {acc}) as train_accuracy, "
-                f"r2 as test_r2_score, accuracy, precision_benign as benign_precision, "
-                f"precision_anomaly as anomaly_precision, recall, f1 as f1_score, fpr as \"FPR\" "
-                f"from ({metrics_select(conf)}) m")
-    return (split_flows_sql() + ",\ntr0 as (select * from sp where split = 'train'),\n" + _folds_cte() + ",\n"
-            + _cv_ctes("gaussian", FEATS, "g") + ",\n" + _cv_ctes("bernoulli", BNB_FEATS, "b") + """,
-tr as (select * from sp where split = 'train'), te as (select * from sp where split = 'test'),
-""" + gnb_sql("tr", "te", FEATS) + f""",
-bc as (select label as cls, count(*) as n, {ones} from tr group by label),
-bt as (select count(*) as tot from tr),
-bl as (select t.row_id, t.label, c.cls, ln(c.n / bt.tot) + {bterms} as ll from te t cross join bc c cross join bt),
-bp as (select row_id, label, cls as pred from (select *, row_number() over (partition by row_id order by ll desc, cls asc) rn
-  from bl) x where rn = 1),
+    return (FOLDS_SQL + ",\n" + _cv_ctes("gaussian", FEATS, "g") + ",\n" + _cv_ctes("bernoulli", FEATS, "b") + ",\n"
+            + gnb_sql("tr", "te", FEATS) + ",\n" + bnb_sql("tr", "te", FEATS) + f""",
 gconf as ({confusion_sql('nb')}), bconf as ({confusion_sql('bp')})
-{board('gaussian_nb', 'gconf', 'g_acc')}
+{_board_sql('gaussian_nb', 'gconf', 'g_acc')}
 union all
-{board('bernoulli_nb', 'bconf', 'b_acc')}""")
-
-
-NUM_CV = FEATS
+{_board_sql('bernoulli_nb', 'bconf', 'b_acc')}""")
 
 
 @query("cv_accuracy", sql=_cv_gnb_sql())
 def q_cv_accuracy(spark, sf):
     """5-fold (unshuffled, stratified) CV accuracy of Gaussian NB on the train part."""
-    return CL.cv_accuracy(CL.cv_predict_nb(_folded_train(spark, sf), NUM_CV, "label", "fold", "gaussian"))
+    return CL.cv_accuracy(CL.cv_predict_nb(_folded_train(spark, sf), FEATS, "label", "fold", "gaussian"))
 
 
 # ---------------------------------------------------------------- scoreboards
@@ -281,14 +258,14 @@ def _mean_accuracy(cv):
     return rnd(F.lit(cv.agg(F.avg("accuracy")).first()[0]).cast("double"))
 
 
-def _nb_scoreboard(spark, sf, sp=None, folded=None):
-    sp = split_flows(spark, sf) if sp is None else sp
-    folded = _folded_train(spark, sf, sp) if folded is None else folded
-    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+def _nb_scoreboard(spark, sf, scaled=None, folded=None):
+    scaled = materialize(scaled_flows(spark, sf), "flows-scaled") if scaled is None else scaled
+    folded = _folded_train(spark, sf, scaled) if folded is None else folded
+    train, test = scaled_parts(spark, sf, scaled)
     rows = []
-    for name, kind, cols in (("gaussian_nb", "gaussian", FEATS), ("bernoulli_nb", "bernoulli", BNB_FEATS)):
-        cv = CL.cv_accuracy(CL.cv_predict_nb(folded, cols, "label", "fold", kind))
-        pred = (gaussian_nb if kind == "gaussian" else bernoulli_nb)(train, test, cols)
+    for name, kind in (("gaussian_nb", "gaussian"), ("bernoulli_nb", "bernoulli")):
+        cv = CL.cv_accuracy(CL.cv_predict_nb(folded, FEATS, "label", "fold", kind))
+        pred = (gaussian_nb if kind == "gaussian" else bernoulli_nb)(train, test, FEATS)
         m = M.binary_metrics(M.confusion_matrix(pred), keep=(F.lit(name).alias("model"),))
         rows.append(M.scoreboard_columns(m.withColumn("train_accuracy", _mean_accuracy(cv))))
     return rows[0].unionByName(rows[1])
@@ -303,13 +280,11 @@ def q_scoreboard_columns(spark, sf):
 @query("model_scoreboard")
 def q_model_scoreboard(spark, sf):
     """All six classical models: cv accuracy on the train part, test metrics on the 20 % part."""
-    from flowlens.operators.scale import apply_standard_scale, fit_standard_scale
-    sp = split_flows(spark, sf)               # flows and their split are written once
-    folded = _folded_train(spark, sf, sp)
-    train, test = _scaled_parts(spark, sf, sp)
-    out = _nb_scoreboard(spark, sf, sp, folded)
-    fit = fit_standard_scale(sp.where(F.col("split") == "train"), FEATS)
-    scaled_folded = apply_standard_scale(folded, fit)
+    scaled = materialize(scaled_flows(spark, sf), "flows-scaled")     # read by every model
+    folded = _folded_train(spark, sf, scaled)
+    train, test = scaled_parts(spark, sf, scaled)
+    out = _nb_scoreboard(spark, sf, scaled, folded)
+
     def knn_fit_predict(tr, te, cols, label, key):
         def with_vec(df):
             return df.select(key, label, F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"))
@@ -317,7 +292,7 @@ def q_model_scoreboard(spark, sf):
 
     for name, fn in (("decision_tree", CL.decision_tree), ("knn", knn_fit_predict),
                      ("random_forest", CL.random_forest), ("logistic_regression", CL.logistic_regression)):
-        cvp = CL.cv_predict_mllib(fn, scaled_folded, FEATS, "label", "fold", "row_id", 5)
+        cvp = CL.cv_predict_mllib(fn, folded, FEATS, "label", "fold", "row_id", 5)
         m = M.binary_metrics(M.confusion_matrix(fn(train, test, FEATS, "label", "row_id")),
                              keep=(F.lit(name).alias("model"),))
         out = out.unionByName(M.scoreboard_columns(m.withColumn("train_accuracy", _mean_accuracy(CL.cv_accuracy(cvp)))))

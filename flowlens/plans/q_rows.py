@@ -11,8 +11,8 @@ from flowlens.operators.naive_bayes import bernoulli_nb, gaussian_nb
 from flowlens.plans import fixtures as fx
 from flowlens.plans import sqlgen as sg
 from flowlens.plans.catalog import query
-from flowlens.plans.common import split_flows
-from flowlens.plans.q_models import BNB_FEATS, FEATS, GNB_PRED_SQL, _gnb_pred
+from flowlens.plans.common import bnb_sql
+from flowlens.plans.q_models import FEATS, GNB_PRED_SQL, _gnb_pred, scaled_parts
 
 FL = f"with flows as ({fx.FLOWS_SQL})"
 LF = f"with lf as ({fx.LABELLED_FLOWS_SQL})"
@@ -43,10 +43,17 @@ def split_xy(df, target: str, key: str = "row_id"):
     return df.drop(target), df.select(key, target)
 
 
-@query("split_xy", sql=FL + f"\nselect {', '.join(c for c in fx.FLOW_COLUMNS if c != 'attack_type')} from flows")
+X_COLS = [c for c in fx.FLOW_COLUMNS if c != "attack_type"]
+
+
+@query("split_xy", sql=FL + f"""
+select 'x' as part, {', '.join(X_COLS)}, cast(null as varchar) as attack_type from flows
+union all select 'y', row_id, {', '.join('null' for _ in X_COLS[1:])}, attack_type from flows""")
 def q_split_xy(spark, sf):
-    x, _ = split_xy(fx.flows(spark, sf), "attack_type")
-    return x
+    """Both halves, tagged: the feature rows and the (key, target) rows."""
+    x, y = split_xy(fx.flows(spark, sf), "attack_type")
+    return (x.withColumn("part", F.lit("x")).unionByName(y.withColumn("part", F.lit("y")), allowMissingColumns=True)
+            .select("part", *X_COLS, "attack_type"))
 
 
 def label_last(df, target: str):
@@ -73,11 +80,12 @@ def q_decode_label(spark, sf):
     return L.decode_label(fx.labelled_flows(spark, sf).select("row_id", "label"))
 
 
-@query("cast_binary", sql=FL + "\nselect row_id, cast(balance < 0 as int) as in_debt, cast(max_discount > 0.05 as int) as big_discount from flows")
+@query("cast_binary", sql=FL + "\nselect row_id, cast(balance < 0 as int) as in_debt, cast(max_discount > 0.05 as int) as big_discount, "
+       "cast(n_lines as int) as n_lines from flows")
 def q_cast_binary(spark, sf):
     df = fx.flows(spark, sf).select("row_id", (F.col("balance") < 0).alias("in_debt"),
-                                    (F.col("max_discount") > 0.05).alias("big_discount"))
-    return L.cast_binary(df, ["in_debt", "big_discount"])
+                                    (F.col("max_discount") > 0.05).alias("big_discount"), "n_lines")
+    return L.cast_binary(df, ["in_debt", "big_discount", "n_lines"])
 
 
 @query("class_subset", sql=FL + f"\nselect {ALL} from flows where attack_type = 'flood'")
@@ -100,25 +108,19 @@ def q_mispredicted(spark, sf):
 
 
 def combine_scores(a, b, key: str = "row_id"):
-    """Bring two scorers' outputs together by key (inner join on the row identity)."""
-    return a.join(b, key, "inner")
-
-
-@query("combine_scores", sql=GNB_PRED_SQL + f""",
-bc as (select label as cls, count(*) as n, {', '.join(f'cast(sum(case when {c} > 0 then 1 else 0 end) as bigint) as o{i}' for i, c in enumerate(BNB_FEATS))}
-  from sp where split = 'train' group by label),
-bt as (select count(*) as tot from sp where split = 'train'),
-bl as (select t.row_id, c.cls, ln(c.n / bt.tot) + {' + '.join(f'(case when t.{c} > 0 then ln((c.o{i} + 1e0) / (c.n + 2e0)) else ln(1e0 - (c.o{i} + 1e0) / (c.n + 2e0)) end)' for i, c in enumerate(BNB_FEATS))} as ll
-  from (select * from sp where split = 'test') t cross join bc c cross join bt),
-bp as (select row_id, cls as pred_bernoulli from (select *, row_number() over (partition by row_id order by ll desc, cls asc) rn from bl) x where rn = 1)
-select nb.row_id, nb.label, nb.pred as pred_gaussian, bp.pred_bernoulli from nb join bp on bp.row_id = nb.row_id""")
-def q_combine_scores(spark, sf):
-    sp = split_flows(spark, sf)
-    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    fit = S.fit_standard_scale(train, FEATS)
-    g = gaussian_nb(S.apply_standard_scale(train, fit), S.apply_standard_scale(test, fit), FEATS) \
-        .withColumnRenamed("pred", "pred_gaussian")
-    b = bernoulli_nb(train, test, BNB_FEATS).select("row_id", F.col("pred").alias("pred_bernoulli"))
-    return combine_scores(g, b)
+    """Bring two scorers' outputs together by key; a key that only one of them has fails the job
+    (the reference refuses score lists of different length)."""
+    here, there = F.lit(True).alias("__a"), F.lit(True).alias("__b")
+    both = a.select("*", here).join(b.select("*", there), key, "full")
+    alone = F.raise_error(F.concat(F.lit("scored by one scorer only: "), F.col(key).cast("string"))).cast("boolean")
+    ok = F.when(F.col("__a").isNull() | F.col("__b").isNull(), alone).otherwise(F.lit(True))
+    return both.where(ok).drop("__a", "__b")
 
 
+@query("combine_scores", sql=GNB_PRED_SQL + ",\n" + bnb_sql("tr", "te", FEATS)
+       + "\nselect nb.row_id, nb.label, nb.pred as pred_gaussian, bp.pred as pred_bernoulli from nb join bp on bp.row_id = nb.row_id")
+def q_combine_scores(spark, sf):
+    train, test = scaled_parts(spark, sf)
+    g = gaussian_nb(train, test, FEATS).withColumnRenamed("pred", "pred_gaussian")
+    b = bernoulli_nb(train, test, FEATS).select("row_id", F.col("pred").alias("pred_bernoulli"))
+    return combine_scores(g, b)

@@ -52,8 +52,28 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for one written table."""
-    root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/flowlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_tables_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _tables_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/flowlens-tables/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df) -> None:
+    """Delete the table of a frame that ``materialize`` returned, once nothing reads it any more."""
+    path = getattr(df, "_table_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialised (call it when its results are written)."""
+    _delete(spark, _tables_root(spark))
 
 
 def materialize(df, name: str = "stage"):
@@ -66,4 +86,6 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._table_path = path
+    return out

@@ -61,18 +61,19 @@ def test_roc_points_end_at_one(spark):
     assert lowest.fpr == 1.0 and lowest.tpr == 1.0
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_running_sum_bucket_independent(spark, buckets):
+@pytest.mark.parametrize("per_bucket", [500_000, 70, 3])
+def test_running_sum_bucket_independent(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", per_bucket)
     rnd = random.Random(1)
     rows = [(float(v), rnd.randint(1, 5)) for v in rnd.sample(range(1000), 200)]
     df = spark.createDataFrame(rows, "v double, w long").repartition(4)
-    got = {r.v: r.cum_w for r in R.running_sum(df, "v", ["w"], n_buckets=buckets).collect()}
+    got = {r.v: r.cum_w for r in R.running_sum(df, "v", ["w"]).collect()}
     acc, exp = 0, {}
     for v, w in sorted(rows):
         acc += w
         exp[v] = acc
     assert got == exp
-    got_desc = {r.v: r.cum_w for r in R.running_sum(df, "v", ["w"], descending=True, n_buckets=buckets).collect()}
+    got_desc = {r.v: r.cum_w for r in R.running_sum(df, "v", ["w"], descending=True).collect()}
     acc, exp = 0, {}
     for v, w in sorted(rows, reverse=True):
         acc += w
@@ -84,7 +85,7 @@ def test_ordered_and_hash_rank(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice("ab"), float(rnd.randint(0, 30))) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, g string, v double").repartition(6)
-    got = {r.k: r["rank"] for r in R.ordered_rank(df, "v", "k", ("g",), n_buckets=5).collect()}
+    got = {r.k: r["rank"] for r in R.ordered_rank(df, "v", "k", ("g",)).collect()}
     exp = {}
     for g in "ab":
         for i, (k, _, v) in enumerate(sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0]))):
@@ -96,25 +97,25 @@ def test_ordered_and_hash_rank(spark):
 
 
 def test_bucket_count_grows_with_rows(spark, monkeypatch):
-    """With a tiny per-bucket target the large-input path runs: a second, finer quantile
-    pass, longer hash prefixes and a shuffle-joined offsets table. Ranks stay exact."""
+    """With a tiny per-bucket target the large-input path runs: ranges, longer hash
+    prefixes and a shuffle-joined offsets table. Ranks stay exact."""
     from flowlens.operators import split as S
     monkeypatch.setattr(R, "ROWS_PER_BUCKET", 7)
     monkeypatch.setattr(R, "BROADCAST_BUCKETS", 8)
-    assert R.buckets_for(300, 4) == 43 and R.hex_digits_for(300, 1) == 2
+    assert R.buckets_for(300) == 43 and R.hex_digits_for(300, 1) == 2
     rnd = random.Random(5)
     rows = [(i, rnd.choice("ab"), float(rnd.randint(0, 30))) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, g string, v double").repartition(6)
-    staged, nb = R.quantile_bucket(df, "k", "__b", 4)
+    staged, nb = R.range_buckets(df, [], "k", "__b")
     assert nb == 43
-    assert staged.groupBy("__b").count().agg({"count": "max"}).first()[0] <= 14
-    got = {r.k: r["rank"] for r in R.ordered_rank(df, "v", "k", ("g",), n_buckets=4).collect()}
+    assert staged.groupBy("__b").count().agg({"count": "max"}).first()[0] <= 30
+    got = {r.k: r["rank"] for r in R.ordered_rank(df, "v", "k", ("g",)).collect()}
     exp = {}
     for g in "ab":
         for i, (k, _, v) in enumerate(sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0]))):
             exp[k] = i + 1
     assert got == exp
-    sums = {r.k: r.cum_v for r in R.running_sum(df, "k", ["v"], n_buckets=4).collect()}
+    sums = {r.k: r.cum_v for r in R.running_sum(df, "k", ["v"]).collect()}
     acc = 0.0
     for k, _, v in sorted(rows):
         acc += v
@@ -128,3 +129,14 @@ def test_bucket_count_grows_with_rows(spark, monkeypatch):
     from tests.test_split import _brute_split
     got_split = {r.row_id: r.split for r in S.stratified_split(sdf, "row_id", "label", "0.2", 42, hex_digits=1).collect()}
     assert got_split == _brute_split(srows, 0.2, 42)
+
+
+def test_strings_with_a_common_prefix_spread(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 5_000)
+    names = [f"Customer#000000000000{i:06d}" for i in range(100_000)]
+    random.Random(1).shuffle(names)
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    staged, nb = R.range_buckets(df, [], "name", "__b")
+    assert nb == 20 and staged.groupBy("__b").count().agg({"count": "max"}).first()[0] <= 12_000
+    got = {r.name: r["rank"] for r in R.string_rank(df, "name").collect()}
+    assert got == {n: i + 1 for i, n in enumerate(sorted(names))}

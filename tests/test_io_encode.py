@@ -86,8 +86,23 @@ def test_encode_lookup_large_dictionary_path(spark, monkeypatch):
     df = spark.createDataFrame(rows, "row_id long, cat string")
     fit = E.fit_label_encode(df, ["cat"])
     base = sorted(tuple(r) for r in E.encode_lookup(df, "cat", fit).collect())
-    monkeypatch.setattr(E, "MAP_LIMIT", 2)
+    monkeypatch.setattr(E, "BROADCAST_ENTRIES", 2)
     monkeypatch.setattr(SK, "HOT_ROWS", 10)
     monkeypatch.setattr(SK, "MAX_HOT_KEYS", 1000)
     forced = sorted(tuple(r) for r in E.encode_lookup(df, "cat", fit).collect())
     assert forced == base and len(base) == 101
+
+
+def test_label_encode_keeps_every_column_of_a_large_dictionary(spark, monkeypatch):
+    """Two columns over the broadcast limit, nulls and a clash with the suffix: all are encoded."""
+    monkeypatch.setattr(E, "BROADCAST_ENTRIES", 3)
+    rows = [(i, f"b{i:03d}", f"s{i % 5}", None if i % 7 == 0 else "k") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, big string, small string, gap string")
+    fit = E.fit_label_encode(df, ["big", "small", "gap"])
+    got = E.apply_label_encode(df, fit).orderBy("row_id").collect()
+    assert [(r.big, r.small, r.gap) for r in got] == [(i, i % 5, None if i % 7 == 0 else 0) for i in range(60)]
+    more = E.apply_label_encode(df, fit, suffix="_code").orderBy("row_id").collect()
+    assert [(r.big, r.big_code, r.small_code) for r in more] == [(f"b{i:03d}", i, i % 5) for i in range(60)]
+    wide = E.one_hot_sparse(df, fit, ["big", "small", "gap"]).orderBy("row_id").collect()
+    assert all(r.one_hot.size == 66 for r in wide)
+    assert [list(r.one_hot.ones) for r in wide] == [[i] + ([] if i % 7 == 0 else [60]) + [61 + i % 5] for i in range(60)]

@@ -72,7 +72,7 @@ def test_folds_match_library_semantics(spark):
     # classes in order of first appearance, fold sizes from striding the class-sorted list
     labels = [2, 0, 0, 1, 2, 2, 0, 1, 1, 1, 0, 2, 2, 0, 1, 0, 0, 2, 1, 0, 2, 1, 0]
     df = spark.createDataFrame([(i, lab) for i, lab in enumerate(labels)], "row_id long, label int")
-    got = {r.row_id: r.fold for r in S.stratified_folds(df, "row_id", "label", 5, n_buckets=4).collect()}
+    got = {r.row_id: r.fold for r in S.stratified_folds(df, "row_id", "label", 5).collect()}
     order = []
     for lab in labels:
         if lab not in order:
