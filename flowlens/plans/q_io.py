@@ -51,11 +51,11 @@ def write_flows_parquet(spark, sf):
     return IO.read_flows_parquet(spark, path).select(*fx.FLOW_COLUMNS)
 
 
-@query("read_flows_parquet", sql=FL + f"\nselect {ALL} from flows where attack_type = 'flood'")
+@query("read_flows_parquet", sql=FL + f"\nselect {ALL} from flows")
 def read_flows_parquet(spark, sf):
-    """Partition pruning: only the 'flood' folder is listed and scanned."""
+    """The whole partitioned table (a class filter prunes to its folder)."""
     path = IO.write_flows_parquet(fx.flows(spark, sf), scratch_path(spark, "flows-pq"), "attack_type")
-    return IO.read_flows_parquet(spark, path).where(F.col("attack_type") == "flood").select(*fx.FLOW_COLUMNS)
+    return IO.read_flows_parquet(spark, path).select(*fx.FLOW_COLUMNS)
 
 
 # ---------------------------------------------------------------- folder ingest
@@ -65,21 +65,22 @@ EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
 
 def write_event_folders(spark, sf) -> str:
     """root/<event_type>/ CSV folders from events: 'view' files lack ``props``, 'click' files
-    carry an extra ``Label`` column (dropped at ingest), and 'error' also holds one ragged
-    file (each row has one field more than its header)."""
+    carry an extra ``Label`` column (dropped at ingest), 'signup' files have their columns in
+    another order, and 'error' also holds ragged files."""
     root = scratch_path(spark, "event-folders")
     ev = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "props")
     for cls in EVENT_CLASSES:
         part = ev.where(F.col("event_type") == cls)
         cols = ["event_id", "user_id", "value"] + ([] if cls == "view" else ["props"])
+        cols = cols[::-1] if cls == "signup" else cols
         out = part.select(*cols, *([F.lit("x").alias("Label")] if cls == "click" else []))
         out.write.mode("overwrite").option("header", True).csv(f"{root}/{cls}")
         if cls == "error":
-            # unquoted comma: every row of this file has one field more than its header
-            ragged = part.select("event_id", "user_id", "value",
-                                 F.concat(F.col("props"), F.lit(",extra")).alias("props"))
-            ragged.coalesce(1).write.mode("append").option("header", True).option("quote", "") \
-                .option("escape", "").csv(f"{root}/{cls}")
+            # a tenth of the rows once more, each followed by one with a field too many (an unquoted
+            # comma): later rows of these files are longer than their header
+            some = part.where("event_id % 10 = 0").select(F.explode(F.array(F.lit(""), F.lit(",extra"))).alias("more"), *cols)
+            ragged = some.select(*[c for c in cols if c != "props"], F.concat("props", "more").alias("props"))
+            ragged.write.mode("append").option("header", True).option("quote", "").option("escape", "").csv(f"{root}/{cls}")
     return root
 
 
@@ -95,11 +96,12 @@ def ingest_labelled_folders(spark, sf):
     return rows.select("event_id", "user_id", "value", "props", "label")
 
 
-@query("quarantine_bad_files")
+@query("quarantine_bad_files", sql="""select 'error' as folder, 2 * count(*) as n_rows from events
+  where event_type = 'error' and event_id % 10 = 0""")
 def quarantine_bad_files(spark, sf):
-    """(folder, n_files): files quarantined per class folder (the ragged 'error' file)."""
-    _, bad = _ingest(spark, sf)
-    return bad.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
+    """(folder, n_rows): rows of the quarantined files per class folder (the ragged 'error' files)."""
+    bad = IO.quarantine_bad_files(_ingest(spark, sf))
+    return bad.groupBy("folder").agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 
 @query("union_by_name", sql="""select event_id, user_id, case when event_type = 'view' then null else value end as value,

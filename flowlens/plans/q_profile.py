@@ -110,18 +110,18 @@ def density_by_label(spark, sf):
     return P.density_by_label(fx.scored_events(spark, sf), "score", "label", 200)
 
 
-# Set operations: a price-band category (total // 1000, a few hundred values, rare at the
+# Set operations: a price-band category (total // 100, a few thousand values, rare at the
 # top) compared between the two sides of the exact 80/20 split of flows.
 def _bands(spark, sf):
     from flowlens.plans.common import split_flows
-    sp = split_flows(spark, sf).select("split", F.floor(F.col("total") / 1000).cast("bigint").alias("band"))
+    sp = split_flows(spark, sf).select("split", F.floor(F.col("total") / 100).cast("bigint").alias("band"))
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
 def _bands_sql():
     from flowlens.plans.common import split_flows_sql
     return split_flows_sql() + """,
-b as (select split, cast(floor(total / 1000) as bigint) as band from sp),
+b as (select split, cast(floor(total / 100) as bigint) as band from sp),
 tr as (select * from b where split = 'train'), te as (select * from b where split = 'test')"""
 
 

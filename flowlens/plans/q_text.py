@@ -6,10 +6,11 @@ from flowlens.functions import text as T
 from flowlens.operators import tokens as K
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import query
+from flowlens.sources.tables import read_table
 
 LF = f"with lf as ({fx.LABELLED_FLOWS_SQL})"
 TEXT_COLS = fx.FLOW_CATEGORICAL + fx.FLOW_BINARY + fx.FLOW_CONSTANT + fx.FLOW_NUMERIC
-DOCS = f"with d as ({fx.labelled_docs_sql('toxic')})"
+DOCS = "with d as (select doc_id as row_id, text from documents)"
 
 
 def _v(c):
@@ -24,6 +25,11 @@ def _values_text_sql(cols):
     return "concat_ws(', ', " + ", ".join(_v(c) for c in cols) + ")"
 
 
+def _docs(spark, sf):
+    """Every document: (row_id, text)."""
+    return read_table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id")
+
+
 @query("row_to_text", sql=LF + f"\nselect row_id, label, {_row_text_sql(TEXT_COLS)} as text from lf")
 def row_to_text(spark, sf):
     df = fx.labelled_flows(spark, sf)
@@ -46,9 +52,7 @@ def nested_row_to_text(spark, sf):
 
 @query("truncate_text", sql="select doc_id as row_id, substr(text, 1, 200) as text from documents")
 def truncate_text(spark, sf):
-    from flowlens.sources.tables import read_table
-    d = read_table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id")
-    return T.truncate_text(d, "text", 200)
+    return T.truncate_text(_docs(spark, sf), "text", 200)
 
 
 _PAT = T.TOKEN_PATTERN.replace("'", "''")
@@ -66,7 +70,7 @@ select tk.row_id, cast(len(tk.toks) as int) as n_tokens,
 from tk left join ids on ids.row_id = tk.row_id""")
 def token_window(spark, sf):
     from flowlens.session import materialize
-    d = materialize(K.tokenize(fx.labelled_docs(spark, sf).select("row_id", "text"), "text", "tokens"), "doc-tokens")
+    d = materialize(K.tokenize(_docs(spark, sf), "text", "tokens").drop("text"), "doc-tokens")
     vocab = materialize(K.build_vocab(d, tokens_col="tokens"), "vocab")
     return K.token_window(d, "text", vocab, "row_id", 512, tokens_col="tokens")
 
@@ -77,4 +81,4 @@ select count(*) as n_rows, cast(sum(case when n > 512 then 1 else 0 end) as bigi
   cast(sum(n) as bigint) as tokens_total, cast(sum(greatest(n - 512, 0)) as bigint) as tokens_lost,
   cast(max(n) as bigint) as max_tokens from tk""")
 def token_budget(spark, sf):
-    return K.token_budget(fx.labelled_docs(spark, sf), "text", 512)
+    return K.token_budget(_docs(spark, sf), "text", 512)

@@ -3,10 +3,16 @@
 * CSV is read with an explicit schema (no inference) where the layout is known.
   Whether the file has a header is an argument, never a guess: the reference's
   two loaders disagree on it for the same file name.
-* Folder ingest: one scan per class folder (its name is the label), schema
-  inferred once per folder, folders unioned by column name. A file with a row
-  that has more fields than its header would make the reference's reader fail,
-  so the whole file is quarantined: it contributes no rows and is reported.
+  A field that does not fit its column's type fails the read (FAILFAST).
+* Folder ingest reads each file by its own header: a light pass over the text finds the
+  header lines, files with the same header (of one class folder, whose name is the label)
+  are parsed together, and the groups are unioned by column name. The parsed text is
+  written once; from it come the bad files, the column types (one aggregation: whole
+  numbers, numbers, else text) and the rows. A file with a row that has more fields than
+  its header is quarantined whole: it contributes no rows and is reported. (The
+  reference's reader refuses such a file where the row is a later one; a file of which
+  *every* row is longer it reads with a shifted index. That case is quarantined too, on
+  purpose.)
 * Fits are small DataFrames saved as Parquet under one folder; loading a
   missing fit names the step that produces it.
 """
@@ -17,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import materialize
+
 EXTRA_COL = "__extra_field"
-CORRUPT_COL = "__corrupt_record"
 
 
 class MissingFitError(FileNotFoundError):
@@ -26,13 +33,13 @@ class MissingFitError(FileNotFoundError):
 
 
 def read_flows_headerless(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
 
 
 def read_flows_header(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Header row present; its names must match the schema (checked by Spark)."""
     return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .option("mode", "PERMISSIVE").csv(path))
+            .option("mode", "FAILFAST").csv(path))
 
 
 def write_flows_csv(df: DataFrame, path: str, header: bool) -> str:
@@ -63,39 +70,76 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _read_class_folder(spark: SparkSession, folder: str, label: str, drop: tuple,
-                       infer_sample: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    # Inference is a pass over the folder; at scale pass a sample ratio (or a known schema).
-    inferred = (spark.read.option("header", True).option("inferSchema", True)
-                .option("samplingRatio", infer_sample).csv(folder))
-    fields = [f for f in inferred.schema.fields]
-    schema = T.StructType(fields + [T.StructField(EXTRA_COL, T.StringType()),
-                                    T.StructField(CORRUPT_COL, T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT_COL).csv(folder)
-           .withColumn("__file", F.col("_metadata.file_path")))
-    bad = (raw.where(F.col(EXTRA_COL).isNotNull() | F.col(CORRUPT_COL).isNotNull())
-           .select("__file").distinct())
-    good = raw.join(bad, "__file", "left_anti")   # bad holds one row per bad file
-    keep = [f.name for f in fields if f.name not in drop]
-    rows = good.select(*keep).withColumn("label", F.lit(label))
-    return rows, bad.select(F.col("__file").alias("file"), F.lit(label).alias("folder"))
+def _headers(spark: SparkSession, root: str, classes: list[str]) -> dict[tuple, list[str]]:
+    """{(class, header line): files}: the first line of every file, found on the executors."""
+    parts = []
+    for cls in classes:
+        lines = spark.read.text(f"{root}/{cls}").select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+            F.monotonically_increasing_id().alias("i"))
+        parts.append(lines.where("at = 0").groupBy("file").agg(F.min_by("value", "i").alias("header"))
+                     .withColumn("folder", F.lit(cls)))
+    groups = union_by_name(*parts).groupBy("folder", "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    # file names, which Spark lists on the driver anyway
+    return {(r["folder"], r["header"]): list(r["files"]) for r in groups.collect()}
+
+
+def _column_names(header: str) -> list[str]:
+    """Names of a header line; a repeated name gets .1, .2, ... as in the reference's reader."""
+    import csv
+    names, seen = [], {}
+    for name in next(csv.reader([header.lstrip("\ufeff")])):
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        names.append(f"{name}.{n}" if n else name)
+    return names
+
+
+def _parse_folders(spark: SparkSession, root: str, classes: list[str], drop: tuple) -> DataFrame:
+    """Every parsed row as text, by column name, with label, __file and whether it has a field too many."""
+    frames = []
+    for (cls, header), files in sorted(_headers(spark, root, classes).items()):
+        names = _column_names(header)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+                              + [T.StructField(EXTRA_COL, T.StringType())])
+        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+               .option("mode", "PERMISSIVE").csv(files))
+        frames.append(raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in drop],
+                                 F.col(EXTRA_COL).isNotNull().alias(EXTRA_COL), F.lit(cls).alias("__folder"),
+                                 F.col("_metadata.file_path").alias("__file")))
+    if not frames:
+        raise FileNotFoundError(f"no file in the class folders under {root}")
+    return materialize(union_by_name(*frames), "ingest")
 
 
 def ingest_labelled_folders(spark: SparkSession, root: str, classes: list[str],
-                            drop: tuple = ("Label",), infer_sample: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Rows of every readable CSV under root/<class>/ with label = class, and the bad files."""
-    rows, bads = [], []
-    for cls in classes:
-        folder = f"{root.rstrip('/')}/{cls}"
-        r, b = _read_class_folder(spark, folder, cls, drop, infer_sample)
-        rows.append(r)
-        bads.append(b)
-    return union_by_name(*rows), union_by_name(*bads)
+                            drop: tuple = ("Label",)) -> tuple[DataFrame, DataFrame]:
+    """Rows of every readable CSV under root/<class>/ with label = class, and the bad files
+    (file, folder, n_rows)."""
+    text = _parse_folders(spark, root.rstrip("/"), classes, drop)
+    per_file = text.groupBy("__file", "__folder").agg(F.max(EXTRA_COL).alias("bad"), F.count(F.lit(1)).alias("n_rows"))
+    bad = per_file.where("bad").select(F.col("__file").alias("file"), F.col("__folder").alias("folder"), "n_rows")
+    bad = materialize(bad, "ingest-bad")
+    good = text.join(bad.select(F.col("file").alias("__file")), "__file", "left_anti")
+    cols = [c for c in text.columns if c not in ("__file", "__folder", EXTRA_COL)]
+    checks = []
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`")
+        checks += [F.count(v).alias(f"n{i}"), F.count(F.expr(f"try_cast(trim(`{c}`) as bigint)")).alias(f"w{i}"),
+                   F.count(F.expr(f"try_cast(trim(`{c}`) as double)")).alias(f"d{i}")]
+    sums = good.agg(*checks).first()
+
+    def typed(i: int, c: str):
+        v = F.col(f"`{c}`")
+        if sums[f"n{i}"] and sums[f"n{i}"] == sums[f"w{i}"]:
+            return F.trim(v).cast("bigint").alias(c)
+        return F.trim(v).cast("double").alias(c) if sums[f"n{i}"] and sums[f"n{i}"] == sums[f"d{i}"] else v
+
+    return good.select(*[typed(i, c) for i, c in enumerate(cols)], F.col("__folder").alias("label")), bad
 
 
 def quarantine_bad_files(rows_and_bad: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """The (file, folder) list of quarantined files."""
+    """The (file, folder, n_rows) list of quarantined files."""
     return rows_and_bad[1]
 
 

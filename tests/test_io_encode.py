@@ -106,3 +106,23 @@ def test_label_encode_keeps_every_column_of_a_large_dictionary(spark, monkeypatc
     wide = E.one_hot_sparse(df, fit, ["big", "small", "gap"]).orderBy("row_id").collect()
     assert all(r.one_hot.size == 66 for r in wide)
     assert [list(r.one_hot.ones) for r in wide] == [[i] + ([] if i % 7 == 0 else [60]) + [61 + i % 5] for i in range(60)]
+
+
+def test_ingest_reads_each_file_by_its_own_header(spark):
+    root = tempfile.mkdtemp(prefix="flowlens-ingest-")
+    _write(f"{root}/A/a.csv", "x,y\n1,2.5\n")
+    _write(f"{root}/A/b.csv", "y,x\n20,10\n")
+    _write(f"{root}/A/c.csv", "x,y,z\n3,4,u\n5\n")
+    _write(f"{root}/A/late.csv", "x,y\n7,8\n9,10\n11,12,13\n")
+    _write(f"{root}/B/d.csv", "x,x,z\n6,60,\n")
+    rows, bad = IO.ingest_labelled_folders(spark, root, ["A", "B"])
+    got = sorted((r.x, r.y, r.z, r["x.1"], r.label) for r in rows.collect())
+    assert got == [(1, 2.5, None, None, "A"), (3, 4.0, "u", None, "A"), (5, None, None, None, "A"), (6, None, None, 60, "B"),
+                   (10, 20.0, None, None, "A")]
+    assert [(os.path.basename(r.file), r.folder, r.n_rows) for r in bad.collect()] == [("late.csv", "A", 3)]
+
+
+def test_cast_binary_keeps_whole_numbers(spark):
+    from flowlens.functions.labels import cast_binary
+    df = spark.createDataFrame([(True, 2), (False, 0), (None, None)], "a boolean, b int")
+    assert [tuple(r) for r in cast_binary(df, ["a", "b"]).collect()] == [(1, 2), (0, 0), (None, None)]

@@ -41,3 +41,33 @@ def test_naive_bayes_separable(spark):
     assert all(r.pred == r.label for r in g)
     b = bernoulli_nb(df, df, ["on", "b"]).collect()
     assert all(r.pred == r.label for r in b)
+
+
+def test_cv_variance_does_not_cancel(spark):
+    """A column near 1e9 with a spread of half a unit: folds score like the plain model."""
+    from flowlens.operators.classifiers import cv_predict_nb
+    rows = [(i, 1e9 + (i % 2) * 0.5 + (i % 5) * 0.01, i % 2, i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, a double, label int, fold int")
+    assert all(r.pred == r.label for r in cv_predict_nb(df, ["a"]).collect())
+
+
+def test_nb_oracle_sql_against_a_small_case_by_hand(spark):
+    """The SQL that the model oracles share, on numbers worked out by hand."""
+    import duckdb
+    from flowlens.plans.common import bnb_sql, gnb_sql
+    con = duckdb.connect()
+    con.execute("create table tr as select * from (values (1, 0, 0.0), (2, 0, 2.0), (3, 1, 9.0), (4, 1, 11.0)) t(row_id, label, a)")
+    con.execute("create table te as select * from (values (5, 0, 5.4), (6, 1, 5.6), (7, 0, -1.0)) t(row_id, label, a)")
+    # means 1 and 10, equal variances: the border is 5.5
+    assert con.execute("with " + gnb_sql("tr", "te", ["a"]) + " select row_id, pred from nb order by 1").fetchall() == [(5, 0), (6, 1), (7, 0)]
+    # on: class 0 one of two (p = 2/4), class 1 two of two (p = 3/4); off favours class 0
+    assert con.execute("with " + bnb_sql("tr", "te", ["a"]) + " select row_id, pred from bp order by 1").fetchall() == [(5, 1), (6, 1), (7, 0)]
+
+
+def test_combine_scores_refuses_unequal_keys(spark):
+    from flowlens.plans.q_rows import combine_scores
+    a = spark.createDataFrame([(1, 0.5), (2, 0.6)], "row_id long, a double")
+    b = spark.createDataFrame([(1, 0.1), (3, 0.2)], "row_id long, b double")
+    assert combine_scores(a, a.withColumnRenamed("a", "b")).count() == 2
+    with pytest.raises(Exception, match="one scorer only"):
+        combine_scores(a, b).collect()
