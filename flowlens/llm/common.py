@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,60 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    """A record batch from one Python list per column."""
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
-
-
 def text_bytes(df: DataFrame, col: str) -> int:
     """Total UTF-8 bytes of a text column (one narrow aggregation)."""
     return int(df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0)
+
+
+# ---- documents dealt into blocks
+
+PACK_BYTES = 24 << 20          # text that a task gathers before it hands packs on
+
+
+def deal_blocks(src: DataFrame, text_col: str, keys: list[str], block_bytes: int) -> tuple[DataFrame, int]:
+    """``src`` dealt into blocks of about ``block_bytes`` of text by a hash of ``keys`` and the text's
+    length (so many rows of one key, or of none, spread): (block int, rows binary), in as many
+    partitions as returned. ``rows`` are record batches in Arrow's stream format, Zstandard-compressed
+    (``open_rows``); a block has several such rows. Both uses of one result must read all its columns,
+    then Spark deals the texts once and reuses the exchange."""
+    spark = src.sparkSession
+    n_blocks = max(1, -(-text_bytes(src, text_col) // block_bytes))
+    parts = max(shuffle_parts(spark), -(-n_blocks // 8))
+    block = F.pmod(F.xxhash64(*keys, F.coalesce(F.octet_length(text_col), F.lit(0))), F.lit(n_blocks)).cast("int")
+    names = src.columns
+    packed = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
+
+    def pack(it):
+        held, size = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            blocks = table.column("_block").to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            table, blocks = table.select(names).take(pa.array(order)), blocks[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])), len(blocks)).tolist()
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table.slice(a, b - a).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])], pa.int32()),
+                                                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=packed)
+
+        for b in it:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= PACK_BYTES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    dealt = src.withColumn("_block", block).mapInArrow(pack, "block int, rows binary").repartition(parts, "block")
+    return dealt, parts
+
+
+def open_rows(table: pa.Table) -> pa.Table:
+    """The documents of one block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")])

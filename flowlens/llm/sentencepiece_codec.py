@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import shuffle_parts, text_bytes
+from flowlens.llm.common import deal_blocks, open_rows
 
 MARK = "▁"
 BLOCK_BYTES = 8 << 20
@@ -86,8 +86,8 @@ class Segmenter:
         return self.sp.decode(ids, num_threads=1)
 
 
-def check_model(model: bytes) -> int:
-    """The end id; raises if pieces of the model may cross a whitespace marker."""
+def check_model(model: bytes) -> tuple[int, int]:
+    """The end id and the number of pieces; raises if pieces of the model may cross a whitespace marker."""
     sp = Segmenter(model).sp
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -95,7 +95,7 @@ def check_model(model: bytes) -> int:
     odd = "aä゠　ﬁ  \t b "
     if sp.normalize(odd) != MARK + odd.replace(" ", MARK):
         raise ValueError("only models that leave the text as it is (identity rule, leading marker) can be split")
-    return sp.eos_id()
+    return sp.eos_id(), len(pieces)
 
 
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
@@ -105,31 +105,27 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     ``ids`` are the decimal ids, ending with the end id, joined by one space. Null and empty
     texts have the end id only and decode to an empty text. Repeated rows, ties and null ids
     stay as they are; an empty table gives an empty result; other columns are ignored."""
-    end_id = check_model(model)
+    end_id, n_pieces = check_model(model)
     spark = docs.sparkSession
     model_b = spark.sparkContext.broadcast(model)               # the model file: a few MB
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = text_bytes(src, "text")
-    n_blocks = max(1, -(-total // block_bytes))
-    parts = max(shuffle_parts(spark), -(-n_blocks // 8))
+    blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes)
     n_buckets = parts
-    # hashed with the length, so that many rows of one id (or none) spread too
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int")
-    blocked = src.withColumn("block", block).repartition(parts, "block")
 
     lists_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
 
-    def lists(it):
-        seen: dict[int, set] = {}
-        for b in it:
-            for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
-                if t:
-                    seen.setdefault(k, set()).update(chunks_of(t))
-        while seen:
-            k, keys = seen.popitem()
-            for bucket, items in bucket_lists(keys, n_buckets).items():
-                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "block": k, "keys": pack_strings(items)}],
-                                                 schema=lists_schema)
+    def distinct_chunks(texts: list) -> dict[int, list[bytes]]:
+        keys: set = set()
+        for t in texts:
+            if t:
+                keys.update(chunks_of(t))
+        return bucket_lists(keys, n_buckets)
+
+    def lists(table: pa.Table) -> pa.Table:
+        me = table.column("block")[0].as_py()
+        mine = distinct_chunks(open_rows(table).column("text").to_pylist())
+        return pa.Table.from_pylist([{"bucket": k, "block": me, "keys": pack_strings(v)} for k, v in mine.items()],
+                                    schema=lists_schema)
 
     answer_schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n_ids", pa.binary()),
                                ("ids", pa.binary()), ("odd", pa.binary())])
@@ -159,36 +155,30 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        keys: set = set()
-        for t in texts:
-            if t:
-                keys.update(chunks_of(t))
-        mine = bucket_lists(keys, n_buckets)
+        docs = open_rows(left)
+        texts = docs.column("text").to_pylist()
+        mine = distinct_chunks(texts)
+        name = [str(i) for i in range(n_pieces)]
         ids_of: dict[str, str] = {}
-        n_of: dict[str, int] = {}
         text_of: dict[str, str] = {}
-        for r in right.to_pylist():
-            items = [k.decode("utf-8") for k in mine[r["bucket"]]]
-            n = np.frombuffer(zstandard.decompress(r["n_ids"]), np.uint32)
-            names = list(map(str, np.frombuffer(zstandard.decompress(r["ids"]), np.uint32).tolist()))
-            ends = np.cumsum(n).tolist()
-            n_of.update(zip(items, n.tolist()))
+        for bucket, *blobs, odd in zip(*[right.column(c).to_pylist() for c in ("bucket", "n_ids", "ids", "odd")]):
+            items = [k.decode("utf-8") for k in mine.pop(bucket)]
+            n, ids = (np.frombuffer(zstandard.decompress(x), np.uint32) for x in blobs)
+            names, ends = [name[i] for i in ids.tolist()], np.cumsum(n).tolist()
             ids_of.update(zip(items, [" ".join(names[a:b]) for a, b in zip([0] + ends[:-1], ends)]))
-            if r["odd"]:
-                pairs = unpack_strings(r["odd"])
+            if odd:
+                pairs = unpack_strings(odd)
                 text_of.update((items[int(i)], d.decode("utf-8")) for i, d in zip(pairs[::2], pairs[1::2]))
         n_tokens, ids, decoded = [], [], []
         for t in texts:
             c = chunks_of(t)
-            n_tokens.append(sum(map(n_of.__getitem__, c)) + 1)
-            ids.append(" ".join([*map(ids_of.__getitem__, c), str(end_id)]))
+            ids.append(" ".join([*map(ids_of.__getitem__, c), name[end_id]]))
+            n_tokens.append(ids[-1].count(" ") + 1)
             decoded.append(" ".join([text_of.get(x, x) for x in c] if text_of else c))
-        return pa.table([left.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()),
+        return pa.table([docs.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()),
                          pa.array(decoded, pa.string())], schema=out_schema)
 
-    # both uses read all columns of ``blocked``, so Spark deals the texts out once and reuses the exchange
-    answers = (blocked.mapInArrow(lists, "bucket int, block int, keys binary")
+    answers = (blocked.groupBy("block").applyInArrow(lists, "bucket int, block int, keys binary")
                .groupBy("bucket").applyInArrow(answer, "block int, bucket int, n_ids binary, ids binary, odd binary"))
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         join_back, "doc_id long, n_tokens long, ids string, decoded string")
