@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import shuffle_parts, text_bytes
+from flowlens.llm.common import deal_blocks, open_rows
 
 ORDER = 3
 ALPHA = 0.4
@@ -132,23 +132,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_blocks = max(1, -(-text_bytes(src, "text") // block_bytes))
-    parts = max(shuffle_parts(spark), -(-n_blocks // 8))
+    blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes)
     n_buckets = 4 * parts
-    block = F.pmod(F.xxhash64("doc_id", F.coalesce(F.octet_length("text"), F.lit(0))), F.lit(n_blocks)).cast("int")
-    blocked = src.withColumn("block", block).repartition(parts, "block")
 
-    list_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()),
-                             ("counts", pa.binary()), ("words", pa.int64())])
+    list_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def listed(table: pa.Table) -> pa.Table:
-        grams = Ngrams(table.column("text").to_pylist(), order, hash_bits)
+        grams = Ngrams(open_rows(table).column("text").to_pylist(), order, hash_bits)
         me = table.column("block")[0].as_py()
         rows = []
         for k in range(order):
             keys, counts = grams.keys[k], grams.counts(k)
             cuts = _bucket_cuts(keys, n_buckets, hash_bits).tolist()
-            rows += [{"bucket": b * order + k, "block": me, "level": k, "keys": pack_sorted(keys[i:j]),
+            rows += [{"bucket": b * order + k, "block": me, "keys": pack_sorted(keys[i:j]),
                       "counts": pack_counts(counts[i:j])} for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
         return pa.Table.from_pylist(rows, schema=list_schema)
 
@@ -167,20 +163,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("cost", pa.int64())])
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = Ngrams(left.column("text").to_pylist(), order, hash_bits)
+        docs_ = open_rows(left)
+        grams = Ngrams(docs_.column("text").to_pylist(), order, hash_bits)
         got = dict(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist()))
         totals = []
         for k in range(order):
             mine = [unpack_counts(got[b]) for b in sorted(got) if b % order == k]
             totals.append(np.concatenate(mine) if mine else np.zeros(0, np.int64))
         cost = score_block(grams, totals, all_words, order, alpha, unit)
-        return pa.table([left.column("doc_id"), pa.array(grams.lens), pa.array(cost)], schema=out_schema)
+        return pa.table([docs_.column("doc_id"), pa.array(grams.lens), pa.array(cost)], schema=out_schema)
 
     # words of the corpus: counted natively, one narrow aggregation
     n_words = F.size(F.filter(F.split(F.col("text"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
     all_words = int(src.where("text is not null").agg(F.sum(n_words)).first()[0] or 0)
-    answers = (blocked.groupBy("block").applyInArrow(listed, "bucket int, block int, level int, keys binary, counts binary, words long")
-               .select("bucket", "block", "keys", "counts").groupBy("bucket")
+    answers = (blocked.groupBy("block").applyInArrow(listed, "bucket int, block int, keys binary, counts binary").groupBy("bucket")
                .applyInArrow(summed, "block int, bucket int, totals binary"))
     got = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, cost long")
     return got.withColumn("score", F.when(F.col("n_words") > 0, -F.col("cost") / unit / F.col("n_words")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowlens.llm.common import shuffle_parts, text_bytes
+from flowlens.llm.common import deal_blocks, open_rows
 from flowlens.llm.suffix_array import permuted_lcp, suffix_array
 
 GRAM = 50
@@ -331,17 +331,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       *([F.struct(*carry).alias("rest")] if carry else []))
-    n_blocks = max(1, -(-text_bytes(src, "text") // block_bytes))
-    parts = max(shuffle_parts(spark), -(-n_blocks // 8))
-    n_buckets = parts
     # by id and length: rows of one id and length are one block's, which orders them
-    block = F.pmod(F.xxhash64("doc_id", F.coalesce(F.octet_length("text"), F.lit(0))), F.lit(n_blocks)).cast("int")
-    blocked = src.withColumn("block", block).repartition(parts, "block")
+    blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes)
+    n_buckets = parts
 
     list_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("kinds", pa.binary())])
 
     def block_of(table: pa.Table) -> Block:
-        return Block(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
+        docs = open_rows(table)
+        return Block(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
 
     def listed(table: pa.Table) -> pa.Table:
         k = table.column("block")[0].as_py()
@@ -376,7 +374,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def applied(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = block_of(left)
+        docs = open_rows(left)
+        b = Block(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
         cover: dict[int, list] = {}
         for blob in right.column("spans").to_pylist():
             for d, s, e in _unpack(blob, np.int32).reshape(-1, 3).tolist():
@@ -400,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(span)),
                "kept": pa.array(kept, pa.binary())}
         if carry:
-            out |= {"whole": pa.array(whole, pa.string()), "rest": left.column("rest").take(pa.array(b.order))}
+            out |= {"whole": pa.array(whole, pa.string()), "rest": docs.column("rest").take(pa.array(b.order))}
         return pa.table(out)
 
     flags = (blocked.groupBy("block").applyInArrow(listed, "bucket int, block int, anchors binary, kinds binary")
@@ -410,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = contexts.groupBy("shard").applyInArrow(sorted_out, "block int, shard int, spans binary")
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
     if carry:
-        schema = schema.add("whole", "string").add(blocked.schema["rest"])
+        schema = schema.add("whole", "string").add(src.schema["rest"])
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(applied, schema)
 
 
