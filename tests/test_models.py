@@ -71,3 +71,25 @@ def test_combine_scores_refuses_unequal_keys(spark):
     assert combine_scores(a, a.withColumnRenamed("a", "b")).count() == 2
     with pytest.raises(Exception, match="one scorer only"):
         combine_scores(a, b).collect()
+
+
+def test_knn_sends_few_rows_on_clustered_data(spark):
+    """Ten times the rows: the test rows sent to blocks grow far less than a hundredfold."""
+    from flowlens.operators.knn import knn_candidates
+    sent = {}
+    for n in (400, 4000):
+        rnd = np.random.default_rng(8)
+        centres = rnd.normal(size=(40, 3)) * 50
+        x = centres[rnd.integers(40, size=n)] + rnd.normal(size=(n, 3))
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "row_id long, vec array<double>, label int")
+        tr, te = df.where("row_id % 5 > 0"), df.where("row_id % 5 = 0")
+        cand, more = knn_candidates(tr, te, "vec", "row_id", "label", 5, 50)
+        sent[n] = more.count() + te.count()
+        got = {}
+        for r in cand.collect():
+            got.setdefault(r.test_id, []).append((r.distance, r.train_id))
+        train = [i for i in range(n) if i % 5]
+        for j in range(0, n, 5 * 37):
+            d = np.sqrt(((x[train] - x[j]) ** 2).sum(axis=1))
+            assert [t for _, t in sorted(got[j])[:5]] == [train[i] for i in np.argsort(d)[:5]]
+    assert sent[4000] < 25 * sent[400]
