@@ -41,12 +41,20 @@ def test_sentencepiece_matches_library(spark):
     assert [r.n_tokens for r in C.encode_documents(twice.union(twice), SP).collect()] == [3, 3]
 
 
-def test_chunk_tokenizer_matches_library():
+def test_text_tokenizer_matches_library():
     t = Tokenizer.from_buffer(BPE)
-    tok = packing.ChunkTokenizer(BPE, 0)
-    texts = ODD + random_texts(3000, 7)
-    for text, ids in zip(texts, tok.encode(texts)):
-        assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids + [0], repr(text)
+    tok = packing.TextTokenizer(BPE, 0)
+    assert tok.ranks is not None
+    for text in ODD + random_texts(3000, 7):
+        assert tok.encode(text).tolist() == t.encode(text or "", add_special_tokens=False).ids + [0], repr(text)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}! {chr(c)}{chr(c)}" for c in points]
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert tok.encode(text).tolist()[:-1] == e.ids, repr(text)
+    other = open(P.path("word_bpe_49k.json"), "rb").read()
+    tok = packing.TextTokenizer(other, 0)
+    assert tok.ranks is None
+    assert tok.encode("Hello wörld").tolist() == Tokenizer.from_buffer(other).encode("Hello wörld", add_special_tokens=False).ids + [0]
 
 
 @pytest.mark.parametrize("seed", range(6))
