@@ -31,7 +31,9 @@ def deal_blocks(src: DataFrame, text_col: str, keys: list[str], block_bytes: int
     (``open_rows``); a block has several such rows. Both uses of one result must read all its columns,
     then Spark deals the texts once and reuses the exchange."""
     spark = src.sparkSession
-    n_blocks = max(1, -(-text_bytes(src, text_col) // block_bytes))
+    size = text_bytes(src, text_col)
+    # small inputs still get a block for each partition, down to a MB of text
+    n_blocks = max(1, -(-size // block_bytes), min(shuffle_parts(spark), size >> 20))
     parts = max(shuffle_parts(spark), -(-n_blocks // 8))
     block = F.pmod(F.xxhash64(*keys, F.coalesce(F.octet_length(text_col), F.lit(0))), F.lit(n_blocks)).cast("int")
     names = src.columns

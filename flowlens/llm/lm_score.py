@@ -30,7 +30,7 @@ from flowlens.llm.common import deal_blocks, open_rows
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 HASH_BITS = 56
 
 
