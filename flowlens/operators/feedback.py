@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from flowlens.operators.curves import auroc_and_ap
 from flowlens.operators.metrics import binary_metrics, confusion_matrix
 from flowlens.operators.split import stratified_split, random_split
+from flowlens.operators.textmodel import text_classifier
 
 EVAL_FRACTION = "0.7"
+PLAIN_EVAL_FRACTION = "0.2"      # of the unstratified variant: 80 % feedback
 
 
 def feedback_eval_split(df: DataFrame, key: str = "row_id", label: str | None = "label",
@@ -52,6 +54,16 @@ def refit_frame(train: DataFrame, corrections: DataFrame, cols: list[str], weigh
     return train.select(*cols, F.lit(1.0).alias(weight_col)).unionByName(corr)
 
 
+def refit(train: DataFrame, corrections: DataFrame, test: DataFrame, before: DataFrame, cols: list[str],
+          weight: float = 2.0, mode: str = "union", classes: tuple = (0, 1)) -> DataFrame:
+    """Predictions on ``test`` of the model refitted with the corrections; without any correction
+    there is nothing to learn and ``before`` (the predictions of the model at hand) is returned."""
+    if corrections.limit(1).count() == 0:
+        return before
+    frame = refit_frame(train, corrections, cols, weight, mode)
+    return text_classifier(frame, test, weight="weight", classes=classes)
+
+
 def evaluate(pred: DataFrame, stage: str | None = None, score: str = "log_odds", label: str = "label",
              pred_col: str = "pred") -> DataFrame:
     """binary metrics + AUROC + average precision as one row (tagged with ``stage``)."""

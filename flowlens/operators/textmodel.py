@@ -29,12 +29,22 @@ from flowlens.operators.skew import hot_key_join
 from flowlens.session import materialize
 
 BROADCAST_ROWS = 500_000
+MAX_ODDS = 1e9
 
 
 def token_counts(df: DataFrame, col: str = "text", key: str = "row_id") -> DataFrame:
-    """(key, token, tf) over the whole text of every row."""
-    return (df.select(key, F.explode(tokens(col)).alias("token"))
-            .groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    """(key, token, tf) over the whole text of every row.
+
+    A document is one row, so its tokens are counted within it: sorted, runs measured between
+    the first positions of neighbouring tokens. No exchange."""
+    staged = df.select(key, F.array_sort(tokens(col)).alias("__t"))
+    size = F.size("__t")
+    first = F.filter(F.sequence(F.lit(0), size - 1),
+                     lambda i: (i == 0) | (F.col("__t")[i] != F.col("__t")[F.greatest(i - 1, F.lit(0))]))
+    staged = staged.where(size > 0).select(key, "__t", F.size("__t").alias("__n"), first.alias("__f"))
+    ends = F.concat(F.slice("__f", 2, F.size("__f")), F.array("__n"))
+    runs = F.zip_with("__f", ends, lambda a, b: F.struct(F.col("__t")[a].alias("token"), (b - a).cast("double").alias("tf")))
+    return staged.select(key, F.explode(runs).alias("r")).select(key, "r.token", "r.tf")
 
 
 def token_lookup(counts: DataFrame, model: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
@@ -53,7 +63,7 @@ def token_lookup(counts: DataFrame, model: DataFrame, token_rows: DataFrame | No
 
 
 def fit_text_nb(counts: DataFrame, labels: DataFrame, key: str = "row_id", label: str = "label",
-                weight: str | None = None, alpha: float = 1.0):
+                weight: str | None = None, alpha: float = 1.0, classes: tuple | None = None):
     """Multinomial NB. Returns (model: (token, class, logp), priors: {class: log prior}).
 
     ``labels`` has (key, label[, weight]); ``counts`` has (key, token, tf). The
@@ -66,6 +76,8 @@ def fit_text_nb(counts: DataFrame, labels: DataFrame, key: str = "row_id", label
     docs = lab.groupBy("__cls").agg(F.sum("__w").alias("__n")).collect()      # one row per class
     total = sum(r["__n"] for r in docs)
     priors = {r["__cls"]: math.log(r["__n"] / total) for r in docs}
+    # a class without training rows stays in the model and is never chosen
+    priors = {**{c: -math.inf for c in classes or ()}, **priors}
     classes = sorted(priors)
     ct = materialize(counts.join(lab, key, "inner").groupBy("token").pivot("__cls", classes)
                      .agg(F.sum(F.col("tf") * F.col("__w"))))
@@ -74,7 +86,7 @@ def fit_text_nb(counts: DataFrame, labels: DataFrame, key: str = "row_id", label
     v = tot_row["__v"]
     logps = [F.struct(F.lit(c).alias("class"),
                       F.log((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) + F.lit(alpha))
-                            / F.lit(float(tot_row[f"__t{i}"] or 0.0) + alpha * v)).alias("logp"))
+                            / F.lit(float(tot_row[f"__t{i}"] or 0.0) + alpha * max(v, 1))).alias("logp"))
              for i, c in enumerate(classes)]
     model = ct.select("token", F.explode(F.array(*logps)).alias("m")).select("token", "m.class", "m.logp")
     return materialize(model), priors
@@ -92,7 +104,11 @@ def predict_text_nb(counts: DataFrame, rows: DataFrame, model: DataFrame, priors
         raise ValueError("binary text classifier expects two classes")
     l0, l1 = ll[classes[0]], ll[classes[1]]
     pred = F.when(l1 > l0, F.lit(classes[1])).otherwise(F.lit(classes[0]))
-    odds = l1 - l0
+    missing = [c for c in classes if priors[c] == -math.inf]
+    # with one class only, the odds are infinite towards it; they are given as +-MAX_ODDS
+    odds = F.lit(-MAX_ODDS if missing == [classes[1]] else MAX_ODDS) if missing else l1 - l0
+    if missing:
+        pred = F.lit(classes[0] if missing == [classes[1]] else classes[1])
     return base.select(key, label, *keep, pred.cast("int").alias("pred"), odds.alias("log_odds"),
                        logistic(odds).alias("p1"))
 
@@ -104,11 +120,13 @@ def logistic(z):
 
 def text_classifier(train: DataFrame, test: DataFrame, col: str = "text", label: str = "label", key: str = "row_id",
                     weight: str | None = None, method: str = "nb", num_features: int = 1 << 18,
-                    keep: tuple = ()) -> DataFrame:
-    """Fit on ``train`` text, score ``test``: (key, label, keep..., pred, log_odds, p1)."""
+                    keep: tuple = (), classes: tuple | None = None) -> DataFrame:
+    """Fit on ``train`` text, score ``test``: (key, label, keep..., pred, log_odds, p1).
+
+    ``classes``: the labels that the model knows even if ``train`` lacks one of them."""
     if method == "nb":
         tr_counts = materialize(token_counts(train, col, key))
-        model, priors = fit_text_nb(tr_counts, train, key, label, weight)
+        model, priors = fit_text_nb(tr_counts, train, key, label, weight, classes=classes)
         doc_freq = tr_counts.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
         return predict_text_nb(token_counts(test, col, key), test, model, priors, key, label, keep, doc_freq)
     from pyspark.ml import Pipeline

@@ -134,6 +134,42 @@ def q_refit_on_corrections(spark, sf):
     return _round(after)
 
 
+# ---- the reference's other variants: refit on the corrections alone, and an unstratified split with
+# 80 % feedback. Without corrections the model is kept.
+
+ONLY_SQL = BASE_SQL + f""",
+corr as (select row_id, text, label from pred where part = 'feedback' and pred <> label),
+rt as (select row_id, text, label, {CORRECTION_WEIGHT}e0 as weight from corr),
+ev as (select row_id, text, label from pred where part = 'eval'),
+{nb_sql('rt', 'ev', 'm1', 'weight')},
+kinds as (select count(distinct label) as k, min(label) as one from corr),
+kept as (select row_id, label, pred, log_odds, p1 from pred where part = 'eval'),
+after as (select * from kept, kinds where k = 0
+  union all select m1.*, kinds.* from m1, kinds where k = 2
+  union all select row_id, label, one as pred, case when one = 1 then 1e9 else -1e9 end as log_odds, cast(one as double) as p1, k, one
+    from ev, kinds where k = 1)"""
+
+
+@query("refit_on_corrections_only", sql=ONLY_SQL + "\n" + _out("after"))
+def q_refit_on_corrections_only(spark, sf):
+    """The reference's retraining: the mistakes of the feedback part are the whole training set."""
+    train, pred = _initial(spark, sf)
+    corr = FB.collect_corrections(pred.where(F.col("part") == "feedback"))
+    evalp = pred.where(F.col("part") == "eval")
+    before = evalp.select("row_id", "label", "pred", "log_odds", "p1")
+    return _round(FB.refit(train, corr, evalp, before, ["row_id", "text", "label"], CORRECTION_WEIGHT, "corrections_only"))
+
+
+@query("feedback_eval_split_plain", sql=DOC_SPLIT + """,
+te_all as (select row_id, label from sp where split = 'test'),
+rk as (select *, row_number() over (order by md5('42#' || cast(row_id as varchar)), row_id) as r, count(*) over () as n from te_all)
+select row_id, label, case when r > n - (n * 2 + 9) // 10 then 'eval' else 'feedback' end as part from rk""")
+def q_feedback_eval_split_plain(spark, sf):
+    """Unstratified: 80 % of the scored test rows give feedback, 20 % evaluate."""
+    test = _docs(spark, sf).where(F.col("split") == "test").select("row_id", "label")
+    return FB.feedback_eval_split(test, "row_id", None, FB.PLAIN_EVAL_FRACTION, 42)
+
+
 def _eval_sql(src: str, stage: str) -> str:
     cum = f"""{stage}_st as (select cast(log_odds as double) as score, cast(sum(label) as bigint) as pos,
   cast(sum(1 - label) as bigint) as neg from {src} group by log_odds),

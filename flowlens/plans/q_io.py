@@ -197,7 +197,13 @@ def batch_scoring(df, make_fn, cols: list[str], batch_size: int, out_schema: str
     return df.select(*cols).mapInPandas(run, out_schema)
 
 
-@query("batch_scoring")
+def _batch_scoring_sql():
+    from flowlens.plans.q_scorers import _dist_sql, _fit_sql, _scaled_vectors_sql
+    return _scaled_vectors_sql() + ",\n" + _fit_sql("fb", 0) + f"""
+select t.row_id, {sg.r(_dist_sql('fb', '1e0'))} as score from (select * from sv where split = 'test') t cross join fb"""
+
+
+@query("batch_scoring", sql=_batch_scoring_sql())
 def q_batch_scoring(spark, sf):
     """The benign one-class model of the vectors, exported as plain numbers, applied by a
     numpy predict function in batches of 8 rows."""
@@ -218,6 +224,6 @@ def q_batch_scoring(spark, sf):
         def fn(pdf):
             x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             score = const + 0.5 * (((x - mean) ** 2) / var).sum(axis=1)
-            return pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "score": np.round(score, 6)})
+            return pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "score": np.floor(score * 1e6 + 0.5) / 1e6})
         return fn
     return batch_scoring(test, make_fn, ["row_id", "vec"], 8, "row_id long, score double")

@@ -174,6 +174,30 @@ def q_logistic_regression(spark, sf):
     return CL.logistic_regression(train, test, FEATS)
 
 
+QUALITY_FLOOR = 0.02      # accuracy above that of always naming the larger class
+
+
+@query("tree_quality", sql=PARTS_SQL + """
+select m as model, (select count(*) from te) as n, (select count(*) from te where label = 1) as positives, true as better
+  from (values ('decision_tree'), ('random_forest'), ('logistic_regression')) v(m)""")
+def q_tree_quality(spark, sf):
+    """What SQL can say of the MLlib fits: every test row is scored once with its own label, and the
+    accuracy beats the majority class by ``QUALITY_FLOOR``."""
+    scaled = materialize(scaled_flows(spark, sf), "flows-scaled")
+    train, test = scaled_parts(spark, sf, scaled)
+    out = None
+    for name, fn in (("decision_tree", CL.decision_tree), ("random_forest", CL.random_forest),
+                     ("logistic_regression", CL.logistic_regression)):
+        pred = fn(train, test, FEATS)
+        right = F.avg((F.col("pred") == F.col("label")).cast("double"))
+        positive = F.avg(F.col("label").cast("double"))
+        row = pred.agg(F.lit(name).alias("model"), F.count_distinct("row_id").alias("n"),
+                       F.sum("label").cast("bigint").alias("positives"),
+                       (right >= F.greatest(positive, 1 - positive) + QUALITY_FLOOR).alias("better"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---------------------------------------------------------------- cross-validation
 
 def _folded_train(spark, sf, scaled=None):

@@ -82,3 +82,33 @@ select cast(sum(case when pred = label then 1 else 0 end) as bigint) as n_right,
   {sg.r(sg.sdiv('sum(case when pred = label then 1 else 0 end)', 'count(*)'))} as accuracy from pr""")
 def match_counts(spark, sf):
     return M.match_counts(_blend(spark, sf))
+
+
+def _norms_sql() -> str:
+    means = ", ".join(f"avg(x{i}) as m{i}" for i in range(DIM))
+    square = " + ".join(f"(t.x{i} - c.m{i}) * (t.x{i} - c.m{i})" for i in range(DIM))
+    return _scaled_vectors_sql() + f""",
+c as (select {means} from sv where split = 'train')
+select t.row_id, {sg.r(square, 4)} as square_norm from (select * from sv where split = 'test') t cross join c"""
+
+
+@query("pca_row_norms", sql=_norms_sql())
+def pca_row_norms(spark, sf):
+    """All components together are a rotation: the projections of a row have the norm of the
+    centred row itself, which SQL can state without an eigen-decomposition."""
+    from flowlens.functions.exprs import rnd
+    from flowlens.plans.q_encode import pca_fit_apply
+    square = F.aggregate("pcs", F.lit(0.0), lambda acc, x: acc + x * x)
+    return pca_fit_apply(spark, sf).select("row_id", rnd(square, 4).alias("square_norm"))
+
+
+@query("pca_variance_total", sql="select 64 as components, 1e0 as total, true as descending")
+def pca_variance_total(spark, sf):
+    """The explained-variance ratios add up to 1 and never grow."""
+    from flowlens.functions.exprs import rnd
+    from pyspark.sql import Window
+    from flowlens.plans.q_encode import cumulative_variance
+    before = F.lag("ratio").over(Window.orderBy("component"))          # one row per dimension
+    rows = cumulative_variance(spark, sf).withColumn("before", before)
+    return rows.agg(F.count("*").cast("int").alias("components"), rnd(F.sum("ratio")).alias("total"),
+                    F.bool_and(F.col("before").isNull() | (F.col("ratio") <= F.col("before") + 1e-12)).alias("descending"))
