@@ -2,7 +2,7 @@
 
 Everything starts from the distinct-score table (score, pos, neg), a partial
 aggregation of the scored rows. Running counts over it are computed by
-``ranks.running_sum`` (value-range buckets, so no single-task window), and the
+``ranks.running_sum`` (value ranges, so no single-task window), and the
 two class totals (two numbers) are read on the driver.
 """
 
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import rnd, safe_div
-from flowlens.operators.ranks import ordered_rank, running_sum
+from flowlens.operators.ranks import running_sum
+from flowlens.session import materialize
 
 
 def score_table(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -29,30 +30,29 @@ def _totals(st: DataFrame) -> tuple[int, int]:
     return int(row["p"] or 0), int(row["n"] or 0)
 
 
-def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label") -> tuple[DataFrame, int, int]:
-    """Distinct scores, descending, with tp / fp = counts at or above the score."""
-    st = score_table(df, score, label)
+def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label",
+                      neighbours: bool = False) -> tuple[DataFrame, int, int]:
+    """Distinct scores, descending, with tp / fp = counts at or above the score (and, with
+    ``neighbours``, next_pos / next_neg = the counts of the score below). The table of distinct
+    scores is written once and read for the totals and the running counts."""
+    st = materialize(score_table(df, score, label), "scores")
     p, n = _totals(st)
-    cum = running_sum(st, "score", ["pos", "neg"], descending=True)
+    cum = running_sum(st, "score", ["pos", "neg"], descending=True, next_cols=("pos", "neg") if neighbours else ())
     return cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp"), p, n
 
 
 def _drop_collinear(cum: DataFrame) -> DataFrame:
-    """Keep the first and last point and every point where the (fp, tp) path bends."""
-    idx = ordered_rank(cum.withColumn("__neg_score", -F.col("score")), "__neg_score", "score", out="__i")
-    prev = idx.select((F.col("__i") + 1).alias("__i"), F.col("tp").alias("__tp_p"), F.col("fp").alias("__fp_p"))
-    nxt = idx.select((F.col("__i") - 1).alias("__i"), F.col("tp").alias("__tp_n"), F.col("fp").alias("__fp_n"))
-    j = idx.join(prev, "__i", "left").join(nxt, "__i", "left")
-    keep = (F.col("__tp_p").isNull() | F.col("__tp_n").isNull()
-            | ((F.col("__tp_n") - 2 * F.col("tp") + F.col("__tp_p")) != 0)
-            | ((F.col("__fp_n") - 2 * F.col("fp") + F.col("__fp_p")) != 0))
-    return j.where(keep).select(*cum.columns)
+    """Keep the first and last point and every point where the (fp, tp) path bends: where the step
+    to the next point differs from the step to this one."""
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    return cum.where(first | F.col("next_pos").isNull() | bends).drop("next_pos", "next_neg")
 
 
 def roc_points(df: DataFrame, score: str = "score", label: str = "label", drop_intermediate: bool = True,
                digits: int = 6) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, plus the origin (threshold null, 0, 0)."""
-    cum, p, n = cumulative_counts(df, score, label)
+    cum, p, n = cumulative_counts(df, score, label, neighbours=drop_intermediate)
     if drop_intermediate:
         cum = _drop_collinear(cum)
     pts = cum.select(F.col("score").alias("threshold"),

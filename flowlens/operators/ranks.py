@@ -84,31 +84,36 @@ def range_buckets(df: DataFrame, part: list[str], order_col: str, out: str) -> t
 
 
 def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_cols: tuple = (),
-                descending: bool = False, prefix: str = "cum_", small_partitions: bool = True) -> DataFrame:
+                descending: bool = False, prefix: str = "cum_", small_partitions: bool = True,
+                next_cols: tuple = ()) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order within ``partition_cols``.
 
     ``order_col`` must be unique inside a partition (aggregate to distinct values first);
-    ties would otherwise make the running sum depend on the physical order.
+    ties would otherwise make the running sum depend on the physical order. ``next_cols`` (without
+    nulls) get a column ``next_<col>``: the value in the following row, null in the last.
     """
     part = list(partition_cols)
     b = "__bucket"
     staged, n_buckets = range_buckets(df, part, order_col, b)
     if descending:
         staged = staged.withColumn(b, -F.col(b))
-    tot = staged.groupBy(*part, b).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
-    w_small = (Window.partitionBy(*part).orderBy(b) if part else Window.orderBy(b)) \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    first = F.max_by if descending else F.min_by
+    tot = staged.groupBy(*part, b).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols],
+                                       *[first(v, order_col).alias(f"__f_{v}") for v in next_cols])
+    w_order = Window.partitionBy(*part).orderBy(b) if part else Window.orderBy(b)
+    w_small = w_order.rowsBetween(Window.unboundedPreceding, -1)
     # The offsets table has |partitions| x n_buckets rows: bounded when the partition
     # columns are schema-like (columns, classes); otherwise let AQE pick the join.
-    off = tot.select(*part, b, *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}")
-                                 for v in value_cols])
+    off = tot.select(*part, b, *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}") for v in value_cols],
+                     *[F.lead(f"__f_{v}").over(w_order).alias(f"__e_{v}") for v in next_cols])
     joined = join_small(staged, off, part + [b], broadcast=small_partitions and n_buckets <= BROADCAST_BUCKETS)
     order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    w = Window.partitionBy(*part, b).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined
-    for v in value_cols:
-        out = out.withColumn(prefix + v, F.col(f"__o_{v}") + F.sum(v).over(w))
-    return out.drop(b, *[f"__o_{v}" for v in value_cols])
+    w_rows = Window.partitionBy(*part, b).orderBy(order)
+    w = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what follows the last row of a bucket is the first of the next one
+    new = {prefix + v: F.col(f"__o_{v}") + F.sum(v).over(w) for v in value_cols}
+    new |= {f"next_{v}": F.coalesce(F.lead(v).over(w_rows), F.col(f"__e_{v}")) for v in next_cols}
+    return joined.withColumns(new).drop(b, *[f"__o_{v}" for v in value_cols], *[f"__e_{v}" for v in next_cols])
 
 
 def ordered_rank(df: DataFrame, order_col: str, tie_col: str, partition_cols: tuple = (),

@@ -6,15 +6,18 @@ contract) and ``token_budget`` reports what the window loses.
 
 Scale: token frequencies are Zipf-skewed (',' is in every row), so the id
 lookup must not send all rows of a token to one task. A vocabulary under
-``BROADCAST_LIMIT`` entries (counted first) is broadcast; with a larger one,
+``BROADCAST_LIMIT`` entries (counted first) goes to the tasks; with a larger one,
 the rows of hot tokens (counted from the token rows themselves) are looked up
 from a bounded broadcast and the rest are joined by shuffle (``hot_key_join``).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.text import tokens
 from flowlens.operators.ranks import string_rank
@@ -43,17 +46,43 @@ def build_vocab(df: DataFrame, col: str = "text", tokens_col: str | None = None)
     return ranked.select("token", (F.col("__r") + 1).cast("int").alias("id"))
 
 
+def _number_in_rows(df: DataFrame, col: str, vocab: DataFrame, key: str, max_length: int, tokens_col: str | None) -> DataFrame:
+    ids_b = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.collect()})   # at most BROADCAST_LIMIT
+    tok = df.select(F.col(key), F.size(_toks(col, tokens_col)).cast("int").alias("n_tokens"),
+                    F.slice(_toks(col, tokens_col), 1, max_length).alias("__t"))
+    fields = [tok.schema[key], tok.schema["n_tokens"], T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+              T.StructField("attention_mask", T.ArrayType(T.IntegerType()))]
+
+    def run(it):
+        ids = ids_b.value
+        for b in it:
+            rows = [[] if t is None else [ids.get(x, UNK_ID) for x in t] for t in b.column(2).to_pylist()]
+            out = np.full((len(rows), max_length), PAD_ID, np.int32)
+            mask = np.zeros((len(rows), max_length), np.int32)
+            for i, r in enumerate(rows):
+                out[i, :len(r)] = r
+                mask[i, :len(r)] = 1
+            at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * max_length)
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (out, mask)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=[key, "n_tokens", "input_ids", "attention_mask"])
+
+    return tok.mapInArrow(run, T.StructType(fields))
+
+
 def _lookup(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
-    size = vocab.limit(BROADCAST_LIMIT + 1).count()
-    if size <= BROADCAST_LIMIT:
-        return exploded.join(F.broadcast(vocab), "token", "left")
     token_rows = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
     return hot_key_join(exploded, vocab, ["token"], token_rows, "__rows", "left")
 
 
 def token_window(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", max_length: int = 512,
                  tokens_col: str | None = None) -> DataFrame:
-    """(key, n_tokens, input_ids array<int>[max_length], attention_mask array<int>[max_length])."""
+    """(key, n_tokens, input_ids array<int>[max_length], attention_mask array<int>[max_length]).
+
+    A vocabulary of at most ``BROADCAST_LIMIT`` tokens (counted first) goes to the tasks as a
+    dictionary, and each row is numbered where it is: no token row, no exchange. With a larger one
+    the tokens are joined by shuffle, hot tokens from a bounded broadcast."""
+    if vocab.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT:
+        return _number_in_rows(df, col, vocab, key, max_length, tokens_col)
     tok = df.select(F.col(key).alias("__key"), _toks(col, tokens_col).alias("__t"))
     counts = tok.select("__key", F.size("__t").cast("int").alias("n_tokens"))
     exploded = tok.select("__key", F.posexplode(F.slice("__t", 1, max_length)).alias("pos", "token"))
