@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import materialize
+from flowlens.llm.common import materialize, shuffle_parts
 from flowlens.session import scratch_path
 
 # Fixed values of the seekable Zstandard format
@@ -248,7 +248,9 @@ def read_archive(index: DataFrame) -> DataFrame:
                                  "payload": block[cut:] if response else None})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    # a frame's records are few: frames are of bounded size
+    # a frame's records are few: frames are of bounded size. The rows are tiny but the work is not, so the
+    # number of partitions is given, which keeps adaptive execution from merging them
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    frames = frames.repartition(shuffle_parts(index.sparkSession), "bundle", "frame")
     return frames.mapInArrow(run, "record_id string, page_id long, url string, payload_bytes long, payload_digest string, "
                                   "record_type string, refers_to long, payload binary")
