@@ -58,7 +58,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op4_suffix_array_dedup")
+@query("op4_suffix_array_dedup", """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+s as (select doc_id, i, sha256(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(0, n - 99)) as i from d where n >= 100) x),
+w as (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from s),
+r as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as step from w where k > 1),
+g as (select doc_id, i, sum(case when step <= 100 then 0 else 1 end) over (partition by doc_id order by i
+    rows between unbounded preceding and current row) as run from r),
+b as (select doc_id, run, min(i) as a, max(i) + 100 as e from g group by doc_id, run),
+c as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as before from b),
+k as (select c.doc_id, sum(e - a) as removed, count(*) as spans, max(e) as last,
+    string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' order by a) as head from c join d on d.doc_id = c.doc_id group by c.doc_id)
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(k.removed, 0) as bigint) as n_removed,
+  coalesce(k.spans, 0) as n_spans,
+  sha256(unhex(coalesce(k.head, '') || substr(d.h, 2 * coalesce(k.last, 0) + 1))) as kept_sha256
+  from d left join k on k.doc_id = d.doc_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.substring_dedup import remove_repeats
     got = remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
@@ -66,7 +80,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_warc")
+# base 32 of a SHA-1 in hex: five hex digits are four letters
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::int >> {s}) & 31) + 1, 1)"
+                      for g in range(8) for s in (15, 10, 5, 0))
+
+
+@query("op7_warc", f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h,
+    min(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, octet_length(encode(html)) as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from p""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.warc import judge, read_archive, write_archive
     index = write_archive(judge(read_table(spark, sf_dir, "pages"), min_bytes=0))
@@ -74,10 +98,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op8_exact_top_k", """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
   from embeddings where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5""")
@@ -110,7 +134,21 @@ def _op2_sql() -> str:
 ORACLE["op2_url_filters"] = _op2_sql()
 
 
-@query("op3_lm_scoring")
+@query("op3_lm_scoring", r"""
+with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as ws from documents),
+u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from t),
+v as (select doc_id, i, w, lag(w) over p as w1, lag(w, 2) over p as w2 from u window p as (partition by doc_id order by i)),
+c as (select doc_id, i, (select count(*) from u) - count(*) over (partition by doc_id) as others,
+    count(*) over (partition by w) - count(*) over (partition by doc_id, w) as r1,
+    case when w1 is null then 0 else count(*) over (partition by w1, w) - count(*) over (partition by doc_id, w1, w) end as r2,
+    case when w2 is null then 0 else count(*) over (partition by w2, w1, w) - count(*) over (partition by doc_id, w2, w1, w) end as r3 from v),
+x as (select *, lag(r1) over p as x1, lag(r2) over p as x2, cast(greatest(others, 1) as double) as n
+    from c window p as (partition by doc_id order by i)),
+y as (select doc_id, case when r3 > 0 and x2 > 0 then r3 / x2 when r2 > 0 and x1 > 0 then r2 / x1 * 0.4e0
+    when r1 > 0 then r1 / n * pow(0.4e0, 2) else 0.4e0 / n * pow(0.4e0, 2) end as s from x),
+z as (select doc_id, cast(sum(cast(floor(-log2(s) * 1000 + 0.5) as bigint)) as bigint) as cost from y group by doc_id)
+select t.doc_id, len(t.ws) as n_words, coalesce(z.cost, 0) as cost,
+  case when len(t.ws) > 0 then -z.cost / 1000e0 / len(t.ws) end as score from t left join z on z.doc_id = t.doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.lm_score import score_documents
     return score_documents(read_table(spark, sf_dir, "documents"), order=3, alpha=0.4)
