@@ -190,8 +190,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.1) -> DataFrame:
-    """The documents whose language is found with a score of at least ``min_score``; same columns."""
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.1,
+               short: int = 32) -> DataFrame:
+    """The documents whose language is found with a score of at least ``min_score``; same columns.
+
+    Texts of fewer than ``short`` characters say too little to reject them: they stay if they have a letter."""
     got = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model, text_col)
-    got = got.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    known = (F.col("score") >= min_score) | (F.length(text_col) < short)
+    got = got.where((F.col("lang_pred") != "und") & known).drop("lang_pred", "score")
     return got.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)

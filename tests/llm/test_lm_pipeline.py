@@ -63,8 +63,9 @@ def test_pipeline_matches_brute_force(spark):
     model = language_id.fit(docs.where(~language_id.held_out(docs.doc_id)))
     rows = {r.doc_id: r.text for r in docs.collect()}
     scores = language_id.score_texts(model, [rows[i] or " " for i in rows])
-    kept = [i for i, s in zip(rows, scores) if rows[i] is not None and s.max(initial=0) >= 0.1]
-    assert len(kept) >= 0.95 * len(rows)
+    kept = [i for i, s in zip(rows, scores) if rows[i] is not None
+            and (s.max(initial=0) >= 0.1 or len(rows[i]) < 32)]
+    assert len(kept) >= 0.99 * len(rows)
     fps = {i: simhash.fingerprint(rows[i]) for i in kept}
     from test_simhash import brute as brute_components
     order = sorted(kept)
