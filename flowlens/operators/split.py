@@ -36,10 +36,10 @@ def quotas_from_counts(counts: DataFrame, test_fraction, first: str = "train") -
     f = _frac(test_fraction)
     wall = Window.partitionBy()
     total = F.sum("n").over(wall)
-    # n_test = ceil(N * num / den) in integer arithmetic
-    n_test_all = F.floor((total * f.numerator + (f.denominator - 1)) / F.lit(f.denominator))
-    n_first_all = (n_test_all if first == "test" else total - n_test_all)
-    staged = counts.select("__class", "n", total.alias("__tot"), n_first_all.cast("bigint").alias("__k"))
+    # n_test = ceil(N * num / den) in integer arithmetic (div, not /, which divides doubles)
+    n_test_all = f"((__tot * {f.numerator} + {f.denominator - 1}) div {f.denominator})"
+    staged = counts.select("__class", "n", total.alias("__tot"))
+    staged = staged.select("*", F.expr(n_test_all if first == "test" else f"__tot - {n_test_all}").cast("bigint").alias("__k"))
     # n * K can pass 2^63 at 1e10+ rows: exact integer division in decimal(38, 0)
     prod = F.col("n").cast("decimal(38,0)") * F.col("__k").cast("decimal(38,0)")
     big_n = F.col("__tot").cast("decimal(38,0)")
@@ -77,7 +77,9 @@ def _cut_assign(df: DataFrame, key: str, label: str | None, quota, seed: int,
     lab = F.col(label) if label else F.lit("all")
     hex_digits = hex_digits_for(df.count(), hex_digits)
     h, b = "__h", "__hb"
-    staged = df.withColumn("__class", lab).withColumn(h, stable_hash(seed, key)) \
+    # rows with a null key share one hash, so that they are assigned like any others
+    hashed = F.coalesce(stable_hash(seed, key), F.md5(F.lit(f"{seed}#")))
+    staged = df.withColumn("__class", lab).withColumn(h, hashed) \
         .withColumn(b, F.substring(h, 1, hex_digits))
     counts = staged.groupBy("__class", b).agg(F.count(F.lit(1)).alias("__c"))
     if callable(quota):

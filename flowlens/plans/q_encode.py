@@ -81,7 +81,7 @@ def dummies_of_object_cols(spark, sf):
 
 @query("attach_encoded", sql=FL + f"\nselect row_id, {', '.join(NUM)}, {_dummies_sql(CAT)} from flows")
 def attach_encoded(spark, sf):
-    raw = fx.flows(spark, sf).select("row_id", *CAT, *NUM)
+    raw = fx.flows_table(spark, sf).select("row_id", *CAT, *NUM)        # both sides of the key join read it
     enc = E.one_hot(raw.select("row_id", *CAT), E.fit_one_hot(raw, CAT))
     return E.attach_encoded(raw, enc, "row_id", CAT)
 

@@ -105,3 +105,9 @@ def test_exact_quota_rank_is_permutation(spark):
         assert sorted(ranks) == list(range(1, len(ranks) + 1))
         assert all(x.class_n == len(ranks) for x in r if x.label == lab)
     assert F is not None
+
+
+def test_null_keys_are_assigned(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 0)] * 5, "row_id long, label int")
+    got = S.stratified_split(df, "row_id", "label", "0.2", 42)
+    assert got.count() == 45 and got.where("split = 'test'").count() == 9
