@@ -24,18 +24,27 @@ def text_bytes(df: DataFrame, col: str) -> int:
 PACK_BYTES = 24 << 20          # text that a task gathers before it hands packs on
 
 
+def count_blocks(src: DataFrame, text_col: str, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes`` of text; small inputs still get one for each shuffle partition, down
+    to a MB of text."""
+    size = text_bytes(src, text_col)
+    return max(1, -(-size // block_bytes), min(shuffle_parts(src.sparkSession), size >> 20))
+
+
 def deal_blocks(src: DataFrame, text_col: str, keys: list[str], block_bytes: int) -> tuple[DataFrame, int]:
     """``src`` dealt into blocks of about ``block_bytes`` of text by a hash of ``keys`` and the text's
     length (so many rows of one key, or of none, spread): (block int, rows binary), in as many
     partitions as returned. ``rows`` are record batches in Arrow's stream format, Zstandard-compressed
     (``open_rows``); a block has several such rows. Both uses of one result must read all its columns,
     then Spark deals the texts once and reuses the exchange."""
-    spark = src.sparkSession
-    size = text_bytes(src, text_col)
-    # small inputs still get a block for each partition, down to a MB of text
-    n_blocks = max(1, -(-size // block_bytes), min(shuffle_parts(spark), size >> 20))
-    parts = max(shuffle_parts(spark), -(-n_blocks // 8))
+    n_blocks = count_blocks(src, text_col, block_bytes)
     block = F.pmod(F.xxhash64(*keys, F.coalesce(F.octet_length(text_col), F.lit(0))), F.lit(n_blocks)).cast("int")
+    return pack_blocks(src, block, n_blocks)
+
+
+def pack_blocks(src: DataFrame, block, n_blocks: int) -> tuple[DataFrame, int]:
+    """``deal_blocks`` with the block of a row given, an int column from 0 to ``n_blocks`` - 1."""
+    parts = max(shuffle_parts(src.sparkSession), -(-n_blocks // 8))
     names = src.columns
     packed = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
 

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowlens.llm.common import materialize
+from flowlens.llm.common import count_blocks, materialize, open_rows, pack_blocks
 from flowlens.llm.graph import connected_components
 
 SEED = 42
@@ -201,14 +202,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, **kw) -> DataFrame:
     """The documents with one of each near-duplicate group (that of the smallest id) kept.
 
-    Rows with a null id are kept as they are: they can't be told apart from their copies."""
-    comp = near_duplicates(docs, id_col, **kw)
-    kept = comp.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = materialize(kept.select(F.col("doc_id").alias(id_col), "count"), "simhash-kept")
-    out = docs.join(kept.select(id_col), id_col, "left_semi")
-    if kept.where("count > 1").limit(1).count():      # repeated ids: one row of each
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    Rows with a null id are kept as they are: they can't be told apart from their copies. Of
+    rows that repeat a kept id the one of the smallest text stays. Texts meet the kept ids in
+    blocks by a hash of the id, dealt out as compressed packs."""
+    comp = near_duplicates(docs, id_col, text_col, **kw)
+    kept = materialize(comp.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
+    named = docs.where(F.col(id_col).isNotNull())
+    n_blocks = count_blocks(named, text_col, block_bytes)
+
+    def block_of(c):
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(n_blocks)).cast("int")
+
+    dealt, _ = pack_blocks(named, block_of(F.col(id_col)), n_blocks)
+    schema = docs.schema
+    none = to_arrow_schema(schema).empty_table()
+
+    def chosen(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = open_rows(left) if left.num_rows else None
+        if rows is None or not right.num_rows:
+            return none
+        ids = rows.column(id_col).cast(pa.int64()).to_numpy()
+        at = np.flatnonzero(np.isin(ids, right.column("doc_id").to_numpy()))
+        if len(np.unique(ids[at])) < len(at):
+            texts = rows.column(text_col).take(pa.array(at)).to_pylist()
+            order = sorted(range(len(at)), key=lambda i: (ids[at[i]], texts[i] is not None, texts[i] or ""))
+            at = np.sort([at[i] for k, i in enumerate(order) if k == 0 or ids[at[i]] != ids[at[order[k - 1]]]])
+        return rows.take(pa.array(at))
+
+    right = kept.select(block_of(F.col("doc_id")).alias("block"), "doc_id")
+    out = dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(chosen, schema)
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -82,6 +82,14 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 3, 11, 13, 20]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "b b b b", 1.5), (1, "a a a a", 2.5), (2, "c c c", 3.5), (2, "c c c", 4.5), (3, "C c\tc", None), (None, "c c c", 5.5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, block double")
+    got = sorted(tuple(r) for r in S.keep_one(df).where("doc_id is not null").select("doc_id", "text").collect())
+    assert got == [(1, "a a a a"), (2, "c c c")] and S.keep_one(df).where("doc_id is null").count() == 1
+    assert S.keep_one(df).schema == df.schema and S.keep_one(df.limit(0)).count() == 0
+
+
 def test_fingerprint_definition():
     import xxhash
     t = "The quick\tBROWN fox  jumps"
