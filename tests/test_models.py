@@ -93,3 +93,15 @@ def test_knn_sends_few_rows_on_clustered_data(spark):
             d = np.sqrt(((x[train] - x[j]) ** 2).sum(axis=1))
             assert [t for _, t in sorted(got[j])[:5]] == [train[i] for i in np.argsort(d)[:5]]
     assert sent[4000] < 25 * sent[400]
+
+
+def test_many_classes_are_scored_in_batches_alike(spark, monkeypatch):
+    from flowlens.operators import naive_bayes as NB
+    rnd = np.random.default_rng(4)
+    rows = [(i, float(rnd.normal() + i % 5), float(rnd.random() < 0.2 * (i % 5)), i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, label int")
+    for fn in (NB.gaussian_nb, NB.bernoulli_nb):
+        monkeypatch.setattr(NB, "INLINE_CLASSES", 64)
+        inline = sorted(map(tuple, fn(df, df, ["a", "b"]).collect()))
+        monkeypatch.setattr(NB, "INLINE_CLASSES", 2)
+        assert sorted(map(tuple, fn(df, df, ["a", "b"]).collect())) == inline
