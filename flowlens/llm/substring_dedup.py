@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       *([F.struct(*carry).alias("rest")] if carry else []))
     # by id and length: rows of one id and length are one block's, which orders them
     blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes)
-    n_buckets = parts
+    n_buckets = 2 * parts          # a shard's contexts are held at once: more and smaller shards
 
     list_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("kinds", pa.binary())])
 
