@@ -61,23 +61,6 @@ def blend_scores(df: DataFrame, benign: str = "score_benign", anomaly: str = "sc
     return df.withColumn(out, b).withColumn(pred, F.when(F.col(out) > F.lit(cut), 1).otherwise(0))
 
 
-def two_scorer_blend(train: DataFrame, test: DataFrame, cols: list[str], label: str = "label",
-                     key: str = "row_id", digits: int = 6) -> DataFrame:
-    """(key, label, score_benign, score_anomaly, blend, pred) over the test rows.
-
-    Both scorers are projections of the same rows, so they are evaluated side by
-    side in one select (no join), normalised with one min/max aggregation."""
-    from flowlens.operators.scale import apply_minmax_scale, fit_minmax_scale
-    fb = fit_one_class(train.where(F.col(label) == 0), cols)
-    fa = fit_one_class(train.where(F.col(label) == 1), cols)
-    raw = test.select(key, label, one_class_distance(fb, 1.0).alias("score_benign"),
-                      one_class_distance(fa, -1.0).alias("score_anomaly"))
-    scored = apply_minmax_scale(raw, fit_minmax_scale(raw, ["score_benign", "score_anomaly"]))
-    out = blend_scores(scored)
-    return out.select(key, label, rnd("score_benign", digits).alias("score_benign"),
-                      rnd("score_anomaly", digits).alias("score_anomaly"), rnd("blend", digits).alias("blend"), "pred")
-
-
 # ---------------------------------------------------------------- array<double> features
 
 def one_class_scorer_vec(train_subset: DataFrame, test: DataFrame, vec: str = "vec", sign: float = 1.0,
@@ -90,7 +73,9 @@ def one_class_scorer_vec(train_subset: DataFrame, test: DataFrame, vec: str = "v
 
 def two_scorer_blend_vec(train: DataFrame, test: DataFrame, vec: str = "vec", label: str = "label",
                          key: str = "row_id", digits: int = 6) -> DataFrame:
-    """``two_scorer_blend`` over an array column; both class fits come from one aggregation."""
+    """(key, label, score_benign, score_anomaly, blend, pred) over the test rows.
+
+    Both class fits come from one aggregation, and both scores from one projection (no join)."""
     from flowlens.operators.scale import apply_minmax_scale, fit_minmax_scale
     from flowlens.operators.vectors import fit_gaussian_vec, gaussian_distance_vec
     fits = fit_gaussian_vec(train, vec, label)
