@@ -60,7 +60,8 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], broadcast: bool
     renamed = small.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[c for c in small.columns if c not in keys])
     if broadcast is None:
-        broadcast = renamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        renamed = materialize(renamed, "small")      # computed once, for the count and for the join
+        broadcast = renamed.count() <= BROADCAST_ROWS
     if broadcast:
         renamed = F.broadcast(renamed)
     cond = None
