@@ -1,8 +1,8 @@
 """Near-duplicate vectors by NN-descent.
 
 Vectors are compared within their label only. Equal vectors of a label collapse to one node
-first. A neighbour graph is started from cells of random hyperplanes (cells above
-``CELL_MAX`` nodes are split by hash) and refined by joins: every node's neighbours are
+first. A neighbour graph is started from cells of random hyperplanes (a cell above ``BLOCK``
+nodes is compared block by block, every pair of its blocks) and refined by joins: every node's neighbours are
 compared with each other, and whoever is nearer than a node's last neighbour enters its list.
 A list holds the ``k`` nearest; if it is saturated (all of them links), it grows up to ``k_max``.
 Every comparison that finds a link also leaves a link row: those of one spanning forest per
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import materialize
 from flowlens.llm.graph import connected_components
 
-CELL_MAX = 256
 BLOCK = 1024
+BROADCAST_ROWS = 100_000
 AUDIT_NODES = 256
 
 
@@ -110,19 +110,29 @@ def _start(nodes: DataFrame, n: int, tables: range, k: int, threshold: float) ->
         sim = x @ x.T
         np.fill_diagonal(sim, -2)
         m = min(k, len(ids) - 1)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            # pairs across the two blocks only, and the nearest one: those inside have their own group
+            mine, m = table.column("mine").to_numpy(), min(m, 1)
+            sim[mine[:, None] == mine[None, :]] = -2
         if m < 1:
             return _PAIRS.empty_table()
         top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-        u = np.repeat(ids, m)
-        return _emit([(u, ids[top].ravel(), np.take_along_axis(sim, top, 1).ravel(), np.zeros(len(u), bool))]
-                     + _links(ids, sim >= threshold))
+        u, v, s = np.repeat(ids, m), ids[top].ravel(), np.take_along_axis(sim, top, 1).ravel()
+        some = s > -2
+        return _emit([(u[some], v[some], s[some], np.zeros(some.sum(), bool))] + _links(ids, sim >= threshold))
 
     key = ["cell", "label", "dim"]
     cells = materialize(nodes.select("node", "label", "dim", "unit").mapInArrow(
         dealt, "cell long, label string, dim int, node long, unit binary"), "nn-cells")
-    sizes = cells.groupBy(*key).count()
-    split = cells.join(sizes, key).withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / CELL_MAX)))
-    return split.select(*key, "sub", "node", "unit").groupBy(*key, "sub").applyInArrow(compared, PAIRS)
+    large = materialize(cells.groupBy(*key).count().where(F.col("count") > BLOCK), "nn-large-cells")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    blocks = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
+    split = cells.join(large, key, "left").withColumn("blocks", blocks)
+    split = split.withColumn("mine", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select(*key, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "unit")
+    return split.groupBy(*key, "i", "j").applyInArrow(compared, PAIRS)
 
 
 def _lists(pairs: DataFrame, k: int, k_max: int, threshold: float) -> DataFrame:

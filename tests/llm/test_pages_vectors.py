@@ -186,3 +186,13 @@ def test_embedding_query(spark, sf):
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.queries()["op5_embedding_near_dedup"](spark, sf).collect()}
     want = {r[0]: w for r, w in zip(rows, brute_links(rows, 0.98))}
     assert got == want
+
+
+def test_dense_group_across_blocks_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 100)
+    monkeypatch.setattr(nn_descent, "AUDIT_NODES", 0)                # the audit mends nothing here
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(64)
+    rows = [(i, (centre + rng.standard_normal(64) * 0.001).tolist(), 1) for i in range(600)]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(599, 0)}
