@@ -9,8 +9,10 @@ Every comparison that finds a link also leaves a link row: those of one spanning
 list or cell, so dense groups never emit all pairs.
 
 Rounds end when the lists no longer improve. Then recall is audited: a bounded sample of
-nodes is compared with all nodes, and if too few of its links lie within the components
-found, further cells and rounds follow (missing links found by the audit are kept).
+nodes, drawn anew each time and from every label alike (nodes without a link, in small and in
+large components), is compared with all nodes. Recall is the mean over nodes of the share of
+links that lie within a component. Where a label falls short, further cells and rounds follow,
+and after the last attempt the run fails. Missing links found by the audit are kept, always.
 
 At last the links within each component are counted exactly, by matrix products of blocks
 of ``BLOCK`` nodes that return one count per node. So lists may be short, while counts are not.
@@ -18,8 +20,6 @@ of ``BLOCK`` nodes that return one count per node. So lists may be short, while
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,7 +30,8 @@ from flowlens.llm.graph import connected_components
 
 BLOCK = 1024
 BROADCAST_ROWS = 100_000
-AUDIT_NODES = 256
+AUDIT_NODES = 256              # of a label and kind of component
+AUDIT_MAX = 4096               # in all
 
 
 def _units(col) -> np.ndarray:
@@ -177,11 +178,25 @@ def _refine(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Dat
     return lists.select("near").mapInArrow(joined, PAIRS)
 
 
-def _audit(nodes: DataFrame, comp: DataFrame, threshold: float) -> tuple[float, DataFrame]:
-    """Recall of a sample's links (share that lies within one component), and the missing links."""
-    rooted = nodes.join(comp, "node", "left").select("node", "label", "dim", "unit", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "nn-rooted")
-    sample = rooted.orderBy(F.xxhash64("node", F.lit(17))).limit(AUDIT_NODES).collect()        # bounded
+def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, attempt: int) -> tuple[float, DataFrame]:
+    """Least recall of a label, from a sample, and the sample's missing links.
+
+    Recall is the mean, over nodes that have links, of the share that lies within one component."""
+    sizes = comp.groupBy("root").agg(F.count("*").alias("members"))
+    rooted = nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left")
+    kind = F.when(F.col("members").isNull(), 0).when(F.col("members") <= 10, 1).otherwise(2)
+    rooted = materialize(rooted.select("node", "label", "dim", "unit", "root", kind.alias("kind")), "nn-rooted")
+    strata = ["label", "dim", "kind"]
+    counts = rooted.groupBy(*strata).agg(F.count("*").alias("stratum"))
+    if counts.count() <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
+    dice = F.pmod(F.xxhash64("node", F.lit(17 + attempt)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rooted.join(counts, strata).withColumn("dice", dice).where(F.col("dice") * F.col("stratum") < AUDIT_NODES)
+    turn = F.row_number().over(Window.partitionBy(*strata).orderBy("dice", "node"))     # about AUDIT_NODES of each
+    sample = drawn.withColumn("turn", turn).orderBy("turn", F.xxhash64(*strata, F.lit(attempt)), "node").limit(AUDIT_MAX).collect()
+    weight: dict[tuple, list] = {}
+    for r in sample:
+        weight.setdefault((r.label, r.dim, r.kind), [r.stratum, 0])[1] += 1
     held: dict[tuple, list] = {}
     for r in sample:
         held.setdefault((r.label, r.dim), []).append((r.node, r.root, bytes(r.unit)))
@@ -203,16 +218,25 @@ def _audit(nodes: DataFrame, comp: DataFrame, threshold: float) -> tuple[float,
                 s_ids, s_roots, s = mine[key]
                 near = (_units(part.column("unit")) @ s.T >= threshold) & (ids[:, None] != s_ids[None, :])
                 apart = near & (roots[:, None] != s_roots[None, :])
-                # one row with the numbers of links and of missing ones; a missing link is a row of its own
+                # a row per sampled node with its links and how many are missing; a missing link is a row of its own
                 i, j = np.nonzero(apart)
                 pieces.append((ids[i], s_ids[j], np.zeros(len(i)), np.ones(len(i), bool)))
-                pieces.append((np.array([near.sum()]), np.array([apart.sum()]), np.zeros(1), np.zeros(1, bool)))
+                some = np.flatnonzero(near.any(axis=0))
+                pieces.append((s_ids[some], near[:, some].sum(axis=0), apart[:, some].sum(axis=0).astype(float), np.zeros(len(some), bool)))
             yield from _emit(pieces).combine_chunks().to_batches()
 
     got = materialize(rooted.mapInArrow(compared, PAIRS), "nn-audit")
-    sums = got.where("not link").agg(F.sum("u"), F.sum("v")).first()
-    total, missing = int(sums[0] or 0), int(sums[1] or 0)
-    return (1 - missing / total if total else 1.0), got.where("link").select("u", "v")
+    sums = {r.u: (r.links, r.missing) for r in got.where("not link").groupBy("u").agg(
+        F.sum("v").alias("links"), F.sum("sim").alias("missing")).collect()}          # one row per sampled node at most
+    groups: dict[tuple, list] = {}
+    for r in sample:
+        if r.node in sums:
+            links, missing = sums[r.node]
+            size, taken = weight[r.label, r.dim, r.kind]
+            mean = groups.setdefault((r.label, r.dim), [0.0, 0.0])
+            mean[0] += size / taken * (1 - missing / links)
+            mean[1] += size / taken
+    return min((a / b for a, b in groups.values()), default=1.0), got.where("link").select("u", "v")
 
 
 def _count_links(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
@@ -292,12 +316,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             graph = materialize(_lists(graph.unionByName(pairs.where("not link").select("u", "v", "sim")), k, k_max, threshold), "nn-graph")
         links = materialize(links.unionByName(graph.where(F.col("sim") >= threshold).select("u", "v")).distinct(), "nn-links")
         comp = materialize(connected_components(links), "nn-comp")
-        found, missing = _audit(nodes, comp, threshold)
+        found, missing = _audit(nodes, comp, threshold, attempt)
         links = links.unionByName(missing)
         if found >= recall:
             break
     else:
-        warnings.warn(f"audited recall {found:.3f} after {attempts} attempts", stacklevel=2)
+        raise RuntimeError(f"audited recall {found:.3f} of a label after {attempts} attempts, {recall} asked for")
+    if missing.limit(1).count():
+        comp = materialize(connected_components(links), "nn-comp")
     counts = _count_links(nodes, comp, threshold)
     rooted = nodes.join(comp, "node", "left").join(counts, "node", "left").select(
         "node", "n", "first", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))

@@ -196,3 +196,28 @@ def test_dense_group_across_blocks_is_one_component(spark, monkeypatch):
     rows = [(i, (centre + rng.standard_normal(64) * 0.001).tolist(), 1) for i in range(600)]
     got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(599, 0)}
+
+
+def test_links_of_the_audit_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "_start", lambda nodes, *a: nodes.sparkSession.createDataFrame([], nn_descent.PAIRS))
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((20, 8))
+    rows = [(i, (base[i // 2] + rng.standard_normal(8) * 0.001).tolist(), i // 20) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = nn_descent.near_duplicates(df, recall=0.0, attempts=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (1, i - i % 2) for i in range(40)}
+    with pytest.raises(RuntimeError):
+        nn_descent.near_duplicates(df, attempts=1)
+
+
+def test_audit_counts_small_groups_of_each_label(spark):
+    rng = np.random.default_rng(13)
+    hot, cold = rng.standard_normal(8), rng.standard_normal((5, 8))
+    unit = lambda x: (x / np.linalg.norm(x)).tobytes()
+    rows = [(i, "hot", 8, unit(hot + rng.standard_normal(8) * 0.001)) for i in range(300)]
+    rows += [(1000 + i, "cold", 8, unit(cold[i // 2] + rng.standard_normal(8) * 0.001)) for i in range(10)]
+    nodes = spark.createDataFrame(rows, "node long, label string, dim int, unit binary")
+    comp = spark.createDataFrame([(i, 0) for i in range(300)], "node long, root long")     # no pair of the cold label is found
+    found, missing = nn_descent._audit(nodes, comp, 0.98, 0)
+    assert found == 0
+    assert {tuple(sorted(r)) for r in missing.collect()} == {(1000 + i, 1001 + i) for i in range(0, 10, 2)}
