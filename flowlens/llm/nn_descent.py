@@ -2,7 +2,8 @@
 
 Vectors are compared within their label only. Equal vectors of a label collapse to one node
 first. A neighbour graph is started from cells of random hyperplanes (a cell above ``BLOCK``
-nodes is compared block by block, every pair of its blocks) and refined by joins: every node's neighbours are
+nodes is compared block by block, every pair of its blocks; labels up to ``BLOCK`` nodes are one
+cell) and of random sets of a label, and refined by joins: every node's neighbours are
 compared with each other, and whoever is nearer than a node's last neighbour enters its list.
 A list holds the ``k`` nearest; if it is saturated (all of them links), it grows up to ``k_max``.
 Every comparison that finds a link also leaves a link row: those of one spanning forest per
@@ -89,20 +90,31 @@ def _links(nodes: np.ndarray, near: np.ndarray) -> list[tuple]:
     return [(nodes[f[:, 0]], nodes[f[:, 1]], np.ones(len(f)), np.ones(len(f), bool))] if len(f) else []
 
 
-def _start(nodes: DataFrame, n: int, tables: range, k: int, threshold: float) -> DataFrame:
-    """Pairs from cells: each node's ``k`` nearest of its cell, and links."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n) / 128))))
+def _start(nodes: DataFrame, tables: range, k: int, threshold: float) -> DataFrame:
+    """Pairs from cells: each node's ``k`` nearest of its cell, and links.
+
+    A label has hyperplanes by its own count; one of up to ``BLOCK`` nodes has none and is compared whole,
+    in the first table. Nodes of other labels also meet a random set of their label once, so that all have neighbours."""
     cells_schema = pa.schema([("cell", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("node", pa.int64()), ("unit", pa.binary())])
 
     def dealt(it):
         for b in it:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims).tolist():
-                part = b.filter(pa.array(dims == d))
-                x = _units(part.column("unit"))
-                for t in tables:
-                    planes = np.random.default_rng((7919, t, d)).standard_normal((d, bits))
-                    cell = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) + (np.int64(t) << 40) if bits else np.full(len(x), t << 40)
+            dims, counts = b.column("dim").to_numpy(), b.column("count").to_numpy()
+            bits_of = np.where(counts > BLOCK, np.ceil(np.log2(np.maximum(counts, 128) / 128)), 0).astype(np.int64)
+            for d, bits in np.unique(np.stack([dims, bits_of], 1), axis=0).tolist():
+                part = b.filter(pa.array((dims == d) & (bits_of == bits)))
+                x, node = _units(part.column("unit")), part.column("node").to_numpy()
+                made = []
+                if bits:
+                    for t in tables:
+                        planes = np.random.default_rng((7919, t, d)).standard_normal((d, bits))
+                        made.append(((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) + (np.int64(t) << 40))
+                    odd = np.uint64(2 * np.random.default_rng((7919, tables.start)).integers(1 << 62) + 1)
+                    sets = np.maximum(1, part.column("count").to_numpy() // 128).astype(np.uint64)
+                    made.append(-1 - ((node.view(np.uint64) * odd >> np.uint64(24)) % sets).astype(np.int64))
+                elif tables.start == 0:
+                    made.append(np.zeros(len(x), np.int64))
+                for cell in made:
                     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), part.column("label"), part.column("dim"),
                                                       part.column("node"), part.column("unit")], schema=cells_schema)
 
@@ -123,7 +135,11 @@ def _start(nodes: DataFrame, n: int, tables: range, k: int, threshold: float) ->
         return _emit([(u[some], v[some], s[some], np.zeros(some.sum(), bool))] + _links(ids, sim >= threshold))
 
     key = ["cell", "label", "dim"]
-    cells = materialize(nodes.select("node", "label", "dim", "unit").mapInArrow(
+    many = materialize(nodes.groupBy("label", "dim").count().where(F.col("count") > BLOCK), "nn-large-labels")
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    counted = nodes.join(many, ["label", "dim"], "left").select("node", "label", "dim", "unit", F.coalesce("count", F.lit(0)).alias("count"))
+    cells = materialize(counted.mapInArrow(
         dealt, "cell long, label string, dim int, node long, unit binary"), "nn-cells")
     large = materialize(cells.groupBy(*key).count().where(F.col("count") > BLOCK), "nn-large-cells")
     if large.count() <= BROADCAST_ROWS:
@@ -294,11 +310,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                  F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0))))
     src = materialize(src.withColumn("node", key), "nn-vectors")
     nodes = materialize(_nodes(src.where("node is not null")), "nn-nodes")
-    n = nodes.count()
     links = graph = comp = None
     done = 0
     for attempt in range(attempts):
-        pairs = materialize(_start(nodes, n, range(done, done + tables), k, threshold), "nn-start")
+        pairs = materialize(_start(nodes, range(done, done + tables), k, threshold), "nn-start")
         done += tables
         new_links = pairs.where("link").select("u", "v")
         links = new_links if links is None else links.unionByName(new_links)

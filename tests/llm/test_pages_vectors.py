@@ -221,3 +221,15 @@ def test_audit_counts_small_groups_of_each_label(spark):
     found, missing = nn_descent._audit(nodes, comp, 0.98, 0)
     assert found == 0
     assert {tuple(sorted(r)) for r in missing.collect()} == {(1000 + i, 1001 + i) for i in range(0, 10, 2)}
+
+
+def test_small_labels_of_a_large_table_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT_NODES", 0)                # the audit mends nothing here
+    rng = np.random.default_rng(14)
+    rows = [(10_000 + i, rng.standard_normal(16).tolist(), "hot") for i in range(3000)]
+    for i in range(80):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        rows += [(2 * i, a.tolist(), f"cold {i}"), (2 * i + 1, (a + 0.6 * b).tolist(), f"cold {i}")]       # cosine 0.857
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(df, threshold=0.85).collect()}
+    assert {i: got[i] for i in range(160)} == {i: (1, i - i % 2) for i in range(160)}
