@@ -47,7 +47,8 @@ class TextTokenizer:
 
     A plain byte-level BPE whose merges are numbered in their order is the same as a table of ranks,
     with which ``tiktoken`` finds the same ids several times faster. Other files, and texts that hold
-    one of the added tokens, are encoded by ``tokenizers`` itself."""
+    one of the added tokens or on which ``tiktoken`` gives up (its regex has a backtracking limit,
+    which about a million characters of white space exceed), are encoded by ``tokenizers`` itself."""
 
     def __init__(self, model: bytes, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,10 +81,14 @@ class TextTokenizer:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.array([self.end_id], np.uint32)
-        if self.ranks is None or any(a in text for a in self.added):
+        ids = None
+        if self.ranks is not None and not any(a in text for a in self.added):
+            try:
+                ids = self.ranks.encode_to_numpy(text)
+            except ValueError:
+                pass
+        if ids is None:
             ids = self.tok.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.ranks.encode_to_numpy(text)
         return np.append(np.asarray(ids, np.uint32), np.uint32(self.end_id))
 
 

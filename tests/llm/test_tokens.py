@@ -135,3 +135,10 @@ def test_sentencepiece_query(spark):
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
         assert got[r.doc_id].n_tokens == len(ids)
+
+
+def test_long_runs_of_white_space():
+    t = Tokenizer.from_buffer(BPE)
+    tok = packing.TextTokenizer(BPE, 0)
+    for text in ("a" + " " * 2_000_000 + "b", "a" + "\n" * 2_000_000 + "b", "a" + " \n" * 300_000 + "b", " " * 99_999 + "b"):
+        assert tok.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids + [0]
