@@ -206,10 +206,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     """The documents with one of each near-duplicate group (that of the smallest id) kept.
 
     Rows with a null id are kept as they are: they can't be told apart from their copies. Of
-    rows that repeat a kept id the one of the smallest text stays. Texts meet the kept ids in
-    blocks by a hash of the id, dealt out as compressed packs."""
+    rows that repeat a kept id the one of the smallest text stays, without those whose text is a
+    copy of a document of a smaller id. Texts meet the kept ids in blocks by a hash of the id,
+    dealt out as compressed packs."""
     comp = near_duplicates(docs, id_col, text_col, **kw)
-    kept = materialize(comp.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
+    kept = materialize(comp.where("doc_id = component_id").select("doc_id", "fingerprint").distinct(), "simhash-kept")
+    words = {x: kw[x] for x in ("shingle", "seed") if x in kw}
     named = docs.where(F.col(id_col).isNotNull())
     n_blocks = count_blocks(named, text_col, block_bytes)
 
@@ -227,11 +229,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         ids = rows.column(id_col).cast(pa.int64()).to_numpy()
         at = np.flatnonzero(np.isin(ids, right.column("doc_id").to_numpy()))
         if len(np.unique(ids[at])) < len(at):
+            _, inverse, times = np.unique(ids[at], return_inverse=True, return_counts=True)
+            again = np.flatnonzero(times[inverse] > 1)
+            own = set(zip(right.column("doc_id").to_pylist(), right.column("fingerprint").to_pylist()))
+            texts = rows.column(text_col).take(pa.array(at[again])).to_pylist()
+            copies = [i for i, t in zip(again.tolist(), texts) if (int(ids[at[i]]), f"{fingerprint(t, **words):016x}") not in own]
+            at = np.delete(at, copies)
             texts = rows.column(text_col).take(pa.array(at)).to_pylist()
             order = sorted(range(len(at)), key=lambda i: (ids[at[i]], texts[i] is not None, texts[i] or ""))
             at = np.sort([at[i] for k, i in enumerate(order) if k == 0 or ids[at[i]] != ids[at[order[k - 1]]]])
         return rows.take(pa.array(at))
 
-    right = kept.select(block_of(F.col("doc_id")).alias("block"), "doc_id")
+    right = kept.select(block_of(F.col("doc_id")).alias("block"), "doc_id", "fingerprint")
     out = dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(chosen, schema)
     return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -108,3 +108,9 @@ def test_query_matches_brute_force(spark):
     want = brute(fps)
     for (i, _), f, c in zip(docs, fps, want):
         assert got[i].fingerprint == f"{f:016x}" and got[i].component_id == docs[c][0]
+
+
+def test_keep_one_takes_the_row_that_represents_the_group(spark):
+    rows = [(3, "a copied text of words"), (5, "a copied text of words"), (5, "some other words that nobody else has")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.keep_one(df).collect())) == [rows[0], rows[2]]
