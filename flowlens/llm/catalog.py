@@ -158,3 +158,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.nn_descent import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.token_counts import count_tokens
+    got = count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return got.withColumn("over_limit", F.col("n_tokens") > 2048)
