@@ -165,3 +165,47 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.token_counts import count_tokens
     got = count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return got.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def repeated_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """The task's rewrite of a tenth of the documents: (first word, period) by the id's CRC-32; a null id has none."""
+    import zlib
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or n == 0:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+# CRC-32 of the id's decimal digits, bit by bit
+_CRC = ("xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint)),"
+        " lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint)")
+
+
+@query("op12_periodic_runs", rf"""
+with t as (select doc_id, {_CRC} as h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as o from documents),
+s as (select doc_id, o, len(o) as n, h, h // 10 as g from t),
+p as (select *, case when h % 10 = 0 and n > 0 then g % n else n end as a, 1 + (n - case when n > 0 then g % n else 0 end) // (3 + g % 8) as p from s),
+w as (select doc_id, n, list_transform(range(n), lambda i: case when i >= a then o[(a + (i - a) % p + 1)::int] else o[(i + 1)::int] end) as w from p),
+u as (select doc_id, n, w, unnest(range(0, n - 15)) as i from w where n >= 24),
+x as (select doc_id, n, i, array_to_string(list_slice(w, i + 1, i + 16), ' ') as s from u),
+e as (select l.doc_id, l.i, r.i - l.i as q from x l join x r on l.doc_id = r.doc_id and l.s = r.s and r.i > l.i where 3 * (r.i - l.i) <= l.n),
+k as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from e),
+b as (select doc_id, q, min(i) as a, max(i) + 16 - min(i) + q as len from k group by doc_id, q, island),
+c as (select * from b where len >= greatest(24, 3 * q)),
+r as (select * from c where not exists (select 1 from c d where d.doc_id = c.doc_id and d.q < c.q and d.a <= c.a and d.a + d.len >= c.a + c.len)),
+d as (select r.doc_id, r.a, r.len, r.q, row_number() over (partition by r.doc_id order by r.len::double / r.q desc, a, q) as rk from r),
+f as (select doc_id, count(*) as n_runs, max(case when rk = 1 then a end) as start, max(case when rk = 1 then len end) as length,
+    max(case when rk = 1 then q end) as period, string_agg(a || ',' || len || ',' || q || chr(10), '' order by a, q) as lines from d group by doc_id),
+gone as (select distinct doc_id, unnest(range(a + q, a + len)) as i from r),
+words as (select doc_id, unnest(w) as word, unnest(range(n)) as i from w),
+z as (select words.doc_id, string_agg(word, ' ' order by words.i) as kept from words anti join gone on words.doc_id = gone.doc_id and words.i = gone.i group by words.doc_id)
+select w.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+  from w left join f on f.doc_id = w.doc_id left join z on z.doc_id = w.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.periodic_runs import collapse_runs, with_digests
+    return with_digests(collapse_runs(read_table(spark, sf_dir, "documents"), min_length=24, min_exponent=3, rewrite=repeated_tail))
