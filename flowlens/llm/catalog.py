@@ -209,3 +209,26 @@ select w.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * le
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.periodic_runs import collapse_runs, with_digests
     return with_digests(collapse_runs(read_table(spark, sf_dir, "documents"), min_length=24, min_exponent=3, rewrite=repeated_tail))
+
+
+@query("op13_collocations", r"""
+with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\n\x0B\f\r]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as ws from d),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) as phrase
+  from w, (select unnest(range(1, 6)) as k) ks where len(ws) >= k),
+f as (select lang, k, phrase, count(*) as c from g group by lang, k, phrase),
+t as (select lang, cast(sum(c) as bigint) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, c as a, string_split(phrase, ' ') as ws from f where k > 1 and c >= 100),
+x as (select lang, k, phrase, a, ws, unnest(range(1, k)) as cut from c),
+y as (select x.lang, x.k, x.phrase, a, cut, l.c as l, r.c as r, n, cast((1000::hugeint * a * n) // (l.c::hugeint * r.c) as bigint) as score from x
+  join f l on l.lang = x.lang and l.k = cut and l.phrase = array_to_string(x.ws[:cut], ' ')
+  join f r on r.lang = x.lang and r.k = x.k - cut and r.phrase = array_to_string(x.ws[cut + 1:], ' ') join t on t.lang = x.lang),
+z as (select *, row_number() over (partition by lang, phrase order by score, cut) as best from y),
+v as (select * from z where best = 1 and not exists (select 1 from c q where q.lang = z.lang and q.k > z.k and 100 * q.a >= 100 * z.a
+    and contains(' ' || q.phrase || ' ', ' ' || z.phrase || ' '))),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from v)
+select * from o where rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.collocations import mine
+    return mine(read_table(spark, sf_dir, "documents"), support=100, max_words=5, top=2000)
