@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import materialize, shuffle_parts
 from flowlens.session import discard
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 FILTER_BITS = 26
 BREAK = b"\xff"                # never part of UTF-8
 NO_LANG = "und"
@@ -44,7 +44,7 @@ NO_LANG = "und"
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 
 _FOLD = bytes(255 if c in PIECE_ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ROWS = "lang string, words int, phrase string, n long"
+_ROWS = "key string, n long"    # phrase, tab, language; phrases hold no tab
 
 
 def lowered_support(support: int, rate: float, miss: float) -> int:
@@ -237,17 +237,17 @@ class Miner:
                 chunk = Chunk(iter(folded), lang)
                 folded.clear()
                 if not sample:
-                    yield _rows(lang, 0, [b""], np.array([np.count_nonzero(chunk.ids)]))
-                for k, strings, n in counter(chunk, *tables, max_words):
+                    yield _rows(lang, [b""], np.array([np.count_nonzero(chunk.ids)]))
+                for _, strings, n in counter(chunk, *tables, max_words):
                     for i in range(0, len(strings), 100_000):
-                        yield _rows(lang, k, strings[i:i + 100_000], n[i:i + 100_000])
+                        yield _rows(lang, strings[i:i + 100_000], n[i:i + 100_000])
 
         def run(it):
             held: dict[str, list[bytes]] = {}
             size = 0
             for b in it:
-                for doc_id, lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                    folded = pieces_of(text)
+                for doc_id, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    folded = pieces_of(text.as_py())
                     if sample and folded:
                         folded = draw_pieces(folded, rate, doc_id or 0)
                     if not folded:
@@ -262,7 +262,13 @@ class Miner:
             if held:
                 yield from flush(held)
 
-        return self.docs.mapInArrow(run, _ROWS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        # chunks are summed already: dealt out as they are, without another map-side sum that holds them in memory
+        summed = (self.docs.mapInArrow(run, _ROWS).repartition(shuffle_parts(self.spark), "key")
+                  .groupBy("key").agg(F.sum("n").alias("n")))
+        # filters on n and words come before the key is parted
+        phrase = F.substring_index("key", "\t", 1)
+        return summed.select(F.expr("substr(key, instr(key, '\t') + 1)").alias("lang"),
+                             F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), phrase.alias("phrase"), "n")
 
     def filter_of(self, phrases: DataFrame, words: list[int]) -> Filter:
         """Bit tables of the phrases of the given lengths. Built by slices of the table, so the driver gets
@@ -347,10 +353,10 @@ def phrase_hash(phrase: str, lang: str) -> int:
     return h
 
 
-def _rows(lang: str, k: int, strings: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(strings), pa.string()), pa.array(np.full(len(strings), k, np.int32)),
-                                       pa.array(strings, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
-                                      names=["lang", "words", "phrase", "n"])
+def _rows(lang: str, strings: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    end = b"\t" + lang.encode()
+    return pa.RecordBatch.from_arrays([pa.array([p + end for p in strings], pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
+                                      names=["key", "n"])
 
 
 def score_phrases(found: DataFrame, max_words: int) -> DataFrame:
@@ -392,7 +398,7 @@ def first_of_each(phrases: DataFrame, top: int) -> DataFrame:
 
 
 def mine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = 100, max_words: int = 5,
-         top: int = 2000, rate: float = 0.25, miss: float = 1e-6, filter_bits: int = FILTER_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+         top: int = 2000, rate: float = 0.25, miss: float = 1e-4, filter_bits: int = FILTER_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to ``max_words`` words.
 
     A-Z are lower-cased; pieces end at ``.,;:!?`` and line ends, words are runs of other than space and tab.
