@@ -214,3 +214,100 @@ def q_epoch_metrics(spark, sf):
     r1 = text_classifier(refit_train, train, weight="weight").withColumn("round", F.lit(1))
     both = r0.unionByName(r1).withColumn("loss", FB.log_loss())
     return epoch_metrics(both, "round", "label", "pred", "loss")
+
+
+# ---- warm-started refit: mini-batch training that goes on from the saved weights
+
+WARM_FEATURES = 1 << 12
+WARM_STEPS = 4
+WARM_EPOCHS = 3
+WARM_RATE = 8.0
+
+
+def _warm(spark, sf):
+    """(features of all rows with their part, weights after each epoch of the first training, weights after
+    each epoch over the corrections, corrections)."""
+    from flowlens.operators import warm_start as W
+    from flowlens.session import scratch_path
+    sp = _docs(spark, sf)
+    test = sp.where(F.col("split") == "test")
+    parts = FB.feedback_eval_split(test.select("row_id", "label"), "row_id", "label", FB.EVAL_FRACTION, 42)
+    part = F.coalesce(F.col("part"), F.lit("train"))
+    rows = W.feature_table(sp.join(parts.select("row_id", "part"), "row_id", "left").withColumn("part", part),
+                           n_features=WARM_FEATURES, keep=("row_id", "label", "part"))
+    first = W.train(rows.where("part = 'train'"), None, WARM_EPOCHS, WARM_STEPS, WARM_RATE, 42, WARM_FEATURES)
+    path = W.save_weights(spark, first[-1], scratch_path(spark, "weights"))
+    pred = W.score(rows.where("part = 'feedback'"), first[-1], ("row_id", "label", "idx", "val"))
+    corrections = materialize(FB.collect_corrections(pred).select("row_id", "label", "idx", "val"), "corrections")
+    again = W.train(corrections, W.load_weights(spark, path, WARM_FEATURES), WARM_EPOCHS, WARM_STEPS, WARM_RATE, 43, WARM_FEATURES)
+    return rows, first, again, corrections
+
+
+def _step_sql(name: str, src: str, before: str, seed: int) -> str:
+    """CTEs of one training over ``src`` from the weights ``before``: {name}_e0 ... after each epoch. All
+    steps of an epoch are written out; a batch without rows leaves the weights as they are."""
+    out, w = [], before
+    for e in range(WARM_EPOCHS):
+        out.append(f"""{name}_k{e} as materialized (select row_id, (row_number() over (order by {sg.h(seed * 1000003 + e)}, row_id) - 1)
+  // ((count(*) over () + {WARM_STEPS - 1}) // {WARM_STEPS}) as step from (select distinct row_id from {src}) x)""")
+        for s in range(WARM_STEPS):
+            new = f"{name}_e{e}" if s == WARM_STEPS - 1 else f"{name}_w{e}_{s}"
+            out.append(f"""{new}_z as (select f.row_id, any_value(f.label) as y, sum(f.val * {w}.w) as z from {src} f
+  join {name}_k{e} k on k.row_id = f.row_id and k.step = {s} join {w} on {w}.idx = f.idx group by f.row_id),
+{new}_g as (select f.idx, sum((1e0 / (1e0 + exp(-z.z)) - z.y) * f.val) / (select count(*) from {new}_z) as g
+  from {src} f join {new}_z z on z.row_id = f.row_id group by f.idx),
+{new} as materialized (select {w}.idx, {w}.w - {WARM_RATE}e0 * coalesce(g.g, 0) as w from {w} left join {new}_g g on g.idx = {w}.idx)""")
+            w = new
+    return ",\n".join(out)
+
+
+WARM_SQL = DOC_SPLIT + ",\nte_all as (select row_id, label from sp where split = 'test')," + _parts_sql()[1:] + f""",
+tok as (select sp.row_id, sp.label, coalesce(case when fe.split = 'test' then 'eval' when fe.split = 'train' then 'feedback' end, 'train') as part,
+  unnest(regexp_extract_all(sp.text, '{PAT}')) as t from sp left join fe on fe.row_id = sp.row_id),
+hashed as (select row_id, label, part, ('0x' || substr(md5(t), 1, 8))::bigint % {WARM_FEATURES} as idx, cast(count(*) as double) as c
+  from tok group by all),
+feat as materialized (select row_id, label, part, idx, c / sqrt(sum(c * c) over (partition by row_id)) as val from hashed
+  union all select sp.row_id, label, coalesce(case when fe.split = 'test' then 'eval' when fe.split = 'train' then 'feedback' end, 'train'),
+    {WARM_FEATURES}, 1e0 from sp left join (select row_id, split from fe) fe on fe.row_id = sp.row_id),
+zero as materialized (select unnest(range({WARM_FEATURES + 1})) as idx, 0e0 as w),
+ftr as materialized (select * from feat where part = 'train'),
+{_step_sql('a', 'ftr', 'zero', 42)},
+fpred as (select f.row_id, any_value(label) as label, sum(val * w) as z from feat f join a_e{WARM_EPOCHS - 1} w on w.idx = f.idx where part = 'feedback' group by f.row_id),
+fco as materialized (select * from feat where row_id in (select row_id from fpred where (case when z > 0 then 1 else 0 end) <> label)),
+{_step_sql('b', 'fco', f'a_e{WARM_EPOCHS - 1}', 43)}"""
+
+
+def _warm_score_sql(src: str, w: str) -> str:
+    return (f"select row_id, any_value(label) as label, case when sum(val * w) > 0 then 1 else 0 end as pred, sum(val * w) as log_odds, "
+            f"1e0 / (1e0 + exp(-sum(val * w))) as p1 from {src} f join {w} on {w}.idx = f.idx group by row_id")
+
+
+@query("refit_warm_start", sql=WARM_SQL + f",\nlast as ({_warm_score_sql('feat', f'b_e{WARM_EPOCHS - 1}')})\n"
+       + _out("last") + " where row_id in (select row_id from feat where part = 'eval')")
+def q_refit_warm_start(spark, sf):
+    """The evaluation rows, scored by the weights that went on from the saved ones over the corrections."""
+    from flowlens.operators import warm_start as W
+    rows, _, again, _ = _warm(spark, sf)
+    return _round(W.score(rows.where("part = 'eval'"), again[-1]))
+
+
+_LOSS_SQL = "-(label * ln(greatest(least(p1, 1 - 1e-15), 1e-15)) + (1 - label) * ln(1 - greatest(least(p1, 1 - 1e-15), 1e-15)))"
+_ROUNDS_SQL = " union all ".join(f"select {i} as round, * from ({_warm_score_sql(src, f'{p}_e{e}')}) x" for i, (p, e, src) in enumerate(
+    [("a", e, "ftr") for e in range(WARM_EPOCHS)] + [("b", e, "fco") for e in range(WARM_EPOCHS)]))
+_F1_SQL = sg.sdiv("2 * sum(case when label = 1 and pred = 1 then 1 else 0 end)", "sum(label) + sum(pred)")
+
+
+@query("warm_start_epochs", sql=WARM_SQL + f""",
+rounds as ({_ROUNDS_SQL})
+select cast(round as int) as round, count(*) as n, {sg.r(sg.sdiv('sum(case when label = pred then 1 else 0 end)', 'count(*)'))} as accuracy,
+  {sg.r(_F1_SQL)} as f1, {sg.r(f'avg({_LOSS_SQL})')} as mean_loss from rounds group by round""")
+def q_warm_start_epochs(spark, sf):
+    """``epoch_metrics`` of the real rounds: the epochs of the first training on its rows, then those of
+    the further training on the corrections."""
+    from flowlens.operators import warm_start as W
+    rows, first, again, corrections = _warm(spark, sf)
+    out = None
+    for i, (src, w) in enumerate([(rows.where("part = 'train'"), w) for w in first] + [(corrections, w) for w in again]):
+        one = W.score(src, w).withColumn("round", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return epoch_metrics(out.withColumn("loss", FB.log_loss()), "round", "label", "pred", "loss")
