@@ -60,7 +60,9 @@ def q_bernoulli_nb(spark, sf):
 # ---------------------------------------------------------------- metric operators on fixed predictions
 
 from flowlens.operators import classifiers as CL  # noqa: E402
+from flowlens.operators import exact_tree as ET  # noqa: E402
 from flowlens.operators import metrics as M  # noqa: E402
+from flowlens.operators import newton as NW  # noqa: E402
 from flowlens.operators.knn import knn_classify, knn_top_k  # noqa: E402
 from flowlens.operators.naive_bayes import gaussian_nb_logits  # noqa: E402
 from flowlens.plans import sqlgen as sg  # noqa: E402
@@ -154,24 +156,88 @@ def q_knn(spark, sf):
     return knn_classify(tr, te, "vec", "row_id", "label", 5)
 
 
-# ---------------------------------------------------------------- MLlib models (rows-only checks)
+# ---------------------------------------------------------------- trees, forest, logistic regression
 
 @query("decision_tree")
 def q_decision_tree(spark, sf):
     train, test = scaled_parts(spark, sf)
-    return CL.decision_tree(train, test, FEATS)
+    return ET.decision_tree(train, test, FEATS)
+
+
+_SPLIT_PARTS = " union all ".join(f"select {i} as c, '{c}' as name, cast({c} as double) as v, label from tr" for i, c in enumerate(FEATS))
+
+
+@query("tree_first_split", sql=PARTS_SQL + f""",
+cells as ({_SPLIT_PARTS}),
+vals as (select c, name, v, cast(count(*) as double) as n, cast(sum(label) as double) as p from cells group by all),
+run as (select *, sum(n) over w as n0, sum(p) over w as p0, lead(v) over (partition by c order by v) as nv,
+  sum(n) over (partition by c) as an, sum(p) over (partition by c) as ap from vals window w as (partition by c order by v rows between unbounded preceding and current row)),
+best as (select *, (p0 * p0 + (n0 - p0) * (n0 - p0)) / n0 + ((ap - p0) * (ap - p0) + ((an - n0) - (ap - p0)) * ((an - n0) - (ap - p0))) / (an - n0) as s
+  from run where nv is not null order by s desc, c, v limit 1)
+select name as "column", {sg.r('v + (nv - v) / 2')} as threshold, cast(n0 as bigint) as n0, cast(p0 as bigint) as p0,
+  cast(an - n0 as bigint) as n1, cast(ap - p0 as bigint) as p1 from best""")
+def q_tree_first_split(spark, sf):
+    """The root of the decision tree, by the level-wise split search over all rows."""
+    train, _ = scaled_parts(spark, sf)
+    return ET.root_split(train, FEATS)
 
 
 @query("random_forest")
 def q_random_forest(spark, sf):
     train, test = scaled_parts(spark, sf)
-    return CL.random_forest(train, test, FEATS)
-
-
-@query("logistic_regression")
+    return ET.random_forest(train, test, FEATS)
+
+
+NEWTON_STEPS = 10
+
+
+def _newton_sql(cols: list[str], steps: int = NEWTON_STEPS) -> str:
+    """CTEs up to ``nw{steps}``: one row of weights w0.. (intercept last), by Newton steps written out; each solves
+    its normal equations by elimination."""
+    d = len(cols) + 1
+    x = [f"cast({c} as double)" for c in cols] + ["1e0"]
+    out = [f"xs as materialized (select cast(label as double) as y, {', '.join(f'{e} as x{i}' for i, e in enumerate(x))} from tr)",
+           f"nw0 as materialized (select {', '.join(f'0e0 as w{i}' for i in range(d))})"]
+    for t in range(steps):
+        z = " + ".join(f"x{i} * w{i}" for i in range(d))
+        g = [f"sum((p - y) * x{i})" + (f" + any_value(w{i})" if i < d - 1 else "") + f" as r{i}" for i in range(d)]
+        h = [f"sum(p * (1 - p) * x{i} * x{j})" + (" + 1e0" if i == j < d - 1 else "") + f" as a{i}_{j}" for i in range(d) for j in range(i, d)]
+        out.append(f"nz{t} as (select *, 1e0 / (1e0 + exp(-({z}))) as p from xs cross join nw{t})")
+        out.append(f"ne{t}_0 as materialized (select {', '.join(g + h)} from nz{t})")
+        for k in range(d - 1):                 # the matrix is symmetric: only its upper half is kept
+            a = [f"a{i}_{j} - a{k}_{i} / a{k}_{k} * a{k}_{j} as a{i}_{j}" for i in range(k + 1, d) for j in range(i, d)]
+            r = [f"r{i} - a{k}_{i} / a{k}_{k} * r{k} as r{i}" for i in range(k + 1, d)]
+            done = [f"a{i}_{j}" for i in range(k + 1) for j in range(i, d)] + [f"r{i}" for i in range(k + 1)]
+            out.append(f"ne{t}_{k + 1} as materialized (select {', '.join(a + r + done)} from ne{t}_{k})")
+        last = f"ne{t}_{d - 1}"
+        for i in range(d - 1, -1, -1):
+            rest = "".join(f" - a{i}_{j} * s{j}" for j in range(i + 1, d))
+            out.append(f"nb{t}_{i} as materialized (select *, (r{i}{rest}) / a{i}_{i} as s{i} from {last})")
+            last = f"nb{t}_{i}"
+        out.append(f"nw{t + 1} as materialized (select {', '.join(f'w{i} - s{i} as w{i}' for i in range(d))} from nw{t} cross join {last})")
+    return ",\n".join(out)
+
+
+_LR_Z = " + ".join([f"cast({c} as double) * w{i}" for i, c in enumerate(FEATS)] + [f"w{len(FEATS)}"])
+
+
+@query("logistic_regression", sql=PARTS_SQL + ",\n" + _newton_sql(FEATS) + f""",
+sz as (select row_id, label, {_LR_Z} as z from te cross join nw{NEWTON_STEPS})
+select row_id, label, case when z > 0 then 1 else 0 end as pred, {sg.r('1e0 / (1e0 + exp(-z))')} as p1 from sz""")
 def q_logistic_regression(spark, sf):
     train, test = scaled_parts(spark, sf)
-    return CL.logistic_regression(train, test, FEATS)
+    return NW.logistic_regression(train, test, FEATS)
+
+
+@query("logistic_weights", sql=PARTS_SQL + ",\n" + _newton_sql(FEATS) + "\n" + "\nunion all ".join(
+    f"select '{c}' as feature, {sg.r(f'w{i}')} as weight, 0e0 as gradient from nw{NEWTON_STEPS}" for i, c in enumerate(FEATS + ["intercept"])))
+def q_logistic_weights(spark, sf):
+    """The weights, and the gradient of the objective at them in the 8th digit after the point."""
+    train, _ = scaled_parts(spark, sf)
+    got = NW.fit(train, FEATS)
+    rows = [(c, float(w), float(g)) for c, w, g in zip(FEATS + ["intercept"], got["weights"], got["gradient"])]
+    out = spark.createDataFrame(rows, "feature string, weight double, gradient double")
+    return out.select("feature", rnd("weight").alias("weight"), rnd(F.abs("gradient"), 8).alias("gradient"))
 
 
 QUALITY_FLOOR = 0.02      # accuracy above that of always naming the larger class
@@ -181,13 +247,13 @@ QUALITY_FLOOR = 0.02      # accuracy above that of always naming the larger clas
 select m as model, (select count(*) from te) as n, (select count(*) from te where label = 1) as positives, true as better
   from (values ('decision_tree'), ('random_forest'), ('logistic_regression')) v(m)""")
 def q_tree_quality(spark, sf):
-    """What SQL can say of the MLlib fits: every test row is scored once with its own label, and the
+    """What SQL can say of the fits: every test row is scored once with its own label, and the
     accuracy beats the majority class by ``QUALITY_FLOOR``."""
     scaled = materialize(scaled_flows(spark, sf), "flows-scaled")
     train, test = scaled_parts(spark, sf, scaled)
     out = None
-    for name, fn in (("decision_tree", CL.decision_tree), ("random_forest", CL.random_forest),
-                     ("logistic_regression", CL.logistic_regression)):
+    for name, fn in (("decision_tree", ET.decision_tree), ("random_forest", ET.random_forest),
+                     ("logistic_regression", NW.logistic_regression)):
         pred = fn(train, test, FEATS)
         right = F.avg((F.col("pred") == F.col("label")).cast("double"))
         positive = F.avg(F.col("label").cast("double"))
@@ -314,8 +380,8 @@ def q_model_scoreboard(spark, sf):
             return df.select(key, label, F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"))
         return knn_classify(with_vec(tr), with_vec(te), "vec", key, label, 5)
 
-    for name, fn in (("decision_tree", CL.decision_tree), ("knn", knn_fit_predict),
-                     ("random_forest", CL.random_forest), ("logistic_regression", CL.logistic_regression)):
+    for name, fn in (("decision_tree", ET.decision_tree), ("knn", knn_fit_predict),
+                     ("random_forest", ET.random_forest), ("logistic_regression", NW.logistic_regression)):
         cvp = CL.cv_predict_mllib(fn, folded, FEATS, "label", "fold", "row_id", 5)
         m = M.binary_metrics(M.confusion_matrix(fn(train, test, FEATS, "label", "row_id")),
                              keep=(F.lit(name).alias("model"),))
