@@ -112,3 +112,39 @@ def pca_variance_total(spark, sf):
     rows = cumulative_variance(spark, sf).withColumn("before", before)
     return rows.agg(F.count("*").cast("int").alias("components"), rnd(F.sum("ratio")).alias("total"),
                     F.bool_and(F.col("before").isNull() | (F.col("ratio") <= F.col("before") + 1e-12)).alias("descending"))
+
+
+def _moments_sql() -> str:
+    values = ", ".join(f"x{i}" for i in range(DIM))
+    return _scaled_vectors_sql() + f""",
+u as (select row_id, unnest([{values}]) as x, unnest(range({DIM})) as i from sv where split = 'train'),
+m as (select i, avg(x) as m from u group by i),
+z as materialized (select row_id, u.i, x - m as x from u join m on m.i = u.i),
+c as materialized (select a.i, b.i as j, sum(a.x * b.x) / (count(*) - 1) as c from z a join z b on b.row_id = a.row_id group by a.i, b.i),
+c2 as materialized (select a.i, b.j, sum(a.c * b.c) as c from c a join c b on b.i = a.j group by a.i, b.j)
+select 1 as power, {sg.r('sum(c)', 8)} as moment from c where i = j union all select 2, {sg.r('sum(c * c)', 8)} from c
+union all select 3, {sg.r('sum(c.c * c2.c)', 8)} from c join c2 on c2.i = c.i and c2.j = c.j union all select 4, {sg.r('sum(c * c)', 8)} from c2"""
+
+
+@query("pca_moments", sql=_moments_sql())
+def pca_moments(spark, sf):
+    """Sums of powers of the eigenvalues, which SQL gets as traces of powers of the covariance matrix."""
+    from flowlens.functions.exprs import rnd
+    from flowlens.operators import pca as P
+    train, _ = _vector_parts(spark, sf)
+    values = P.fit(train, "vec")["eigenvalues"]
+    rows = [(k, float((values ** k).sum())) for k in range(1, 5)]
+    return spark.createDataFrame(rows, "power int, moment double").select("power", rnd("moment", 8).alias("moment"))
+
+
+@query("pca_residuals", sql=f"select cast(unnest(range({DIM})) as int) as component, 0e0 as residual, true as ordered")
+def pca_residuals(spark, sf):
+    """|C v - eigenvalue * v| of each component in the 8th digit, C v summed over the rows once more, and
+    whether the eigenvalues fall."""
+    from flowlens.functions.exprs import rnd
+    from flowlens.operators import pca as P
+    train, _ = _vector_parts(spark, sf)
+    fit = P.fit(train, "vec")
+    values = fit["eigenvalues"].tolist()
+    rows = [(i, float(r), i == 0 or values[i] <= values[i - 1]) for i, r in enumerate(P.residuals(train, fit, "vec"))]
+    return spark.createDataFrame(rows, "component int, residual double, ordered boolean").withColumn("residual", rnd("residual", 8))
