@@ -398,7 +398,7 @@ def first_of_each(phrases: DataFrame, top: int) -> DataFrame:
 
 
 def mine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = 100, max_words: int = 5,
-         top: int = 2000, rate: float = 0.25, miss: float = 1e-4, filter_bits: int = FILTER_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+         top: int = 2000, rate: float = 0.25, miss: float = 1e-2, filter_bits: int = FILTER_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to ``max_words`` words.
 
     A-Z are lower-cased; pieces end at ``.,;:!?`` and line ends, words are runs of other than space and tab.
