@@ -14,7 +14,6 @@ rate of false positives f (the share of its set bits to the power of ``HASHES``)
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +26,17 @@ HASHES = 2
 CHUNK_BYTES = 1 << 17
 # Odd multipliers of the slot hashes
 _FACTORS = (0x9E3779B1, 0x85EBCA77)
-_LETTER = re.compile(r"[^\W\d_]")
 # a-z and bytes of other than ASCII characters belong to words; all else separates them
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[ord("a"):ord("z") + 1] = True
 _WORD_BYTE[128:] = True
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text holds a letter of any script; digits, fractions and other numbers are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """``table``: (slots, words) unsigned masks; ``languages`` by bit; ``false_rates`` per language."""
@@ -167,7 +170,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         for b in it:
             texts = b.column(text_col).to_pylist()
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            some = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if len(names) else []
+            some = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if len(names) else []
             at = 0
             while at < len(some):
                 to, size = at, 0

@@ -54,3 +54,12 @@ def test_query_accuracy_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.98 * len(held)
+
+
+def test_numbers_are_no_letters(spark):
+    from flowlens.llm.language_id import has_letter, predict
+    assert not any(map(has_letter, ["", " 12 ", "½ ² Ⅷ ①", "!?_", "\u0301"])) and all(map(has_letter, ["½ a", "ß", "字", "ª"]))
+    model = L.build_model({"de": np.arange(1, 50), "en": np.arange(40, 90)})
+    df = spark.createDataFrame([(1, "½ ² 3"), (2, "Ⅷ ①"), (3, "wort ½")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in predict(df, model).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und"
