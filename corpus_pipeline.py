@@ -7,11 +7,6 @@ checkpoint folder and reads it back as the next stage's documents.
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import time
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,34 +16,15 @@ from flowlens.llm.common import materialize
 from flowlens.sources.tables import read_table
 
 
-def release_memory(spark: SparkSession) -> None:
-    """Lets the Python workers hand back what the stage before left in their allocators: an executor keeps its idle
-    workers for a minute, so a stage would otherwise run beside the memory of its predecessor. A job of small tasks,
-    two workers each, as many at a time as there are cores."""
-    def trim(it):
-        yield from it
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trimmer = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc
-        if trimmer is not None:
-            trimmer(0)
-        time.sleep(0.05)                                             # so that every core takes a task
-
-    n = 2 * spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).mapInArrow(trim, "id long").mapInArrow(trim, "id long").count()
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language known from the labelled ones; others (no text, no letters, none of
     the languages) go. Fitted on the documents outside the held-out fold."""
-    release_memory(spark)
     known = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id")))
     return language_id.keep_known(docs, language_id.fit(known))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints (3-word shingles) link at 2 bits or fewer."""
-    release_memory(spark)
     return simhash.keep_one(docs, shingle=3, max_bits=2)
 
 
@@ -57,13 +33,11 @@ def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Every document stays, if only with an empty text (a null text stays null). Where a cut
     splits a character, its remaining bytes go too; n_chars is that of the new text."""
-    release_memory(spark)
     return substring_dedup.cut_repeats(docs, length=100)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens, with their ids."""
-    release_memory(spark)
     pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), max_len=1024, end_id=0)
     return packing.with_digests(pieces)
 
