@@ -33,3 +33,14 @@ def test_entry_runs(spark):
     assert df.columns[:5] == ["model", "tn", "fp", "fn", "tp"]
     r = rows[0]
     assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == r["n"]
+
+
+def test_missing_library_of_the_optional_part_leaves_the_rest():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.modules['xxhash'] = None; import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); "
+            "assert {'gaussian_nb', 'refit_warm_start'} <= set(q) and 'gaussian_nb' in o; assert 'pipeline' not in q")
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
