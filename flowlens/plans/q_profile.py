@@ -135,3 +135,20 @@ def missing_categories(spark, sf):
 def unseen_categories(spark, sf):
     tr, te = _bands(spark, sf)
     return P.unseen_categories(tr, te, "band")
+
+
+@query("auto_histogram_by_label", sql=f"""with se as ({fx.SCORED_EVENTS_SQL}),
+st as (select event_type, count(*) as n, min(score) as lo, max(score) as hi, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) as q
+  from se where score is not null group by event_type),
+w as (select *, (hi - lo) / (log2(cast(n as double)) + 1) as sw, 2 * q / pow(cast(n as double), 1e0 / 3) as fw from st),
+b as (select event_type, lo, hi, cast(case when hi = lo then 1 else ceil((hi - lo) / least(greatest(fw, (hi - lo) / sqrt(cast(n as double)) / 2), sw)) end as bigint) as bins from w),
+r as (select event_type, bins, case when hi = lo then lo - 0.5 else lo end as lo, case when hi = lo then hi + 0.5 else hi end as hi from b),
+c as (select se.event_type, cast(least(floor((score - lo) / (hi - lo) * bins), bins - 1) as bigint) as bin, count(*) as n
+  from se join r on r.event_type = se.event_type where score is not null group by all),
+g as (select *, unnest(range(bins)) as bin from r)
+select g.event_type, g.bin, {sg.r('lo + g.bin * ((hi - lo) / bins)')} as lo,
+  {sg.r('case when g.bin = bins - 1 then hi else lo + (g.bin + 1) * ((hi - lo) / bins) end')} as hi, cast(coalesce(c.n, 0) as bigint) as n
+from g left join c on c.event_type = g.event_type and c.bin = g.bin""")
+def auto_histogram_by_label(spark, sf):
+    from flowlens.operators.auto_bins import auto_histogram
+    return auto_histogram(fx.scored_events(spark, sf), "score", "event_type")
