@@ -1,6 +1,6 @@
 """Exact top-k inner products by ball trees, one per shard.
 
-Vectors are dealt into shards by a hash of their id. Each shard is one ball tree: a node
+Vectors are dealt into shards by a hash of their row. Each shard is one ball tree: a node
 has the centre and radius of its vectors, so no vector in it scores above
 q.centre + |q| * radius. A query visits nodes from the highest bound down and stops when
 the bound falls below its k-th score (equal bounds are still visited, for ties).
@@ -47,7 +47,7 @@ def exact_scores(v: np.ndarray, q: np.ndarray) -> list[int]:
 class BallTree:
     """Nodes of halves along the widest coordinate; rows are kept in node order."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray):
         order = np.arange(len(ids))
         self.nodes: list[tuple] = []              # (begin, end, left, right)
         centres, radii = [], []
@@ -67,18 +67,18 @@ class BallTree:
                 mid = (a + b) // 2
                 order[a:b] = order[a:b][np.argpartition(part[:, spread.argmax()], mid - a)]
                 todo += [(a, mid, (k, 2)), (mid, b, (k, 3))]
-        self.ids, self.v = ids[order], v[order]
+        self.rows, self.ids, self.v = rows[order], ids[order], v[order]
         self.centres, self.radii = np.array(centres), np.array(radii)
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, floors: list) -> list[list[tuple]]:
-        """For each query the best (score, -id), at most k, none below its floor; not its own id."""
+    def search(self, rows: np.ndarray, q: np.ndarray, k: int, floors: list) -> list[list[tuple]]:
+        """For each query the best (score, -id), at most k, none below its floor; not its own row."""
         d = min(self.centres.shape[1], q.shape[1])
         norm = np.sqrt((q[:, :d] ** 2).sum(axis=1))
         bound = q[:, :d] @ self.centres[:, :d].T + norm[:, None] * self.radii[None, :]
         size = norm[:, None] * (np.sqrt((self.centres ** 2).sum(axis=1)) + self.radii)[None, :]
         bound += 1e-9 * size + 1e-6               # rounding never hides a vector
         out = []
-        for own, x, bounds, floor in zip(ids.tolist(), q, bound.tolist(), floors):
+        for own, x, bounds, floor in zip(rows.tolist(), q, bound.tolist(), floors):
             best: list = []
             heap = [(-bounds[0], 0)]
             while heap:
@@ -91,8 +91,8 @@ class BallTree:
                     heapq.heappush(heap, (-bounds[left], left))
                     heapq.heappush(heap, (-bounds[right], right))
                     continue
-                for i, s in zip(self.ids[a:b].tolist(), exact_scores(self.v[a:b], x)):
-                    if i == own or (floor is not None and s < floor):
+                for r, i, s in zip(self.rows[a:b].tolist(), self.ids[a:b].tolist(), exact_scores(self.v[a:b], x)):
+                    if r == own or (floor is not None and s < floor):
                         continue
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
@@ -121,51 +121,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
           vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query (all, if fewer).
 
-    Candidates are all rows with another id. Rows with a null id, or whose vector is null or
-    holds null or non-finite components, take no part; rows of one id count once (the least
-    vector of those). Scores outside 64 bits are cut to the nearest end. Ties go to the
+    Candidates are all other rows, those that repeat the query's id or another's included, so a
+    vec_id may come up several times, and an id with several query rows has a list for each. Rows
+    with a null id, or whose vector is null or holds null or non-finite components, take no part. Scores outside 64 bits are cut to the nearest end. Ties go to the
     smaller id. An empty table gives an empty result; other columns are ignored."""
     spark = vectors.sparkSession
     src = vectors.where(F.col(id_col).isNotNull() & valid(F.col(vec_col))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    size = src.agg(F.count("*"), F.count_distinct("id"), F.count_if("q")).first()
-    n, distinct, n_queries = int(size[0]), int(size[1]), int(size[2])
-    if n > distinct:
-        src = src.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    # ids may repeat: a row's number, fixed by the written table, stands for it
+    src = materialize(src.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    size = src.agg(F.count("*"), F.count_if("q")).first()
+    n, n_queries = int(size[0]), int(size[1])
     shards = max(1, -(-n // shard_rows))
     groups = max(1, -(-n_queries // GROUP_QUERIES))
     parts = max(shuffle_parts(spark), min(shards * groups, 100 * shuffle_parts(spark)))
-    src = src.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    src = materialize(src, "topk-vectors")
-    queries = src.where("q").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("grp"),
+    src = src.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    queries = src.where("q").select("row", "id", "v", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("grp"),
                                     F.col("shard").alias("home"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    ddl = "query_id long, vec_id long, score long"
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    ddl = "query long, query_id long, vec_id long, score long"
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        tree = BallTree(left.column("id").to_numpy(), quantise(_matrix(left), scale))
-        ids = right.column("query").to_numpy()
-        found = tree.search(ids, quantise(_matrix(right), scale), k, right.column("floor").to_pylist())
-        rows = [(i, -minus, max(-_LONG - 1, min(_LONG, s))) for i, best in zip(ids.tolist(), found) for s, minus in best]
-        return pa.table(list(map(list, zip(*rows))) if rows else [[], [], []], schema=schema)
-
-    shard_rows_df = src.select("id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    at_home = queries.select(F.col("id").alias("query"), F.col("v").alias("v"), F.col("grp").alias("grp"), F.col("home").alias("shard"),
+        tree = BallTree(left.column("row").to_numpy(), left.column("id").to_numpy(), quantise(_matrix(left), scale))
+        asked, ids = right.column("query").to_numpy(), right.column("id").to_pylist()
+        found = tree.search(asked, quantise(_matrix(right), scale), k, right.column("floor").to_pylist())
+        rows = [(r, i, -minus, max(-_LONG - 1, min(_LONG, s))) for r, i, best in zip(asked.tolist(), ids, found) for s, minus in best]
+        return pa.table(list(map(list, zip(*rows))) if rows else [[], [], [], []], schema=schema)
+
+    shard_rows_df = src.select("row", "id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    at_home = queries.select(F.col("row").alias("query"), "id", "v", "grp", F.col("home").alias("shard"),
                              F.lit(None).cast("long").alias("floor"))
     keys = ["shard", "grp"]
     home = (shard_rows_df.repartition(parts, *keys).groupBy(*keys).cogroup(at_home.groupBy(*keys))
             .applyInArrow(searched, ddl))
     home = materialize(home, "topk-home")
     # the k-th score so far; none if fewer than k candidates were found
-    kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    floors = kth.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    away = (queries.join(floors, "id", "left")
+    kth = home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = kth.select(F.col("query").alias("row"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+    away = (queries.join(floors, "row", "left")
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-            .select(F.col("id").alias("query"), F.col("v").alias("v"), F.col("grp").alias("grp"), "shard", "floor"))
+            .select(F.col("row").alias("query"), "id", "v", "grp", "shard", "floor"))
     rest = (shard_rows_df.repartition(parts, *keys).groupBy(*keys).cogroup(away.groupBy(*keys))
             .applyInArrow(searched, ddl))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (home.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
