@@ -9,9 +9,9 @@ A list holds the ``k`` nearest; if it is saturated (all of them links), it grows
 Every comparison that finds a link also leaves a link row: those of one spanning forest per
 list or cell, so dense groups never emit all pairs.
 
-Rounds end when the lists no longer improve. Then recall is audited: a bounded sample of
-nodes, drawn anew each time and from every label alike (nodes without a link, in small and in
-large components), is compared with all nodes. Recall is the mean over nodes of the share of
+Rounds end when the lists no longer improve. Then recall is audited: of every label a bounded
+sample of nodes, drawn anew each time (nodes without a link, in small and in large components),
+is compared with all nodes of the label, block by block, whatever other labels there are. Recall is the mean over nodes of the share of
 links that lie within a component. Where a label falls short, further cells and rounds follow,
 and after the last attempt the run fails. Missing links found by the audit are kept, always.
 
@@ -32,7 +32,7 @@ from flowlens.llm.graph import connected_components
 BLOCK = 1024
 BROADCAST_ROWS = 100_000
 AUDIT_NODES = 256              # of a label and kind of component
-AUDIT_MAX = 4096               # in all
+AUDIT_ROWS = 4096              # of a label, compared with its sample at once
 
 
 def _units(col) -> np.ndarray:
@@ -195,7 +195,7 @@ def _refine(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Dat
 
 
 def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, attempt: int) -> tuple[float, DataFrame]:
-    """Least recall of a label, from a sample, and the sample's missing links.
+    """Least recall of a label, from each label's own sample, and the samples' missing links.
 
     Recall is the mean, over nodes that have links, of the share that lies within one component."""
     sizes = comp.groupBy("root").agg(F.count("*").alias("members"))
@@ -204,55 +204,53 @@ def _audit(nodes: DataFrame, comp: DataFrame, threshold: float, attempt: int) ->
     rooted = materialize(rooted.select("node", "label", "dim", "unit", "root", kind.alias("kind")), "nn-rooted")
     strata = ["label", "dim", "kind"]
     counts = rooted.groupBy(*strata).agg(F.count("*").alias("stratum"))
+    counts = materialize(counts.withColumn("total", F.sum("stratum").over(Window.partitionBy("label", "dim"))), "nn-strata")
     if counts.count() <= BROADCAST_ROWS:
         counts = F.broadcast(counts)
+    rows = rooted.join(counts, strata).withColumn("blocks", F.ceil(F.col("total") / AUDIT_ROWS).cast("int"))
     dice = F.pmod(F.xxhash64("node", F.lit(17 + attempt)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rooted.join(counts, strata).withColumn("dice", dice).where(F.col("dice") * F.col("stratum") < AUDIT_NODES)
-    turn = F.row_number().over(Window.partitionBy(*strata).orderBy("dice", "node"))     # about AUDIT_NODES of each
-    sample = drawn.withColumn("turn", turn).orderBy("turn", F.xxhash64(*strata, F.lit(attempt)), "node").limit(AUDIT_MAX).collect()
-    weight: dict[tuple, list] = {}
-    for r in sample:
-        weight.setdefault((r.label, r.dim, r.kind), [r.stratum, 0])[1] += 1
-    held: dict[tuple, list] = {}
-    for r in sample:
-        held.setdefault((r.label, r.dim), []).append((r.node, r.root, bytes(r.unit)))
-    held_b = nodes.sparkSession.sparkContext.broadcast(held)
-
-    def compared(it):
-        mine = {key: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.frombuffer(b"".join(x[2] for x in v)).reshape(len(v), -1))
-                for key, v in held_b.value.items() if key[1]}
-        for b in it:
-            labels, dims = b.column("label").to_pylist(), b.column("dim").to_pylist()
-            by: dict[tuple, list] = {}
-            for i, key in enumerate(zip(labels, dims)):
-                if key in mine:
-                    by.setdefault(key, []).append(i)
-            pieces = []
-            for key, rows in by.items():
-                part = b.take(pa.array(rows))
-                ids, roots = part.column("node").to_numpy(), part.column("root").to_numpy()
-                s_ids, s_roots, s = mine[key]
-                near = (_units(part.column("unit")) @ s.T >= threshold) & (ids[:, None] != s_ids[None, :])
-                apart = near & (roots[:, None] != s_roots[None, :])
-                # a row per sampled node with its links and how many are missing; a missing link is a row of its own
-                i, j = np.nonzero(apart)
-                pieces.append((ids[i], s_ids[j], np.zeros(len(i)), np.ones(len(i), bool)))
-                some = np.flatnonzero(near.any(axis=0))
-                pieces.append((s_ids[some], near[:, some].sum(axis=0), apart[:, some].sum(axis=0).astype(float), np.zeros(len(some), bool)))
-            yield from _emit(pieces).combine_chunks().to_batches()
-
-    got = materialize(rooted.mapInArrow(compared, PAIRS), "nn-audit")
-    sums = {r.u: (r.links, r.missing) for r in got.where("not link").groupBy("u").agg(
-        F.sum("v").alias("links"), F.sum("sim").alias("missing")).collect()}          # one row per sampled node at most
-    groups: dict[tuple, list] = {}
-    for r in sample:
-        if r.node in sums:
-            links, missing = sums[r.node]
-            size, taken = weight[r.label, r.dim, r.kind]
-            mean = groups.setdefault((r.label, r.dim), [0.0, 0.0])
-            mean[0] += size / taken * (1 - missing / links)
-            mean[1] += size / taken
-    return min((a / b for a, b in groups.values()), default=1.0), got.where("link").select("u", "v")
+    sample = materialize(rows.where(dice * F.col("stratum") < AUDIT_NODES), "nn-sample")     # about AUDIT_NODES of each stratum
+    # a block of a label meets the label's sample; blocks of small labels share a group
+    packs = max(1, -(-int(rooted.count()) // AUDIT_ROWS))
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    pack = F.pmod(F.xxhash64("label", "dim", "part"), F.lit(packs)).alias("pack")
+    held = ["label", "dim", "part", "node", "root", "unit"]
+    left = rows.withColumn("part", mine).select(pack, *held)
+    right = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(pack, *held)
+
+    def by_part(table: pa.Table) -> dict[tuple, pa.Table]:
+        at: dict[tuple, list] = {}
+        for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("label", "dim", "part")))):
+            at.setdefault(key, []).append(i)
+        return {key: table.take(pa.array(i)) for key, i in at.items()}
+
+    def compared(all_rows: pa.Table, sampled: pa.Table) -> pa.Table:
+        if not sampled.num_rows or not all_rows.num_rows:
+            return _PAIRS.empty_table()
+        asked, pieces = by_part(sampled), []
+        for key, part in by_part(all_rows).items():
+            if key not in asked:
+                continue
+            ids, roots = part.column("node").to_numpy(), part.column("root").to_numpy()
+            s_ids, s_roots = asked[key].column("node").to_numpy(), asked[key].column("root").to_numpy()
+            near = _units(part.column("unit")) @ _units(asked[key].column("unit")).T >= threshold
+            near &= ids[:, None] != s_ids[None, :]
+            apart = near & (roots[:, None] != s_roots[None, :])
+            # a row per sampled node with its links and how many are missing; a missing link is a row of its own
+            i, j = np.nonzero(apart)
+            pieces.append((ids[i], s_ids[j], np.zeros(len(i)), np.ones(len(i), bool)))
+            some = np.flatnonzero(near.any(axis=0))
+            pieces.append((s_ids[some], near[:, some].sum(axis=0), apart[:, some].sum(axis=0).astype(float), np.zeros(len(some), bool)))
+        return _emit(pieces)
+
+    got = materialize(left.groupBy("pack").cogroup(right.groupBy("pack")).applyInArrow(compared, PAIRS), "nn-audit")
+    sums = got.where("not link").groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("links"), F.sum("sim").alias("missing"))
+    taken = sample.groupBy(*strata).agg(F.count("*").alias("taken"))
+    weight = F.col("stratum") / F.col("taken")
+    of_label = (sample.select(*strata, "stratum", "node").join(sums, "node").join(taken, strata).groupBy("label", "dim")
+                .agg((F.sum(weight * (1 - F.col("missing") / F.col("links"))) / F.sum(weight)).alias("recall")))
+    least = of_label.agg(F.min("recall")).first()[0]
+    return (1.0 if least is None else float(least)), got.where("link").select("u", "v")
 
 
 def _count_links(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:

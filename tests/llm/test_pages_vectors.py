@@ -117,12 +117,12 @@ def test_top_k_matches_brute_force(spark):
              (None, [1.0] * 6), (50, rows[10][1]), (20000, [0.0] * 6), (9994, []), (9995, [1e30] * 6)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, shard int")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, shard_rows=100).collect()
-    good = {i: [int(np.floor(256 * np.float64(np.float32(v)))) for v in r] for i, r in rows
-            if i is not None and r is not None and all(v is not None and np.isfinite(v) for v in r)}
+    good = [(i, [int(np.floor(256 * np.float64(np.float32(v)))) for v in r]) for i, r in rows
+            if i is not None and r is not None and all(v is not None and np.isfinite(v) for v in r)]
     want = []
-    for q in good:
+    for at, (q, x) in enumerate(good):
         if q % 50 == 0:
-            s = sorted(((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(good[q], good[c])))), c) for c in good if c != q))[:5]
+            s = sorted(((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), c) for n, (c, y) in enumerate(good) if n != at))[:5]
             want += [(q, n + 1, c, -v) for n, (v, c) in enumerate(s)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -130,6 +130,12 @@ def test_top_k_matches_brute_force(spark):
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_top_k_rows_of_one_id_both_rank(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [3.0]), (1, [2.0]), (1, [9.0]), (1, [9.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=3, scale=1.0, shard_rows=2).collect())
+    assert got == sorted([(0, 1, 1, 9), (0, 2, 1, 9), (0, 3, 0, 3), (0, 1, 1, 27), (0, 2, 1, 27), (0, 3, 1, 6)])
+
+
 # ---- embedding near-dedup
 
 def brute_links(rows, threshold):
@@ -223,6 +229,20 @@ def test_audit_counts_small_groups_of_each_label(spark):
     assert {tuple(sorted(r)) for r in missing.collect()} == {(1000 + i, 1001 + i) for i in range(0, 10, 2)}
 
 
+@pytest.mark.parametrize("others", [10, 12_000])
+def test_audit_sees_a_hot_label_beside_many_small_ones(spark, others):
+    rng = np.random.default_rng(14)
+    pairs = rng.standard_normal((1500, 8))
+    unit = lambda x: (x / np.linalg.norm(x)).tobytes()
+    rows = [(i, "hot", 8, unit(pairs[i // 2] + rng.standard_normal(8) * 0.0001)) for i in range(3000)]
+    rows += [(10_000 + i, f"small {i}", 8, unit(rng.standard_normal(8))) for i in range(others)]
+    nodes = spark.createDataFrame(rows, "node long, label string, dim int, unit binary")
+    nothing = spark.createDataFrame([], "node long, root long")
+    for attempt in range(2):
+        found, missing = nn_descent._audit(nodes, nothing, 0.999, attempt)
+        assert found < 0.05 and 200 <= missing.count()
+
+
 def test_small_labels_of_a_large_table_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "AUDIT_NODES", 0)                # the audit mends nothing here
     rng = np.random.default_rng(14)
