@@ -24,6 +24,14 @@ def text_bytes(df: DataFrame, col: str) -> int:
 PACK_BYTES = 24 << 20          # text that a task gathers before it hands packs on
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """``base``, with underscores behind it until no column of ``taken`` has that name (in any case)."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
 def count_blocks(src: DataFrame, text_col: str, block_bytes: int) -> int:
     """Blocks of about ``block_bytes`` of text; small inputs still get one for each shuffle partition, down
     to a MB of text."""
@@ -46,6 +54,7 @@ def pack_blocks(src: DataFrame, block, n_blocks: int) -> tuple[DataFrame, int]:
     """``deal_blocks`` with the block of a row given, an int column from 0 to ``n_blocks`` - 1."""
     parts = max(shuffle_parts(src.sparkSession), -(-n_blocks // 8))
     names = src.columns
+    plain = [f"c{i}" for i in range(len(names))]        # Arrow functions can't take names with dots
     packed = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
 
     def pack(it):
@@ -53,9 +62,9 @@ def pack_blocks(src: DataFrame, block, n_blocks: int) -> tuple[DataFrame, int]:
 
         def flush():
             table = pa.Table.from_batches(held)
-            blocks = table.column("_block").to_numpy()
+            blocks = table.column("block").to_numpy()
             order = np.argsort(blocks, kind="stable")
-            table, blocks = table.select(names).take(pa.array(order)), blocks[order]
+            table, blocks = table.select(plain).rename_columns(names).take(pa.array(order)), blocks[order]
             cuts = np.append(np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])), len(blocks)).tolist()
             options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
             for a, b in zip(cuts[:-1], cuts[1:]):
@@ -75,7 +84,8 @@ def pack_blocks(src: DataFrame, block, n_blocks: int) -> tuple[DataFrame, int]:
         if held:
             yield from flush()
 
-    dealt = src.withColumn("_block", block).mapInArrow(pack, "block int, rows binary").repartition(parts, "block")
+    source = src.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], block.alias("block"))
+    dealt = source.mapInArrow(pack, "block int, rows binary").repartition(parts, "block")
     return dealt, parts
 
 

@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from flowlens.llm.common import free_name
 
 GRAM = 4
 HASHES = 2
@@ -163,12 +166,14 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     Ties go to the first language in alphabetical order. Every row stays, repeated or not."""
     model_b = docs.sparkSession.sparkContext.broadcast(model)       # at most 2^26 slots
     base = docs.drop("lang_pred", "score")
+    fields, at_text = base.schema.fields, base.columns.index(text_col)
+    plain = [f"c{i}" for i in range(len(fields))]        # Arrow functions can't take names with dots
 
     def run(it):
         m = model_b.value
         names = np.array(m.languages, object)
         for b in it:
-            texts = b.column(text_col).to_pylist()
+            texts = b.column(at_text).to_pylist()
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             some = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if len(names) else []
             at = 0
@@ -184,8 +189,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             cols = [b.column(i) for i in range(b.num_columns)] + [pa.array(pred.tolist(), pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(plain, fields)]).add("lang_pred", "string").add("score", "double")
+    got = base.select(*[F.col(f"`{f.name}`").alias(p) for p, f in zip(plain, fields)]).mapInArrow(run, schema)
+    return got.select(*[F.col(p).alias(f.name) for p, f in zip(plain, fields)], "lang_pred", "score")
 
 
 def held_out(id_col: Column) -> Column:
@@ -197,8 +203,10 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", mi
                short: int = 32) -> DataFrame:
     """The documents whose language is found with a score of at least ``min_score``; same columns.
 
-    Texts of fewer than ``short`` characters say too little to reject them: they stay if they have a letter."""
-    got = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model, text_col)
+    Texts of fewer than ``short`` characters say too little to reject them: they stay if they have a letter.
+    Null texts go; repeated rows are judged alike. Other columns may have any name. An empty table gives an empty one."""
+    aside = {c: free_name([*docs.columns, "lang_pred", "score"], f"_{c.lower()}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    got = predict(docs.withColumnsRenamed(aside), model, text_col)
     known = (F.col("score") >= min_score) | (F.length(text_col) < short)
-    got = got.where((F.col("lang_pred") != "und") & known).drop("lang_pred", "score")
-    return got.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    got = got.where((F.col("lang_pred") != "und") & known)
+    return got.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

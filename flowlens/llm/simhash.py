@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowlens.llm.common import count_blocks, materialize, open_rows, pack_blocks
+from flowlens.llm.common import count_blocks, free_name, materialize, open_rows, pack_blocks
 from flowlens.llm.graph import connected_components
 
 SEED = 42
@@ -64,17 +64,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                 seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long): one row per input row; null text has no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+                 seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp long): one row per input row; null text has no words. ``carry`` names a long column
+    that comes along as ``mark``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("mark", pa.int64())] * (carry is not None))
 
     def run(it):
         for b in it:
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *b.columns[2:]], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       *([F.col(carry).alias("mark")] if carry else [])).mapInArrow(
+        run, "doc_id long, fp long" + (", mark long" if carry else ""))
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -184,6 +186,12 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_max:
     return cold.unionByName(hot).distinct()
 
 
+def _roots(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``distinct`` (fp and others) with the root of each fingerprint's component."""
+    comp = connected_components(fingerprint_links(distinct, max_bits))
+    return distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
@@ -194,52 +202,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and equal ids share their component. An empty table gives an empty result."""
     fp = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
     distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = connected_components(fingerprint_links(distinct, max_bits))
-    reps = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    reps = _roots(distinct, max_bits)
     least = reps.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = materialize(reps.join(least, "root").select("fp", "component_id"), "simhash-comp")
     return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, **kw) -> DataFrame:
-    """The documents with one of each near-duplicate group (that of the smallest id) kept.
-
-    Rows with a null id are kept as they are: they can't be told apart from their copies. Of
-    rows that repeat a kept id the one of the smallest text stays, without those whose text is a
-    copy of a document of a smaller id. Texts meet the kept ids in blocks by a hash of the id,
-    dealt out as compressed packs."""
-    comp = near_duplicates(docs, id_col, text_col, **kw)
-    kept = materialize(comp.where("doc_id = component_id").select("doc_id", "fingerprint").distinct(), "simhash-kept")
-    words = {x: kw[x] for x in ("shingle", "seed") if x in kw}
-    named = docs.where(F.col(id_col).isNotNull())
-    n_blocks = count_blocks(named, text_col, block_bytes)
-
-    def block_of(c):
-        return F.pmod(F.xxhash64(c.cast("long")), F.lit(n_blocks)).cast("int")
-
-    dealt, _ = pack_blocks(named, block_of(F.col(id_col)), n_blocks)
+    """The documents with one of each near-duplicate group kept: a row of its smallest id.
+
+    A group is told by its texts, so rows that share an id, or have none, with unrelated texts all
+    stay, and each keeps the text that stands for it. Null ids come after all others; of several
+    texts of the smallest id the one of the least hash stays, of equal rows any one. Other columns
+    may have any name. An empty table gives an empty one. Texts meet the kept (id, text hash) pairs in
+    blocks by a hash of both, dealt out as compressed packs."""
+    shingle, seed = kw.get("shingle", 3), kw.get("seed", SEED)
+    mark = free_name(docs.columns, "_text_hash")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    fp = materialize(fingerprints(marked, id_col, text_col, shingle, seed, carry=mark), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    reps = _roots(fp.groupBy("fp").agg(first.alias("rep")), kw.get("max_bits", MAX_BITS))
+    best = F.min(F.struct("rep", "fp"))["rep"]
+    kept = materialize(reps.groupBy("root").agg(best.alias("rep")).select("rep.doc_id", "rep.mark"), "simhash-kept")
+    n_blocks = count_blocks(docs, text_col, block_bytes)
+
+    def block_of(i, m):
+        return F.pmod(F.xxhash64(i.cast("long"), m), F.lit(n_blocks)).cast("int")
+
+    dealt, _ = pack_blocks(marked, block_of(F.col(id_col), F.col(mark)), n_blocks)
     schema = docs.schema
-    none = to_arrow_schema(schema).empty_table()
+    none, names = to_arrow_schema(schema).empty_table(), docs.columns
 
     def chosen(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = open_rows(left) if left.num_rows else None
         if rows is None or not right.num_rows:
             return none
-        ids = rows.column(id_col).cast(pa.int64()).to_numpy()
-        at = np.flatnonzero(np.isin(ids, right.column("doc_id").to_numpy()))
-        if len(np.unique(ids[at])) < len(at):
-            _, inverse, times = np.unique(ids[at], return_inverse=True, return_counts=True)
-            again = np.flatnonzero(times[inverse] > 1)
-            own = set(zip(right.column("doc_id").to_pylist(), right.column("fingerprint").to_pylist()))
-            texts = rows.column(text_col).take(pa.array(at[again])).to_pylist()
-            copies = [i for i, t in zip(again.tolist(), texts) if (int(ids[at[i]]), f"{fingerprint(t, **words):016x}") not in own]
-            at = np.delete(at, copies)
-            texts = rows.column(text_col).take(pa.array(at)).to_pylist()
-            order = sorted(range(len(at)), key=lambda i: (ids[at[i]], texts[i] is not None, texts[i] or ""))
-            at = np.sort([at[i] for k, i in enumerate(order) if k == 0 or ids[at[i]] != ids[at[order[k - 1]]]])
-        return rows.take(pa.array(at))
-
-    right = kept.select(block_of(F.col("doc_id")).alias("block"), "doc_id", "fingerprint")
-    out = dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(chosen, schema)
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+        wanted = set(zip(right.column("doc_id").to_pylist(), right.column("mark").to_pylist()))
+        at = []
+        for i, key in enumerate(zip(rows.column(id_col).cast(pa.int64()).to_pylist(), rows.column(mark).to_pylist())):
+            if key in wanted:
+                wanted.discard(key)
+                at.append(i)
+        return rows.select(names).take(pa.array(at, pa.int64()))
+
+    right = kept.select(block_of(F.col("doc_id"), F.col("mark")).alias("block"), "doc_id", "mark")
+    return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(chosen, schema)

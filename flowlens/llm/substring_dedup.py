@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowlens.llm.common import deal_blocks, open_rows
+from flowlens.llm.common import deal_blocks, free_name, open_rows
 from flowlens.llm.suffix_array import permuted_lcp, suffix_array
 
 GRAM = 50
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram must be at least 8 and shorter than length")
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                      *([F.struct(*carry).alias("rest")] if carry else []))
+                      *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []))
     # by id and length: rows of one id and length are one block's, which orders them
     blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes)
     n_buckets = 2 * parts          # a shard's contexts are held at once: more and smaller shards
@@ -417,12 +417,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the repeats cut out of their texts; same columns and rows.
 
     Where a cut splits a character, what is left of it goes too. Null texts stay null;
-    ``length_col``, if there is one, is the number of characters of the new text."""
+    ``length_col``, if there is one, is the number of characters of the new text. Other columns
+    may have any name. An empty table gives an empty one."""
     others = [c for c in docs.columns if c != text_col]
-    marked = docs.withColumn("_null", F.col(text_col).isNull())
-    got = remove_repeats(marked, id_col, text_col, carry=[*others, "_null"], **kw)
-    got = got.select(F.when(~F.col("rest._null"), F.col("whole")).alias("_text"), *[F.col(f"rest.`{c}`").alias(c) for c in others])
+    missing = free_name(docs.columns, "_null")
+    marked = docs.withColumn(missing, F.col(text_col).isNull())
+    got = remove_repeats(marked, id_col, text_col, carry=[*others, missing], **kw)
+    text = F.when(~F.col(f"rest.`{missing}`"), F.col("whole"))
+    new = {text_col: text}
     if length_col in others:
-        got = got.withColumn(length_col, F.when(F.col("_text").isNotNull(), F.length("_text")).cast(docs.schema[length_col].dataType))
-    return got.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        new[length_col] = F.when(text.isNotNull(), F.length(text)).cast(docs.schema[length_col].dataType)
+    return got.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 

@@ -103,3 +103,14 @@ def test_stages_on_odd_rows(spark):
     texts = {r.doc_id: r.text for r in cut.collect()}
     # the last window of the second text ends within ü, whose first byte is that of é
     assert texts[3] is None and texts[2] == "" and texts[1] == "é"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for name in ("_block", "_null", "_text", "_lang_pred", "_Score", "lang_pred", "SCORE", "rest", "whole", "mark", "c0", "a.b"):
+        docs = docs.withColumn(name, docs.lang)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.schema == docs.schema, name
+        assert out.where("not (`a.b` <=> lang) or not (_null <=> lang) or not (SCORE <=> lang) or not (_Score <=> lang)").count() == 0
+        assert 0 < out.count() <= docs.count()
