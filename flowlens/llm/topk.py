@@ -151,7 +151,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         return pa.table(list(map(list, zip(*rows))) if rows else [[], [], [], []], schema=schema)
 
     shard_rows_df = src.select("row", "id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    at_home = queries.select(F.col("row").alias("query"), "id", "v", "grp", F.col("home").alias("shard"),
+    own = [F.col(c).alias(c) for c in ("id", "v", "grp")]          # new columns: a cogroup's sides must not share any
+    at_home = queries.select(F.col("row").alias("query"), *own, F.col("home").alias("shard"),
                              F.lit(None).cast("long").alias("floor"))
     keys = ["shard", "grp"]
     home = (shard_rows_df.repartition(parts, *keys).groupBy(*keys).cogroup(at_home.groupBy(*keys))
@@ -162,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     floors = kth.select(F.col("query").alias("row"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
     away = (queries.join(floors, "row", "left")
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-            .select(F.col("row").alias("query"), "id", "v", "grp", "shard", "floor"))
+            .select(F.col("row").alias("query"), *own, "shard", "floor"))
     rest = (shard_rows_df.repartition(parts, *keys).groupBy(*keys).cogroup(away.groupBy(*keys))
             .applyInArrow(searched, ddl))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
