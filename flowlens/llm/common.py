@@ -39,7 +39,8 @@ def count_blocks(src: DataFrame, text_col: str, block_bytes: int) -> int:
     return max(1, -(-size // block_bytes), min(shuffle_parts(src.sparkSession), size >> 20))
 
 
-def deal_blocks(src: DataFrame, text_col: str, keys: list[str], block_bytes: int) -> tuple[DataFrame, int]:
+def deal_blocks(src: DataFrame, text_col: str, keys: list[str], block_bytes: int,
+                pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, int]:
     """``src`` dealt into blocks of about ``block_bytes`` of text by a hash of ``keys`` and the text's
     length (so many rows of one key, or of none, spread): (block int, rows binary), in as many
     partitions as returned. ``rows`` are record batches in Arrow's stream format, Zstandard-compressed
@@ -47,10 +48,10 @@ def deal_blocks(src: DataFrame, text_col: str, keys: list[str], block_bytes: int
     then Spark deals the texts once and reuses the exchange."""
     n_blocks = count_blocks(src, text_col, block_bytes)
     block = F.pmod(F.xxhash64(*keys, F.coalesce(F.octet_length(text_col), F.lit(0))), F.lit(n_blocks)).cast("int")
-    return pack_blocks(src, block, n_blocks)
+    return pack_blocks(src, block, n_blocks, pack_bytes)
 
 
-def pack_blocks(src: DataFrame, block, n_blocks: int) -> tuple[DataFrame, int]:
+def pack_blocks(src: DataFrame, block, n_blocks: int, pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, int]:
     """``deal_blocks`` with the block of a row given, an int column from 0 to ``n_blocks`` - 1."""
     parts = max(shuffle_parts(src.sparkSession), -(-n_blocks // 8))
     names = src.columns
@@ -78,7 +79,7 @@ def pack_blocks(src: DataFrame, block, n_blocks: int) -> tuple[DataFrame, int]:
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
-            if size >= PACK_BYTES:
+            if size >= pack_bytes:
                 yield from flush()
                 held, size = [], 0
         if held:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 from collections import deque
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +49,27 @@ class TextTokenizer:
     A plain byte-level BPE whose merges are numbered in their order is the same as a table of ranks,
     with which ``tiktoken`` finds the same ids several times faster. Other files, and texts that hold
     one of the added tokens or on which ``tiktoken`` gives up (its regex has a backtracking limit,
-    which about a million characters of white space exceed), are encoded by ``tokenizers`` itself."""
+    which about a million characters of white space exceed), are encoded by ``tokenizers`` itself, which
+    is loaded only then."""
 
     def __init__(self, model: bytes, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_buffer(model)
-        self.end_id = end_id
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
-        for piece, i in vocab.items():     # Ċ is the new line
-            self.ends_sentence[i] = piece.rstrip("\"')]").endswith((".", "!", "?", "Ċ"))
+        self.model, self.end_id = model, end_id
         spec = json.loads(model)
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.ranks = self._rank_encoding(spec)
+        if self.ranks is None:
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+        else:
+            vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
+        for piece, i in vocab.items():     # Ċ is the new line
+            self.ends_sentence[i] = piece.rstrip("\"')]").endswith((".", "!", "?", "Ċ"))
+
+    @cached_property
+    def tok(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        return Tokenizer.from_buffer(self.model)
 
     def _rank_encoding(self, spec: dict):
         m, pre = spec["model"], spec["pre_tokenizer"] or {}

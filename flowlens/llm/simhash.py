@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowlens.llm.common import count_blocks, free_name, materialize, open_rows, pack_blocks
+from flowlens.llm.common import PACK_BYTES, count_blocks, free_name, materialize, open_rows, pack_blocks
 from flowlens.llm.graph import connected_components
 
 SEED = 42
@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, **kw) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20,
+             pack_bytes: int = PACK_BYTES, **kw) -> DataFrame:
     """The documents with one of each near-duplicate group kept: a row of its smallest id.
 
     A group is told by its texts, so rows that share an id, or have none, with unrelated texts all
@@ -229,7 +230,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     def block_of(i, m):
         return F.pmod(F.xxhash64(i.cast("long"), m), F.lit(n_blocks)).cast("int")
 
-    dealt, _ = pack_blocks(marked, block_of(F.col(id_col), F.col(mark)), n_blocks)
+    dealt, _ = pack_blocks(marked, block_of(F.col(id_col), F.col(mark)), n_blocks, pack_bytes)
     schema = docs.schema
     none, names = to_arrow_schema(schema).empty_table(), docs.columns
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowlens.llm.common import deal_blocks, free_name, open_rows
+from flowlens.llm.common import PACK_BYTES, deal_blocks, free_name, open_rows
 from flowlens.llm.suffix_array import permuted_lcp, suffix_array
 
 GRAM = 50
@@ -316,7 +316,7 @@ def _sorted_repeats(texts: list[bytes], firsts: list[tuple], length: int, out: l
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
                    gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot_contexts: int = 2000,
-                   carry: list[str] | None = None) -> DataFrame:
+                   carry: list[str] | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<begin, end>>, kept binary): a row per input row.
 
     ``spans``: the maximal removed runs of the UTF-8 text, by the text before anything is removed;
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []))
     # by id and length: rows of one id and length are one block's, which orders them
-    blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes)
+    blocked, parts = deal_blocks(src, "text", ["doc_id"], block_bytes, pack_bytes)
     n_buckets = 2 * parts          # a shard's contexts are held at once: more and smaller shards
 
     list_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("anchors", pa.binary()), ("kinds", pa.binary())])
