@@ -16,6 +16,9 @@ from flowlens.llm.common import materialize
 from flowlens.sources.tables import read_table
 
 
+PACK_BYTES = 8 << 20           # text that a task gathers: the stages share the workers' memory
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language known from the labelled ones; others (no text, no letters, none of
     the languages) go. Fitted on the documents outside the held-out fold."""
@@ -25,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints (3-word shingles) link at 2 bits or fewer."""
-    return simhash.keep_one(docs, shingle=3, max_bits=2)
+    return simhash.keep_one(docs, shingle=3, max_bits=2, pack_bytes=PACK_BYTES)
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,7 @@ def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Every document stays, if only with an empty text (a null text stays null). Where a cut
     splits a character, its remaining bytes go too; n_chars is that of the new text."""
-    return substring_dedup.cut_repeats(docs, length=100)
+    return substring_dedup.cut_repeats(docs, length=100, pack_bytes=PACK_BYTES)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
