@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.exprs import rnd
 from flowlens.operators import profile as P
+from flowlens.operators import quantile_sketch as QS
 from flowlens.plans import fixtures as fx
 from flowlens.plans import sqlgen as sg
 from flowlens.plans.catalog import query
@@ -52,6 +54,23 @@ def describe(spark, sf):
     return P.describe(fx.flows_table(spark, sf), NUM)
 
 
+# The sketch's answers differ between runs within its bound, so SQL states the exact columns and the bound
+SKETCH_PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@query("quantile_sketch", sql=FL + "\n" + _union(
+    [(c, p) for c in NUM + fx.FLOW_CONSTANT for p in SKETCH_PROBS], lambda cp: f"""select '{cp[0]}' as column, {cp[1]}e0 as p,
+  count({cp[0]}) as n, {sg.r(f'avg({cp[0]})')} as mean, {sg.r(f'min({cp[0]})')} as min, {sg.r(f'max({cp[0]})')} as max,
+  true as within_bound from flows"""))
+def quantile_sketch(spark, sf):
+    """States per protocol, merged, asked for five quantiles, whose ranks a second pass audits."""
+    df, cols = fx.flows_table(spark, sf), NUM + fx.FLOW_CONSTANT
+    merged = QS.merge(QS.states(df, cols, by=["protocol"]))
+    audited = QS.rank_errors(df, QS.quantiles(merged, SKETCH_PROBS))
+    return audited.select("column", "p", "n", *[rnd(c, 6).alias(c) for c in ("mean", "min", "max")],
+                          (F.col("rank_error") <= F.lit(QS.rank_bound(QS.DEFAULT_K))).alias("within_bound"))
+
+
 @query("distinct_values", sql=FL + "\nselect distinct protocol from flows")
 def distinct_values(spark, sf):
     return P.distinct_values(fx.flows(spark, sf), "protocol")
