@@ -66,13 +66,15 @@ EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
 def write_event_folders(spark, sf) -> str:
     """root/<event_type>/ CSV folders from events: 'view' files lack ``props``, 'click' files
     carry an extra ``Label`` column (dropped at ingest), 'signup' files have their columns in
-    another order, and 'error' also holds ragged files."""
+    another order, 'purchase' props hold a line break, and 'error' also holds ragged files."""
     root = scratch_path(spark, "event-folders")
     ev = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "props")
     for cls in EVENT_CLASSES:
         part = ev.where(F.col("event_type") == cls)
         cols = ["event_id", "user_id", "value"] + ([] if cls == "view" else ["props"])
         cols = cols[::-1] if cls == "signup" else cols
+        if cls == "purchase":
+            part = part.withColumn("props", F.concat("props", F.lit("\n"), F.col("event_id").cast("string")))
         out = part.select(*cols, *([F.lit("x").alias("Label")] if cls == "click" else []))
         out.write.mode("overwrite").option("header", True).csv(f"{root}/{cls}")
         if cls == "error":
@@ -90,7 +92,8 @@ def _ingest(spark, sf):
 
 
 @query("ingest_labelled_folders", sql="""select event_id, user_id, value,
-  case when event_type = 'view' then null else props end as props, event_type as label from events""")
+  case event_type when 'view' then null when 'purchase' then props || chr(10) || event_id else props end as props,
+  event_type as label from events""")
 def ingest_labelled_folders(spark, sf):
     rows, _ = _ingest(spark, sf)
     return rows.select("event_id", "user_id", "value", "props", "label")

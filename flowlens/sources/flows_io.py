@@ -4,9 +4,9 @@
   Whether the file has a header is an argument, never a guess: the reference's
   two loaders disagree on it for the same file name.
   A field that does not fit its column's type fails the read (FAILFAST).
-* Folder ingest reads each file by its own header: a light pass over the text finds the
-  header lines, files with the same header (of one class folder, whose name is the label)
-  are parsed together, and the groups are unioned by column name. The parsed text is
+* Folder ingest reads each file by its own header: a pass over the text finds the header lines
+  and the files whose records hold line breaks (``quoted_csv``), files with the same header (of
+  one class folder, whose name is the label) are parsed together, and the groups are unioned by column name. The parsed text is
   written once; from it come the bad files, the column types (one aggregation: whole
   numbers, numbers, else text) and the rows. A file with a row that has more fields than
   its header is quarantined whole: it contributes no rows and is reported. (The
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.session import materialize
+from flowlens.sources import quoted_csv
 
 EXTRA_COL = "__extra_field"
 
@@ -70,20 +71,6 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _headers(spark: SparkSession, root: str, classes: list[str]) -> dict[tuple, list[str]]:
-    """{(class, header line): files}: the first line of every file, found on the executors."""
-    parts = []
-    for cls in classes:
-        lines = spark.read.text(f"{root}/{cls}").select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
-            F.monotonically_increasing_id().alias("i"))
-        parts.append(lines.where("at = 0").groupBy("file").agg(F.min_by("value", "i").alias("header"))
-                     .withColumn("folder", F.lit(cls)))
-    groups = union_by_name(*parts).groupBy("folder", "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    # file names, which Spark lists on the driver anyway
-    return {(r["folder"], r["header"]): list(r["files"]) for r in groups.collect()}
-
-
 def _column_names(header: str) -> list[str]:
     """Names of a header line; a repeated name gets .1, .2, ... as in the reference's reader."""
     import csv
@@ -95,31 +82,59 @@ def _column_names(header: str) -> list[str]:
     return names
 
 
-def _parse_folders(spark: SparkSession, root: str, classes: list[str], drop: tuple) -> DataFrame:
-    """Every parsed row as text, by column name, with label, __file and whether it has a field too many."""
+def _parse_folders(spark: SparkSession, root: str, classes: list[str], drop: tuple, escape: str) -> tuple[DataFrame, DataFrame]:
+    """Every parsed row as text, by column name, with label, __file and whether it has a field too many;
+    and the files that end inside a quoted field (file, folder, n_rows)."""
+    lines = {cls: quoted_csv.lines_of(spark, f"{root}/{cls}") for cls in classes}
+    blocks = materialize(union_by_name(*[quoted_csv.survey(x, escape).withColumn("folder", F.lit(c)) for c, x in lines.items()]),
+                         "ingest-blocks")
     frames = []
-    for (cls, header), files in sorted(_headers(spark, root, classes).items()):
+
+    def add(cls: str, header: str, parse):
         names = _column_names(header)
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
                               + [T.StructField(EXTRA_COL, T.StringType())])
-        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-               .option("mode", "PERMISSIVE").csv(files))
-        frames.append(raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in drop],
-                                 F.col(EXTRA_COL).isNotNull().alias(EXTRA_COL), F.lit(cls).alias("__folder"),
-                                 F.col("_metadata.file_path").alias("__file")))
+        frames.append(parse(schema).select(
+            *[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in drop],
+            F.col(EXTRA_COL).isNotNull().alias(EXTRA_COL), F.lit(cls).alias("__folder"), "__file"))
+
+    # files without line breaks in their records: Spark's reader, all files of one header together
+    plain = blocks.where("at = 0 and not broken").groupBy("folder", "head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    # file names, which Spark lists on the driver anyway
+    for r in sorted(plain.collect(), key=lambda r: (r["folder"], r["head"])):
+        add(r["folder"], r["head"], lambda schema, r=r: (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", escape)
+            .option("mode", "PERMISSIVE").csv(list(r["files"])).withColumn("__file", F.col("_metadata.file_path"))))
+    # files with line breaks in their records: records are put together first
+    broken = blocks.where("broken and not unclosed")
+    for cls in sorted(r["folder"] for r in broken.select("folder").distinct().collect()):
+        starts = broken.where(F.col("folder") == cls).select("file", "at", "inside")
+        recs = materialize(quoted_csv.records(lines[cls], starts, lambda df: materialize(df, "ingest-parts"), escape),
+                           "ingest-records")
+        heads = recs.where("first").select("file", F.col("text").alias("head"))
+        for header in sorted(r["head"] for r in heads.select("head").distinct().collect()):
+            rows = recs.where("not first").join(heads.where(F.col("head") == header).select("file"), "file", "left_semi")
+            add(cls, header, lambda schema, rows=rows: rows.select(
+                F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "escape": escape}).alias("r"),
+                F.col("file").alias("__file")).select("r.*", "__file"))
+    unclosed = blocks.where("unclosed").groupBy("file", "folder").agg((F.sum("n_lines") - 1).alias("n_rows"))
     if not frames:
+        if blocks.limit(1).count():
+            raise ValueError(f"every file in the class folders under {root} ends inside a quoted field")
         raise FileNotFoundError(f"no file in the class folders under {root}")
-    return materialize(union_by_name(*frames), "ingest")
+    return materialize(union_by_name(*frames), "ingest"), unclosed
 
 
 def ingest_labelled_folders(spark: SparkSession, root: str, classes: list[str],
-                            drop: tuple = ("Label",)) -> tuple[DataFrame, DataFrame]:
+                            drop: tuple = ("Label",), escape: str = "\\") -> tuple[DataFrame, DataFrame]:
     """Rows of every readable CSV under root/<class>/ with label = class, and the bad files
-    (file, folder, n_rows)."""
-    text = _parse_folders(spark, root.rstrip("/"), classes, drop)
+    (file, folder, n_rows): those with a row longer than the header, and those that end inside a quoted
+    field (n_rows: lines after the first). ``escape`` hides a quote inside a quoted field: a backslash, or
+    the quote itself for files that double their quotes. Line breaks inside a quoted field belong to it."""
+    text, unclosed = _parse_folders(spark, root.rstrip("/"), classes, drop, escape)
     per_file = text.groupBy("__file", "__folder").agg(F.max(EXTRA_COL).alias("bad"), F.count(F.lit(1)).alias("n_rows"))
     bad = per_file.where("bad").select(F.col("__file").alias("file"), F.col("__folder").alias("folder"), "n_rows")
-    bad = materialize(bad, "ingest-bad")
+    bad = materialize(bad.unionByName(unclosed), "ingest-bad")
     good = text.join(bad.select(F.col("file").alias("__file")), "__file", "left_anti")
     cols = [c for c in text.columns if c not in ("__file", "__folder", EXTRA_COL)]
     checks = []
