@@ -161,13 +161,52 @@ def density_by_label(df: DataFrame, col: str, label: str, grid: int = 200, cut:
     """
     x = F.col(col).cast("double")
     base = df.select(label, x.alias("__x")).where(F.col("__x").isNotNull())
+    st = _bandwidths(base, label, cut)
+    dv = base.groupBy(label, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    j = join_small(dv, st.where(F.col("__h") > 0), [label])  # one row per label
+    return _kernel_sums(j, label, grid, digits)
+
+
+def density_binned(df: DataFrame, col: str, label: str, grid: int = 200, cut: float = 3.0, step: float = 0.002,
+                   digits: int = 9) -> DataFrame:
+    """``density_by_label`` from fine bins, with ``error_bound``, the most that a density can be off.
+
+    Each value is shared between the two bin borders around it (linear binning, borders ``step``
+    bandwidths apart), so the kernel sees at most range / (step h) borders per label instead of every
+    distinct value. The sharing replaces the kernel by straight lines between borders, which
+    differ from it by at most step^2 / 8 of its height: 5e-7 by default. Rows are aggregated
+    once, map-side first, to a count and a sum of shares per bin. Values that aren't finite don't
+    count; a label without spread, or with one value, has no density (as in ``density_by_label``)."""
+    x = F.col(col).cast("double")
+    base = df.select(label, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x") & (F.abs("__x") < F.lit(float("inf"))))
+    st = _bandwidths(base, label, cut)
+    tagged = join_small(base, st.where(F.col("__h") > 0), [label])       # one row per label
+    at = (F.col("__x") - F.col("__a")) / (F.lit(step) * F.col("__h"))
+    bins = tagged.select(label, "__n", "__h", "__a", "__b", F.floor(at).alias("__k"), (at - F.floor(at)).alias("__f")) \
+        .groupBy(label, "__n", "__h", "__a", "__b", "__k").agg(F.count(F.lit(1)).alias("__m"), F.sum("__f").alias("__f"))
+
+    def border(k):
+        return F.col("__a") + k.cast("double") * (F.lit(step) * F.col("__h"))
+
+    # both borders of a bin; a border met from two bins is simply summed twice
+    both = F.explode(F.array(F.struct(border(F.col("__k")).alias("__x"), (F.col("__m") - F.col("__f")).alias("__c")),
+                             F.struct(border(F.col("__k") + 1).alias("__x"), F.col("__f").alias("__c"))))
+    points = bins.select(label, "__n", "__h", "__a", "__b", both.alias("__p")).select(label, "__n", "__h", "__a", "__b", "__p.*")
+    bound = F.lit(step * step / 8) / (F.col("__h") * F.lit((2 * 3.141592653589793) ** 0.5))
+    return _kernel_sums(points, label, grid, digits, rnd(bound, 12).alias("error_bound"))
+
+
+def _bandwidths(base: DataFrame, label: str, cut: float) -> DataFrame:
     st = base.groupBy(label).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"),
                                  F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     st = st.withColumn("__h", F.pow(F.col("__n").cast("double"), F.lit(-0.2)) * F.col("__sd")) \
         .withColumn("__a", F.col("__mn") - F.lit(cut) * F.col("__h")) \
         .withColumn("__b", F.col("__mx") + F.lit(cut) * F.col("__h"))
-    dv = base.groupBy(label, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    j = join_small(dv, st.where(F.col("__h") > 0), [label])  # one row per label
+    return st.select(label, "__n", "__h", "__a", "__b")
+
+
+def _kernel_sums(j: DataFrame, label: str, grid: int, digits: int, *more) -> DataFrame:
+    """Density per (label, grid point) of weighted points ``__x``, ``__c`` with their label's ``__n``, ``__h``, ``__a``, ``__b``."""
     rows = j.select(label, "__x", F.col("__c").cast("double").alias("__c"), "__n", "__h", "__a", "__b")
     schema = T.StructType([rows.schema[label], T.StructField("i", T.IntegerType()), T.StructField("__s", T.DoubleType())]
                           + [rows.schema[c] for c in ("__n", "__h", "__a", "__b")])
@@ -195,7 +234,8 @@ def density_by_label(df: DataFrame, col: str, label: str, grid: int = 200, cut:
         F.first("__b").alias("__b"))
     dens = F.col("__s") / (F.col("__n") * F.col("__h") * F.lit((2 * 3.141592653589793) ** 0.5))
     gx2 = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("i") / F.lit(float(grid - 1))
-    return agg.select(label, F.col("i").cast("int").alias("i"), rnd(gx2, digits).alias("x"), rnd(dens, digits).alias("density"))
+    return agg.select(label, F.col("i").cast("int").alias("i"), rnd(gx2, digits).alias("x"), rnd(dens, digits).alias("density"),
+                      *more)
 
 
 def missing_categories(train: DataFrame, test: DataFrame, col: str) -> DataFrame:

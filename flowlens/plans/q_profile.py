@@ -129,6 +129,25 @@ def density_by_label(spark, sf):
     return P.density_by_label(fx.scored_events(spark, sf), "score", "label", 200)
 
 
+@query("density_binned", sql=f"""with se as ({fx.SCORED_EVENTS_SQL}),
+st as (select label, count(*) as n, stddev_samp(score) as sd, min(score) as mn, max(score) as mx from se
+  where score is not null group by label),
+st2 as (select *, pow(cast(n as double), -0.2) * sd as h from st),
+st3 as (select *, mn - 3e0 * h as a, mx + 3e0 * h as b from st2 where h > 0),
+u as (select se.label, (se.score - a) / (0.002e0 * h) as pos from se join st3 on st3.label = se.label where se.score is not null),
+bins as (select label, cast(floor(pos) as bigint) as k, count(*) as m, sum(pos - floor(pos)) as f from u group by all),
+bd as (select label, k, m - f as c from bins union all select label, k + 1, f from bins),
+dv as (select label, k, sum(c) as c from bd group by all),
+pts as (select dv.label, a + cast(k as double) * (0.002e0 * h) as x, dv.c, st3.n, st3.h, st3.a, st3.b,
+  unnest(range(0, 200)) as i from dv join st3 on st3.label = dv.label),
+agg as (select label, i, sum(c * exp(-0.5 * ((a + (b - a) * i / 199e0 - x) / h) * ((a + (b - a) * i / 199e0 - x) / h))) as s,
+  any_value(n) as n, any_value(h) as h, any_value(a) as a, any_value(b) as b from pts group by label, i)
+select label, cast(i as int) as i, {sg.r('a + (b - a) * i / 199e0', 9)} as x,
+  {sg.r('s / (n * h * sqrt(2 * pi()))', 9)} as density, {sg.r('0.0000005e0 / (h * sqrt(2 * pi()))', 12)} as error_bound from agg""")
+def density_binned(spark, sf):
+    return P.density_binned(fx.scored_events(spark, sf), "score", "label", 200)
+
+
 # Set operations: a price-band category (total // 100, a few thousand values, rare at the
 # top) compared between the two sides of the exact 80/20 split of flows.
 def _bands(spark, sf):

@@ -148,3 +148,40 @@ def pca_residuals(spark, sf):
     values = fit["eigenvalues"].tolist()
     rows = [(i, float(r), i == 0 or values[i] <= values[i - 1]) for i, r in enumerate(P.residuals(train, fit, "vec"))]
     return spark.createDataFrame(rows, "component int, residual double, ordered boolean").withColumn("residual", rnd("residual", 8))
+
+
+# ---------------------------------------------------------------- low-rank one-class scores
+
+FIXED_RANK = 4
+
+
+def _fixed_basis_sql() -> str:
+    from flowlens.operators.low_rank import cosine_basis
+    means = ", ".join(f"avg(x{i}) as m{i}" for i in range(DIM))
+    square = " + ".join(f"(t.x{i} - c.m{i}) * (t.x{i} - c.m{i})" for i in range(DIM))
+    dots = ", ".join("(" + " + ".join(f"({v!r}) * (t.x{i} - c.m{i})" for i, v in enumerate(row)) + f") as d{k}"
+                     for k, row in enumerate(cosine_basis(DIM, FIXED_RANK).tolist()))
+    left = " - ".join(["square", *[f"d{k} * d{k}" for k in range(FIXED_RANK)]])
+    return _scaled_vectors_sql() + f""",
+c as (select {means} from sv where split = 'train' and label = 0),
+p as (select t.row_id, t.label, {square} as square, {dots} from (select * from sv where split = 'test') t cross join c)
+select row_id, label, {sg.r(left)} as score from p"""
+
+
+@query("low_rank_fixed_basis", sql=_fixed_basis_sql())
+def low_rank_fixed_basis(spark, sf):
+    """Distance of every test row from the benign mean plus four given components (cosine waves)."""
+    from flowlens.functions.exprs import rnd
+    from flowlens.operators import low_rank as L
+    train, test = _vector_parts(spark, sf)
+    fit = L.fit_with_basis(train.where(F.col("label") == 0), L.cosine_basis(DIM, FIXED_RANK))
+    return L.score(test, {"score": fit}).withColumn("score", rnd("score"))
+
+
+@query("low_rank_blend")
+def low_rank_blend(spark, sf):
+    """The two-scorer blend on distances from each class's own subspace (components that hold 90 % of
+    its variance); eigenvectors are beyond SQL, tests compare with numpy."""
+    from flowlens.operators import low_rank as L
+    train, test = _vector_parts(spark, sf)
+    return L.two_scorer_blend(train, test)
