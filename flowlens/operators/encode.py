@@ -23,6 +23,7 @@ from flowlens.operators.skew import hot_key_join
 from flowlens.session import materialize
 
 BROADCAST_ENTRIES = 100_000    # dictionary entries of a column that are broadcast
+MAX_DUMMIES = 10_000           # dictionary entries that ``one_hot`` turns into columns
 
 
 def fit_label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -99,9 +100,16 @@ def one_hot(df: DataFrame, fit: DataFrame, prefixes: dict | None = None, drop: b
             dtype: str = "double") -> DataFrame:
     """All k dummies per categorical column, named ``<prefix>_<value>`` in code order.
 
-    A dummy is a column of the schema, so the dictionary becomes part of the plan; for
-    dictionaries of many thousand entries use ``one_hot_sparse``."""
-    entries = sorted(fit.collect(), key=lambda r: (r["column"], r["code"]))
+    A dummy is a column of the schema, so the dictionary becomes part of the plan. That holds for at
+    most ``MAX_DUMMIES`` entries; a larger dictionary stays in Spark and the result carries
+    the same row as ``one_hot`` (``one_hot_sparse``) in place of the dummies."""
+    entries = fit.limit(MAX_DUMMIES + 1).collect()
+    if len(entries) > MAX_DUMMIES:
+        fit = materialize(fit, "dictionary")
+        cols = [r["column"] for r in fit.select("column").distinct().collect()]            # column names
+        wide = one_hot_sparse(df, fit, cols)
+        return wide.drop(*cols) if drop else wide
+    entries.sort(key=lambda r: (r["column"], r["code"]))
     cols = list(dict.fromkeys(r["column"] for r in entries))
     dummies = [F.when(F.col(r["column"]).cast("string") == F.lit(r["value"]), 1).otherwise(0).cast(dtype)
                .alias(f"{(prefixes or {}).get(r['column'], r['column'])}_{r['value']}") for r in entries]
@@ -112,7 +120,7 @@ def one_hot(df: DataFrame, fit: DataFrame, prefixes: dict | None = None, drop: b
 def one_hot_sparse(df: DataFrame, fit: DataFrame, cols: list[str], out: str = "one_hot") -> DataFrame:
     """``df`` with ``out`` = struct(size, ones): the number of dummies of all ``cols`` and the ascending
     positions (columns by name, codes within) that are 1. Nothing of the dictionary enters the plan."""
-    fit = materialize(fit, "dictionary")
+    fit = fit if hasattr(fit, "_table_path") else materialize(fit, "dictionary")
     sizes = {r["column"]: r["count"] for r in fit.groupBy("column").count().collect()}     # one row per column
     ordered, start, begins = sorted(cols), 0, {}
     for c in ordered:

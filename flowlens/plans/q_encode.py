@@ -67,6 +67,23 @@ def one_hot(spark, sf):
     return E.one_hot(df, E.fit_one_hot(df, CAT))
 
 
+@query("one_hot_sparse", sql="""with et as (select event_type as v, row_number() over (order by event_type) - 1 as code
+  from (select distinct event_type from events where event_type is not null) x),
+u as (select v, row_number() over (order by v) - 1 as code
+  from (select distinct cast(user_id as varchar) as v from events where user_id is not null) x),
+n as (select (select count(*) from et) as n_et, (select count(*) from u) as n_u)
+select event_id, cast(n_et + n_u as bigint) as size, concat_ws(',', et.code, u.code + n_et) as ones
+from events e cross join n left join et on et.v = e.event_type left join u on u.v = cast(e.user_id as varchar)""")
+def one_hot_sparse(spark, sf):
+    """Positions of the ones of each event's type and user, whose dictionary grows with the table."""
+    from flowlens.sources.tables import read_table
+    cols = ["event_type", "user_id"]
+    ev = read_table(spark, sf, "events", "event_id", *cols)
+    out = E.one_hot_sparse(ev, E.fit_one_hot(ev, cols), cols)
+    return out.select("event_id", F.col("one_hot.size").alias("size"),
+                      F.array_join(F.col("one_hot.ones").cast("array<string>"), ",").alias("ones"))
+
+
 @query("one_hot_align", sql=split_flows_sql() + f"\nselect row_id, {_dummies_sql(CAT)} from sp where split = 'test'")
 def one_hot_align(spark, sf):
     sp = split_flows(spark, sf)

@@ -126,3 +126,14 @@ def test_cast_binary_keeps_whole_numbers(spark):
     from flowlens.functions.labels import cast_binary
     df = spark.createDataFrame([(True, 2), (False, 0), (None, None)], "a boolean, b int")
     assert [tuple(r) for r in cast_binary(df, ["a", "b"]).collect()] == [(1, 2), (0, 0), (None, None)]
+
+
+def test_one_hot_beyond_the_bound_stays_in_spark(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", "p"), (2, "b", None), (3, "c", "q")], "row_id long, c string, d string")
+    fit = E.fit_one_hot(df, ["c", "d"])
+    assert E.one_hot(df, fit).columns == ["row_id", "c_a", "c_b", "c_c", "d_p", "d_q"]
+    monkeypatch.setattr(E, "MAX_DUMMIES", 4)
+    wide = E.one_hot(df, fit)
+    assert wide.columns == ["row_id", "one_hot"]
+    assert {r.row_id: (r.one_hot.size, list(r.one_hot.ones)) for r in wide.collect()} == {1: (5, [0, 3]), 2: (5, [1]), 3: (5, [2, 4])}
+    assert E.one_hot(df, fit, drop=False).columns == ["row_id", "c", "d", "one_hot"]
