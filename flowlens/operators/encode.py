@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.profile import unpivot
-from flowlens.operators.ranks import running_sum, string_rank
+from flowlens.operators.ranks import parts_for, running_sum, string_rank
 from flowlens.operators.skew import hot_key_join
 from flowlens.session import materialize
 
 BROADCAST_ENTRIES = 100_000    # dictionary entries of a column that are broadcast
+SALTS = 64                     # parts of the rows that hold one value, when values are counted
 MAX_DUMMIES = 10_000           # dictionary entries that ``one_hot`` turns into columns
 
 
@@ -153,14 +154,19 @@ def attach_encoded(raw: DataFrame, encoded: DataFrame, key: str, drop: list[str]
 
 def average_rank(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """(key, column, value, rank): tie-averaged 1-based rank of each value within its column."""
+    df = df if hasattr(df, "_table_path") else materialize(df, "rank-rows")
+    parts = parts_for(df.sparkSession, df.count() * len(cols))
     long = unpivot(df, cols, ids=[key]).where(F.col("value").isNotNull())
-    dv = materialize(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")), "distinct-values")
+    # counted in partitions whose number grows with the cells; the salt spreads a value that many rows hold
+    salted = long.select("column", "value", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("__s"))
+    some = salted.repartition(parts, "column", "value", "__s").groupBy("column", "value", "__s").agg(F.count(F.lit(1)).alias("c"))
+    dv = materialize(some.repartition(parts, "column", "value").groupBy("column", "value").agg(F.sum("c").alias("c")), "distinct-values")
     cum = running_sum(dv, "value", ["c"], partition_cols=("column",))
     ranks = cum.select("column", "value",
                        ((F.col("cum_c") - F.col("c")).cast("double") + (F.col("c") + 1).cast("double") / 2.0).alias("rank"))
     # a constant or binary column puts most rows on one (column, value): hot keys are
     # joined map-side from a bounded broadcast, the rest by shuffle (rows per key: dv)
-    return hot_key_join(long, ranks, ["column", "value"], dv, "c")
+    return hot_key_join(long, ranks, ["column", "value"], dv, "c", parts=parts)
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], key: str, digits: int = 6) -> DataFrame:
@@ -171,8 +177,10 @@ def spearman_matrix(df: DataFrame, cols: list[str], key: str, digits: int = 6) -
     A constant column has no defined correlation: null.
     """
     from flowlens.functions.exprs import rnd
+    df = df if hasattr(df, "_table_path") else materialize(df, "rank-rows")
     r = average_rank(df, cols, key)
-    wide = r.groupBy(key).pivot("column", cols).agg(F.first("rank"))
+    # a row's ranks meet in partitions whose number grows with the rows
+    wide = r.repartition(parts_for(df.sparkSession, df.count() * len(cols)), key).groupBy(key).pivot("column", cols).agg(F.first("rank"))
     aggs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

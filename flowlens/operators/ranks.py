@@ -42,6 +42,11 @@ def buckets_for(n_rows: int) -> int:
     return max(1, -(-int(n_rows) // ROWS_PER_BUCKET))
 
 
+def parts_for(spark, n_rows: int) -> int:
+    """Partitions that keep one near ``ROWS_PER_BUCKET`` rows or fewer, at least the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(n_rows))
+
+
 def hex_digits_for(n_rows: int, minimum: int) -> int:
     """Hash-prefix length that keeps a prefix bucket near ``ROWS_PER_BUCKET`` rows or fewer."""
     d = minimum
@@ -108,6 +113,8 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], partition_
     off = tot.select(*part, b, *[F.coalesce(F.sum(f"__t_{v}").over(w_small), F.lit(0)).alias(f"__o_{v}") for v in value_cols],
                      *[F.lead(f"__f_{v}").over(w_order).alias(f"__e_{v}") for v in next_cols])
     joined = join_small(staged, off, part + [b], broadcast=small_partitions and n_buckets <= BROADCAST_BUCKETS)
+    if n_buckets > 1:          # as many partitions as ranges, so that what a task sorts does not grow with the data
+        joined = joined.repartition(max(n_buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *part, b)
     order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
     w_rows = Window.partitionBy(*part, b).orderBy(order)
     w = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)

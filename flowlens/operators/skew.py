@@ -29,8 +29,8 @@ def hot_threshold(total_rows: int) -> int:
 
 
 def hot_key_join(big: DataFrame, table: DataFrame, keys: list[str], key_rows: DataFrame, rows_col: str,
-                 how: str = "inner") -> DataFrame:
-    """``big`` joined (``how`` = inner or left) with ``table`` on ``keys``.
+                 how: str = "inner", parts: int | None = None) -> DataFrame:
+    """``big`` joined (``how`` = inner or left) with ``table`` on ``keys``, in ``parts`` partitions if given.
 
     ``key_rows`` has one row per key with ``rows_col`` = its number of ``big`` rows.
     ``table`` may hold several rows per key (a bounded number, e.g. one per class)."""
@@ -41,21 +41,24 @@ def hot_key_join(big: DataFrame, table: DataFrame, keys: list[str], key_rows: Da
         for c in known[1:]:
             some = some & c
         key_rows = key_rows.where(some)
-        joined = _hot_key_join(big.where(some), table, keys, key_rows, rows_col, how)
+        joined = _hot_key_join(big.where(some), table, keys, key_rows, rows_col, how, parts)
         return joined.unionByName(big.where(~some), allowMissingColumns=True)
-    return _hot_key_join(big, table, keys, key_rows, rows_col, how)
+    return _hot_key_join(big, table, keys, key_rows, rows_col, how, parts)
 
 
-def _hot_key_join(big, table, keys, key_rows, rows_col, how) -> DataFrame:
+def _hot_key_join(big, table, keys, key_rows, rows_col, how, parts=None) -> DataFrame:
+    def dealt(df):
+        return df if parts is None else df.repartition(parts, *keys)
+
     stats = key_rows.agg(F.sum(rows_col).alias("t"), F.max(rows_col).alias("m")).first()
     total, top = int(stats["t"] or 0), int(stats["m"] or 0)
     thr = hot_threshold(total)
     if top <= thr:
-        return big.join(table, keys, how)
+        return dealt(big).join(dealt(table), keys, how)
     hot_keys = F.broadcast(key_rows.where(F.col(rows_col) > thr).select(*keys))   # <= MAX_HOT_KEYS rows
     hot = F.broadcast(table.join(hot_keys, keys, "left_semi"))
     hot_part = big.join(hot_keys, keys, "left_semi").join(hot, keys, how)
-    cold_part = big.join(hot_keys, keys, "left_anti").join(table, keys, how)
+    cold_part = dealt(big.join(hot_keys, keys, "left_anti")).join(dealt(table), keys, how)
     return hot_part.unionByName(cold_part)
 
 
