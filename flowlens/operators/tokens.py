@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,26 @@ UNK_ID = 1
 BROADCAST_LIMIT = 200_000
 
 
+SLICE_ROWS = 1024        # rows whose tokens are numbered at once in a task
+
+
+def token_codes(batch: pa.RecordBatch, col: str):
+    """Slices of a batch: (rows, row of each token, distinct tokens, number of each token among them)."""
+    for s in range(0, batch.num_rows, SLICE_ROWS):
+        rows = batch.slice(s, SLICE_ROWS)
+        lists = rows.column(rows.schema.get_field_index(col))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        yield rows, np.repeat(np.arange(len(rows)), sizes), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def token_runs(batch: pa.RecordBatch, col: str):
+    """Like ``token_codes``, each token of a row once, with its number of occurrences there."""
+    for rows, row, names, code in token_codes(batch, col):
+        key, n = np.unique(row * max(len(names), 1) + code, return_counts=True)
+        yield rows, key // max(len(names), 1), names, key % max(len(names), 1), n
+
+
 def _toks(col: str, tokens_col: str | None):
     return F.col(tokens_col) if tokens_col else tokens(col)
 
@@ -55,16 +76,16 @@ def _number_in_rows(df: DataFrame, col: str, vocab: DataFrame, key: str, max_len
 
     def run(it):
         ids = ids_b.value
-        for b in it:
-            rows = [[] if t is None else [ids.get(x, UNK_ID) for x in t] for t in b.column(2).to_pylist()]
-            out = np.full((len(rows), max_length), PAD_ID, np.int32)
-            mask = np.zeros((len(rows), max_length), np.int32)
-            for i, r in enumerate(rows):
-                out[i, :len(r)] = r
-                mask[i, :len(r)] = 1
-            at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * max_length)
-            lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (out, mask)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=[key, "n_tokens", "input_ids", "attention_mask"])
+        for whole in it:
+            for b, row, names, code in token_codes(whole, "__t"):
+                known = np.array([ids.get(x, UNK_ID) for x in names.to_pylist()], np.int32)
+                place = np.arange(len(row)) - np.searchsorted(row, row)           # in its row
+                out = np.full((len(b), max_length), PAD_ID, np.int32)
+                mask = np.zeros((len(b), max_length), np.int32)
+                out[row, place], mask[row, place] = known[code], 1
+                at = pa.array(np.arange(len(b) + 1, dtype=np.int32) * max_length)
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (out, mask)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=[key, "n_tokens", "input_ids", "attention_mask"])
 
     return tok.mapInArrow(run, T.StructType(fields))
 
