@@ -13,13 +13,17 @@ grow with the data; the rows of a batch are spread over tasks.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.text import tokens
 from flowlens.operators.split import shuffle_batches
+from flowlens.operators.tokens import token_codes
 from flowlens.session import _delete, materialize, scratch_path
 
 N_FEATURES = 1 << 18
@@ -36,18 +40,25 @@ def hashed_features(df: DataFrame, col: str = "text", n_features: int = N_FEATUR
     length 1, and the bias (feature ``n_features``, value 1) behind them. No exchange.
 
     Null and empty texts have the bias alone."""
-    hashed = F.array_sort(F.transform(tokens(F.coalesce(F.col(col), F.lit(""))), lambda t: token_bucket(t, n_features)))
-    staged = df.select(*keep, hashed.alias("__b"))
-    size = F.size("__b")
-    first = F.when(size > 0, F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
-                                      lambda i: (i == 0) | (F.col("__b")[i] != F.col("__b")[F.greatest(i - 1, F.lit(0))])))
-    staged = staged.select(*keep, "__b", F.coalesce(first, F.array().cast("array<int>")).alias("__f"))
-    ends = F.when(size > 0, F.concat(F.slice("__f", 2, F.size("__f")), F.array(F.size("__b")))).otherwise(F.array().cast("array<int>"))
-    staged = staged.select(*keep, F.transform("__f", lambda i: F.col("__b")[i]).alias("__i"),
-                           F.zip_with("__f", ends, lambda a, b: (b - a).cast("double")).alias("__v"))
-    norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, v: s + v * v))
-    return staged.select(*keep, F.concat("__i", F.array(F.lit(n_features))).alias("idx"),
-                         F.concat(F.transform("__v", lambda v: v / norm), F.array(F.lit(1.0))).alias("val"))
+    staged = df.select(*keep, tokens(F.coalesce(F.col(col), F.lit(""))).alias("__t"))
+    fields = [*(staged.schema[k] for k in keep), T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("val", T.ArrayType(T.DoubleType()))]
+
+    def run(it):
+        for whole in it:
+            for b, row, names, code in token_codes(whole, "__t"):
+                bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % n_features for t in names.to_pylist()], np.int64)
+                at, n = np.unique(row * n_features + bucket[code], return_counts=True)
+                row, n = at // n_features, n.astype(np.float64)
+                norm = np.sqrt(np.bincount(row, n * n, len(b)))
+                # a row's features, then its bias: as many biases lie before a feature as its row's number
+                idx, val = np.full(len(at) + len(b), n_features, np.int32), np.ones(len(at) + len(b))
+                place = np.arange(len(at)) + row
+                idx[place], val[place] = at % n_features, n / norm[row]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(b)) + 1)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (idx, val))],
+                                                 names=[*keep, "idx", "val"])
+
+    return staged.mapInArrow(run, T.StructType(fields))
 
 
 def _scores(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
