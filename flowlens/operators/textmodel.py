@@ -21,11 +21,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.text import TOKEN_PATTERN, tokens
 from flowlens.operators.skew import hot_key_join
+from flowlens.operators.tokens import token_runs
 from flowlens.session import materialize
 
 BROADCAST_ROWS = 500_000
@@ -35,16 +39,17 @@ MAX_ODDS = 1e9
 def token_counts(df: DataFrame, col: str = "text", key: str = "row_id") -> DataFrame:
     """(key, token, tf) over the whole text of every row.
 
-    A document is one row, so its tokens are counted within it: sorted, runs measured between
-    the first positions of neighbouring tokens. No exchange."""
-    staged = df.select(key, F.array_sort(tokens(col)).alias("__t"))
-    size = F.size("__t")
-    first = F.filter(F.sequence(F.lit(0), size - 1),
-                     lambda i: (i == 0) | (F.col("__t")[i] != F.col("__t")[F.greatest(i - 1, F.lit(0))]))
-    staged = staged.where(size > 0).select(key, "__t", F.size("__t").alias("__n"), first.alias("__f"))
-    ends = F.concat(F.slice("__f", 2, F.size("__f")), F.array("__n"))
-    runs = F.zip_with("__f", ends, lambda a, b: F.struct(F.col("__t")[a].alias("token"), (b - a).cast("double").alias("tf")))
-    return staged.select(key, F.explode(runs).alias("r")).select(key, "r.token", "r.tf")
+    A document is one row, so its tokens are counted within it, on arrays in its task. No exchange."""
+    staged = df.select(key, tokens(col).alias("__t")).where(F.size("__t") > 0)
+    fields = [staged.schema[key], T.StructField("token", T.StringType()), T.StructField("tf", T.DoubleType())]
+
+    def run(it):
+        for b in it:
+            for rows, row, names, code, n in token_runs(b, "__t"):
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), names.take(pa.array(code)), pa.array(n.astype(np.float64))],
+                                                 names=[key, "token", "tf"])
+
+    return staged.mapInArrow(run, T.StructType(fields))
 
 
 def token_lookup(counts: DataFrame, model: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
@@ -128,7 +133,8 @@ def text_classifier(train: DataFrame, test: DataFrame, col: str = "text", label:
         tr_counts = materialize(token_counts(train, col, key))
         model, priors = fit_text_nb(tr_counts, train, key, label, weight, classes=classes)
         doc_freq = tr_counts.groupBy("token").agg(F.count(F.lit(1)).alias("__rows"))
-        return predict_text_nb(token_counts(test, col, key), test, model, priors, key, label, keep, doc_freq)
+        # the rows that it was fitted on are counted already
+        return predict_text_nb(tr_counts if test is train else token_counts(test, col, key), test, model, priors, key, label, keep, doc_freq)
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
